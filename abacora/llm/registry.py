@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
 from .packing import op1_packing
+from .simhash import op7_simhash
 from .token_counts import op8_token_counts
+from .topk_search import op5_topk_search
+from .url_filter import op3_url_filter
 
-QUERIES = {q.__name__: q for q in (op1_packing, op8_token_counts, op10_byte_bpe)}
+QUERIES = {q.__name__: q for q in (op1_packing, op3_url_filter, op5_topk_search, op7_simhash, op8_token_counts, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
