@@ -6,7 +6,7 @@ import gc
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, text_or_empty
@@ -62,10 +62,15 @@ def minimizers(h: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(sliding(np.maximum, np.concatenate([pad, low, pad]), width) == h)
 
 
+def row_key() -> Column:
+    """The same for rows of equal doc_id and text only (a null text counts as empty)."""
+    text = text_or_empty()
+    return F.xxhash64("doc_id", text, F.length(text))
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> rid, doc_id, text: rid is the same for equal rows only, so joins on it never multiply rows."""
-    text = text_or_empty()
-    return docs.select(F.xxhash64("doc_id", text, F.length(text)).alias("rid"), "doc_id", text.alias("text"))
+    return docs.select(row_key().alias("rid"), "doc_id", text_or_empty().alias("text"))
 
 
 def squeezed(texts: list[str]) -> list[bytes]:

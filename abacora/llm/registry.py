@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
 from .packing import op1_packing
+from .quality_classifier import op4_quality_classifier
+from .quality_rules import op2_quality_rules
 from .simhash import op7_simhash
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op8_token_counts
@@ -11,5 +13,5 @@ from .topk_search import op5_topk_search
 from .url_filter import op3_url_filter
 from .window_index import op6_window_index
 
-QUERIES = {q.__name__: q for q in (op1_packing, op3_url_filter, op5_topk_search, op6_window_index, op7_simhash, op8_token_counts, op9_suffix_dedup, op10_byte_bpe)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_quality_rules, op3_url_filter, op4_quality_classifier, op5_topk_search, op6_window_index, op7_simhash, op8_token_counts, op9_suffix_dedup, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Rolling, minimizers, release, squeezed, unsqueezed, with_row_key
+from .anchors import Rolling, minimizers, release, row_key, squeezed, unsqueezed, with_row_key
 from .common import map_rows, materialise, mix64, table
 
 LENGTH = 400
@@ -326,7 +326,7 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text) -> doc_id, body (compressed UTF-8 bytes of the whole text), spans (pairs of byte positions to remove)."""
+    """(doc_id, text) -> rid, doc_id, body (compressed UTF-8 bytes of the whole text), spans (pairs of byte positions to remove)."""
     g, spark = Geometry(length), docs.sparkSession
     rows = with_row_key(docs)
     found = materialise(marks(rows, g), "marks")
@@ -335,8 +335,8 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     release(spark)
     more = sorted_spans(parts, g).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
     texts = parts.select("kind", "rid", "doc_id", "body", "spans")
-    waiting = texts.where("kind = 2").join(more, "rid", "left").select("doc_id", "body", "spans", "more")
-    final = texts.where("kind = 0").select("doc_id", "body", "spans", F.lit(None).cast("array<struct<lo: long, hi: long>>").alias("more"))
+    waiting = texts.where("kind = 2").join(more, "rid", "left").select("rid", "doc_id", "body", "spans", "more")
+    final = texts.where("kind = 0").select("rid", "doc_id", "body", "spans", F.lit(None).cast("array<struct<lo: long, hi: long>>").alias("more"))
     return final.union(waiting)
 
 
@@ -356,8 +356,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, text) -> doc_id, kept (bytes that stay), n_bytes, spans (removed, as pairs)."""
 
     def work(columns):
-        out = {"doc_id": columns[0], "kept": [], "n_bytes": [], "spans": []}
-        for body, known, more in zip(*columns[1:]):
+        out = {"doc_id": columns[1], "kept": [], "n_bytes": [], "spans": []}
+        for body, known, more in zip(*columns[2:]):
             data, spans = unsqueezed(body), _spans(known, more)
             out["kept"].append(kept_bytes(data, spans))
             out["n_bytes"].append(len(data))
@@ -367,11 +367,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return map_rows(cleaned(docs, length), work, "doc_id long, kept binary, n_bytes long, spans array<long>")
 
 
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Documents with repeats cut out of their text, other columns as they are, n_chars (if there) following the text.
+
+    A character that loses only some of its bytes goes as a whole.
+    """
+
+    def work(columns):
+        out = {"rid": [], "kept_text": []}
+        for rid, body, known, more in zip(columns[0], *columns[2:]):
+            data, spans = unsqueezed(body), _spans(known, more)
+            if len(spans):
+                out["rid"].append(rid)
+                out["kept_text"].append(kept_bytes(data, spans).decode(errors="ignore"))
+        return out
+
+    cut = map_rows(cleaned(docs.select("doc_id", "text"), length), work, "rid long, kept_text string").dropDuplicates(["rid"])
+    joined = docs.withColumn("rid", row_key()).join(cut, "rid", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return joined.select(*docs.columns)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(columns):
         names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-        out = {"doc_id": columns[0], **{n: [] for n in names}}
-        for body, known, more in zip(*columns[1:]):
+        out = {"doc_id": columns[1], **{n: [] for n in names}}
+        for body, known, more in zip(*columns[2:]):
             data, spans = unsqueezed(body), _spans(known, more)
             for name, value in zip(names, (len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept_bytes(data, spans)).hexdigest())):
                 out[name].append(value)
