@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import mastery, selection  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "recommend_core"
