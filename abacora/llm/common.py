@@ -85,6 +85,14 @@ def with_shuffle_rows(df: DataFrame, rows_each: int) -> int:
     return max(n, df.count() // rows_each + 1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of unsigned 64-bit integers (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
