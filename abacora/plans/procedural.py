@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import similarity as M
+from ..functions import solvers as V
 from ..operators import adaptive as D
 from ..operators.chunking import chunk_pack as pack
 from ..operators.chunking import structure_units
@@ -93,3 +94,21 @@ def dedup_questions(v: Views):
 
     first = v.item.withColumn("n", F.row_number().over(Window.partitionBy("grade", "topic_name").orderBy("item_id"))).where("n = 1")
     return first.select("grade", "item_id", "topic_id", "topic_name").groupBy("grade").applyInPandas(fold, "grade int, item_id long")
+
+
+@query()
+def closed_form_solvers(v: Views):
+    size = F.col("p_size")
+    text = lambda c: c.cast("string")
+    stem = F.concat(F.lit("In an arithmetic progression the first term is "), text(size), F.lit(" and the second term is "), text(size + 3), F.lit(". What is the fifth term?"))
+    options = F.array(text(size + 12), text(size + 15), text(size + 9), text(size))
+    return v.table("part").select("p_partkey", V.solved_letters(stem, options).alias("solved"))
+
+
+@query()
+def explanation_errors(v: Views):
+    size = F.col("p_size")
+    options = F.array(*((size + i).cast("string") for i in range(4)))
+    stem = F.concat(F.lit("Calculate "), size.cast("string"), F.lit(" + 1?"))
+    answer = F.element_at(F.array(*map(F.lit, "ABCD")), (1 + F.col("p_partkey") % 4).cast("int"))
+    return v.table("part").select("p_partkey", F.array_join(V.explanation_errors(stem, options, answer, F.lit(None).cast("string"), F.lit("The correct answer is B.")), "; ").alias("errors"))
