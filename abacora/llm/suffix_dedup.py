@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, minimizers, release, row_key, squeezed, unsqueezed, with_row_key
-from .common import map_rows, materialise, mix64, table
+from .common import fresh, map_rows, materialise, mix64, table
 
 LENGTH = 400
 GRAM = 16
@@ -143,28 +143,19 @@ def _each(columns, geometry: Geometry):
         yield rid, geometry.contexts(np.frombuffer(text.encode(), np.uint8))
 
 
-def context_counts(rows: DataFrame, geometry: Geometry) -> DataFrame:
-    """(rid, text) -> key, context, n, low: contexts, how often, the lowest row that has them; summed per batch, then by key."""
+def repeated_keys(rows: DataFrame, geometry: Geometry) -> DataFrame:
+    """(rid, text) -> key: cores that occur twice or more; summed per batch before the shuffle."""
 
     def work(columns):
-        parts = [(k, c, np.full(len(k), rid, np.int64)) for rid, (_, _, k, c) in _each(columns, geometry) if len(k)]
-        if not parts:
-            return {x: np.empty(0, np.int64) for x in ("key", "context", "n", "low")}
-        key, context, rid = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((rid, context, key))
-        key, context, rid = key[order], context[order], rid[order]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])])
-        return {"key": key[first], "context": context[first], "n": np.diff(np.append(first, len(key))), "low": rid[first]}
+        found = [k for _, (_, _, k, _) in _each(columns, geometry)]
+        key, n = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+        return {"key": key, "n": n}
 
-    made = map_rows(rows.select("rid", "text"), work, "key long, context long, n long, low long")
-    return made.repartition("key").groupBy("key", "context").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
+    return map_rows(rows.select("rid", "text"), work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
 
 def marks(rows: DataFrame, geometry: Geometry) -> DataFrame:
     """Per row (rid) that can hold repeats, its anchors: loc, whole (the context occurs twice), key where it must be sorted."""
-    counts = materialise(context_counts(rows, geometry), "contexts").where("n > 0")
-    keys = counts.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    status = counts.join(keys, "key").select("key", "context", (F.col("n") > 1).alias("whole"), "low", "kinds")
 
     def work(columns):
         parts = [(np.full(len(k), rid, np.int64), a * BITS + m, k, c) for rid, (a, m, k, c) in _each(columns, geometry) if len(k)]
@@ -172,6 +163,11 @@ def marks(rows: DataFrame, geometry: Geometry) -> DataFrame:
         return dict(zip(("rid", "loc", "key", "context"), made))
 
     places = map_rows(rows.select("rid", "text"), work, "rid long, loc long, key long, context long")
+    places = materialise(places.join(repeated_keys(rows, geometry), "key"), "places")
+    release(rows.sparkSession)
+    contexts = places.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("rid").alias("low"))
+    kinds = contexts.groupBy("key").agg(F.count("*").alias("kinds"))
+    status = contexts.join(kinds, "key").where("n > 1 or kinds > 1").select("key", "context", (F.col("n") > 1).alias("whole"), "low", "kinds")
     found = places.join(status, ["key", "context"])
     sort = (F.col("kinds") > 1) & (~F.col("whole") | (F.col("rid") == F.col("low")))
     crowd = F.col("kinds") > CROWD
@@ -383,9 +379,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return out
 
     cut = map_rows(cleaned(docs.select("doc_id", "text"), length), work, "rid long, kept_text string").dropDuplicates(["rid"])
-    joined = docs.withColumn("rid", row_key()).join(cut, "rid", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    key, kept = fresh(docs, "rid"), fresh(docs, "kept_text")
+    cut = cut.select(F.col("rid").alias(key), F.col("kept_text").alias(kept))
+    joined = docs.withColumn(key, row_key()).join(cut, key, "left").withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+        joined = joined.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return joined.select(*docs.columns)
 
 
