@@ -56,6 +56,32 @@ def embed(df: DataFrame, provider: Embed = hashed_embedding, size: int = 64, bat
     return df.mapInPandas(run, f"{fields}, embedding array<double>")
 
 
+class Exhausted(RuntimeError):
+    """A provider that has no credit left, or a task whose calls are used up."""
+
+
+def limited(provider, calls: int, cooldown: float = 300.0, clock=None):
+    """A provider with at most `calls` calls in a task; after it was Exhausted once, it is not asked again until
+    `cooldown` seconds have gone by."""
+    import time
+
+    now, state = clock or time.monotonic, {"left": calls, "until": 0.0}
+
+    def ask(texts):
+        if now() < state["until"]:
+            raise Exhausted("cooling down")
+        if state["left"] <= 0:
+            raise Exhausted("no calls left")
+        state["left"] -= 1
+        try:
+            return provider(texts)
+        except Exhausted:
+            state["until"] = now() + cooldown
+            raise
+
+    return ask
+
+
 def complete(df: DataFrame, provider: Callable[[list[str]], list[str]], prompt: str = "prompt", attempts: int = 3) -> DataFrame:
     """Adds completion; a batch is tried `attempts` times, then its error is the row's."""
 
