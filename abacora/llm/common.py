@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,7 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="abacora-")
+        own = tempfile.mkdtemp(prefix="abacora-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -79,12 +83,6 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return pa.schema([pa.field(*(part.split()[0], _ARROW[part.split()[1]])) for part in ddl.split(",")])
 
 
-def with_shuffle_rows(df: DataFrame, rows_each: int) -> int:
-    """A partition count so that each holds about rows_each rows, at least the session's own count."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(n, df.count() // rows_each + 1)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}
