@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .answers import plain, read
 
+#: What normalised text keeps. Fixed value.
 _KEPT = re.compile(r"[^a-z0-9√π%+\-*/=.^∪∩∈∉⊂⊆⊃⊇≤≥≠<>²³{}\[\]]+")
 
 
