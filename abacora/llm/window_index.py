@@ -1,10 +1,10 @@
 """Operator 6: incremental removal of repeated word windows with a log-structured fingerprint index.
 
-Documents come in batches of ascending doc_id. Of every window of `size` words one pair of neighbouring words, the longest,
-stands for it (chosen by the window's own words, so equal windows choose alike); the pair's fingerprint is what is indexed.
-A batch becomes an immutable run sorted by fingerprint, is merge-joined with the runs of earlier batches, and runs are
-compacted when there are many. Fingerprints met twice lead back to the texts, where their windows are verified by an
-independent 64-bit hash of all words; the smallest doc_id of a window keeps it. A fingerprint with more than CROWD
+Documents come in batches of ascending doc_id. Of every window of `size` words one gram of GRAM words, the longest,
+stands for it (chosen by the window's own words, so equal windows choose alike); the gram's fingerprint is what is indexed.
+A batch becomes an immutable run, bucketed and sorted by fingerprint, is merge-joined with the runs of earlier batches
+(without a shuffle, for the buckets are the same), and runs are compacted when there are many. Fingerprints met twice lead back to the texts, where their windows are verified by an
+independent 48-bit hash of all words, beside the gram's 64 bits; the smallest doc_id of a window keeps it. A fingerprint with more than CROWD
 documents has its windows counted one by one instead of in one group.
 
 Nulls: a null text has no words; a null doc_id is not smaller or larger than any, so such rows neither lose words nor make
@@ -14,6 +14,7 @@ others lose any. Rows of equal doc_id do not remove each other's words. Empty ta
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, release, sliding, squeezed, unsqueezed, with_row_key
-from .common import map_rows, materialise, mix64, table
+from .common import discard, map_rows, materialise, mix64, table
 from .suffix_dedup import merged_spans
 
 SIZE = 13
+#: Words of the gram that stands for a window.
+GRAM = 4
+CHUNK = 1 << 23
+#: Bytes of a window's own hash; windows are compared within their gram's 64-bit fingerprint, so both must agree.
+WIDTH = 6
 BATCHES = 2
 FAN_IN = 4
 CROWD = 4096
@@ -44,41 +50,63 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, Rolling(_BYTES[raw]).at(start, end)
 
 
-def windows(data: bytes, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """first, key, hashes: runs of windows that share their standing pair begin at `first` (window positions, one behind the
-    last is the count) and have that pair's key; hashes are of all windows."""
-    start, end, h = word_hashes(data)
+def standing(start: np.ndarray, end: np.ndarray, h: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """first, key: windows that share their standing gram form runs, which begin at `first` (window positions; the last entry
+    is the number of windows), and key is that gram's hash. Of a window's grams the longest stands, then the lower hash,
+    then the first."""
     n = len(h)
     if n < size:
-        return np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    roll = Rolling(h)
-    pair = mix64(roll.all(2))
-    long = np.minimum(end[1:] - start[:-1], 255).astype(np.uint64)
-    rank = ((np.uint64(255) - long) << np.uint64(56)) | (pair >> np.uint64(8))
-    low = sliding(np.minimum, rank, size - 1)
-    count = n - size + 1
-    at = np.zeros(count, np.int64)
-    for k in reversed(range(size - 1)):
-        hit = rank[k : k + count] == low
-        at[hit] = np.flatnonzero(hit) + k
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return np.append(first, count), pair[at[first]].view(np.int64), mix64(roll.all(size)).view(np.int64)
+        return np.zeros(1, np.int64), np.empty(0, np.int64)
+    firsts, keys = [], []
+    for c in range(0, n - size + 1, CHUNK):  # a chunk's places fit into 24 bits
+        part = slice(c, c + CHUNK + size - 1)
+        roll = Rolling(h[part])
+        gram = mix64(roll.all(GRAM))
+        long = np.minimum(end[part][GRAM - 1 :] - start[part][: len(gram)], 255).astype(np.uint64)
+        rank = ((np.uint64(255) - long) << np.uint64(56)) | ((gram >> np.uint64(32)) << np.uint64(24)) | np.arange(len(gram), dtype=np.uint64)
+        at = (sliding(np.minimum, rank, size - GRAM + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        firsts.append(first + c)
+        keys.append(gram[at[first]].view(np.int64))
+    return np.append(np.concatenate(firsts), n - size + 1), np.concatenate(keys)
+
+
+def standing_keys(text: str, size: int = SIZE) -> np.ndarray:
+    return np.unique(standing(*word_hashes(text.encode()), size)[1])
+
+
+def windows(data: bytes, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """first and key of standing(), and the hash of every window."""
+    start, end, h = word_hashes(data)
+    first, key = standing(start, end, h, size)
+    return first, key, mix64(Rolling(h).all(size)).view(np.int64) if len(key) else np.empty(0, np.int64)
 
 
 class FingerprintIndex:
     """Sorted immutable runs of (key, lo, hi, n): a fingerprint, its lowest and highest doc_id, in how many documents."""
 
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
-        self.spark, self.fan_in, self.runs = spark, fan_in, []
+    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, buckets: int | None = None):
+        """buckets: sorted files of every run, by default as many as the session's shuffles have partitions."""
+        self.spark, self.fan_in, self.runs, self.tables = spark, fan_in, [], []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    @staticmethod
-    def _sorted(postings: DataFrame) -> DataFrame:
-        summed = postings.repartition("key").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-        return materialise(summed.sortWithinPartitions("key"), "run")
+    def _sorted(self, postings: DataFrame) -> DataFrame:
+        name = f"run_{uuid.uuid4().hex}"
+        summed = postings.repartition(self.buckets, "key").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+        summed.write.bucketBy(self.buckets, "key").sortBy("key").format("parquet").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def drop(self) -> None:
+        """Deletes the runs, for an index that is of no further use."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs, self.tables = [], []
 
     def add(self, postings: DataFrame) -> DataFrame:
         """Adds a batch as a run; returns (key, n) of its fingerprints that some other document has, in it or before it."""
         run = self._sorted(postings)
+        release(self.spark)
         found = run.where("lo < hi").select("key", "n")
         for old in self.runs:
             found = found.union(run.join(old.select("key", F.col("n").alias("before")), "key").select("key", (F.col("n") + F.col("before")).alias("n")))
@@ -92,7 +120,7 @@ class FingerprintIndex:
         merged = self.runs[0]
         for run in self.runs[1:]:
             merged = merged.union(run)
-        self.runs = [self._sorted(merged)]
+        self.runs = [self._sorted(merged)]  # the old runs' tables stay until drop(): answers not yet computed read them
 
 
 def postings(rows: DataFrame, size: int = SIZE) -> DataFrame:
@@ -101,7 +129,7 @@ def postings(rows: DataFrame, size: int = SIZE) -> DataFrame:
     def work(columns):
         keys, docs = [], []
         for doc, text in zip(*columns):
-            k = np.unique(windows(text.encode(), size)[1])
+            k = standing_keys(text, size)
             keys.append(k)
             docs.append(np.full(len(k), doc, np.int64))
         key, doc = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *docs])
@@ -114,19 +142,18 @@ def postings(rows: DataFrame, size: int = SIZE) -> DataFrame:
     return map_rows(rows.select("doc_id", "text"), work, "key long, lo long, hi long, n long")
 
 
-def marks(rows: DataFrame, repeated: DataFrame, size: int = SIZE) -> DataFrame:
-    """(rid, text) and repeated fingerprints -> rid, marks: those of them that a row holds."""
+def marks(rows: DataFrame, keys: DataFrame, size: int = SIZE) -> DataFrame:
+    """(rid, text) and repeated fingerprints (key, crowd) -> rid, marks: those of them that a row holds."""
 
     def work(columns):
-        found = [np.unique(windows(t.encode(), size)[1]) for t in columns[1]]
+        found = [standing_keys(t, size) for t in columns[1]]
         return {"rid": np.repeat(np.array(columns[0], np.int64), [len(k) for k in found]), "key": np.concatenate([np.empty(0, np.int64), *found])}
 
     places = map_rows(rows.select("rid", "text"), work, "rid long, key long")
-    keys = repeated.groupBy("key").agg((F.max("n") > CROWD).alias("crowd"))
     return places.join(keys, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "crowd")).alias("marks"))
 
 
-_PARTS = "kind int, rid long, doc_id long, body binary, key long, at long, hashes array<long>, crowd boolean"
+_PARTS = "kind int, rid long, doc_id long, body binary, key long, at long, hashes binary, crowd boolean"
 
 
 def split_rows(rows: DataFrame, found: DataFrame, size: int = SIZE) -> DataFrame:
@@ -147,9 +174,10 @@ def split_rows(rows: DataFrame, found: DataFrame, size: int = SIZE) -> DataFrame
                 continue
             crowd = {m["key"]: m["crowd"] for m in marked}
             first, key, hashes = windows(unsqueezed(body), size)
+            packed_hashes = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
             for i, k in enumerate(key.tolist()):
                 if k in crowd:
-                    put(kind=1, rid=rid, doc_id=doc, key=k, at=int(first[i]), hashes=hashes[first[i] : first[i + 1]].tolist(), crowd=crowd[k])
+                    put(kind=1, rid=rid, doc_id=doc, key=k, at=int(first[i]), hashes=packed_hashes[WIDTH * first[i] : WIDTH * first[i + 1]], crowd=crowd[k])
         return out
 
     return map_rows(packed.join(found, "rid", "left"), work, _PARTS)
@@ -161,10 +189,12 @@ def verified(parts: DataFrame, size: int = SIZE) -> DataFrame:
     tasks = held.count() // TASK_ROWS + 1
 
     def in_task(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf["hashes"].map(len).to_numpy(np.int64)
+        sizes = pdf["hashes"].map(len).to_numpy(np.int64) // WIDTH
         owner = np.repeat(np.arange(len(pdf)), sizes)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        h = np.concatenate([np.empty(0, np.int64), *pdf["hashes"]]).astype(np.int64)
+        wide = np.zeros((len(owner), 8), np.uint8)
+        wide[:, :WIDTH] = np.frombuffer(b"".join(pdf["hashes"]), np.uint8).reshape(-1, WIDTH)
+        h = wide.view(np.int64).reshape(-1)
         key, doc = pdf["key"].to_numpy(np.int64)[owner], pdf["doc_id"].to_numpy(np.int64)[owner]
         order = np.lexsort((doc, h, key))
         k, x, d = key[order], h[order], doc[order]
@@ -179,7 +209,8 @@ def verified(parts: DataFrame, size: int = SIZE) -> DataFrame:
         return pd.DataFrame({"rid": pdf["rid"].to_numpy(np.int64)[o[head]], "lo": at + p[head], "hi": at + p[tail] + size})
 
     spans = held.where("not crowd").withColumn("task", F.pmod("key", F.lit(tasks))).groupBy("task").applyInPandas(in_task, "rid long, lo long, hi long")
-    each = held.where("crowd").select("rid", "doc_id", "key", "at", F.posexplode("hashes").alias("p", "h"))
+    each_hash = F.expr(f"transform(sequence(0, length(hashes) div {WIDTH} - 1), i -> substring(hashes, cast(i * {WIDTH} + 1 as int), {WIDTH}))")
+    each = held.where("crowd").select("rid", "doc_id", "key", "at", F.posexplode(each_hash).alias("p", "h"))
     low = each.groupBy("key", "h").agg(F.min("doc_id").alias("low"))
     loose = each.join(low, ["key", "h"]).where("doc_id > low").select("rid", (F.col("at") + F.col("p")).alias("lo"), (F.col("at") + F.col("p") + size).alias("hi"))
     return spans.union(loose)
@@ -188,6 +219,7 @@ def verified(parts: DataFrame, size: int = SIZE) -> DataFrame:
 def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, body (compressed text), spans: word positions covered by earlier documents' windows."""
     spark = docs.sparkSession
+    own = index is None
     index = index or FingerprintIndex(spark)
     rows = with_row_key(docs)
     dated = rows.where("doc_id is not null")
@@ -198,9 +230,16 @@ def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, in
         part = part if high is None else part.where(F.col("doc_id") <= high)
         found = index.add(postings(part, size))
         repeated = found if repeated is None else repeated.union(found)
-    found = materialise(marks(dated, repeated, size), "marks")
+    # written, so that the join with places has no aggregate in its way and can be split
+    keys = materialise(repeated.groupBy("key").agg((F.max("n") > CROWD).alias("crowd")), "keys")
+    repeated = None
+    if own:
+        index.drop()
+    found = materialise(marks(dated, keys, size), "marks")
+    discard(keys)
     release(spark)
     parts = materialise(split_rows(rows, found, size), "parts")
+    discard(found)
     release(spark)
     more = verified(parts, size).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     texts = parts.select("kind", "rid", "doc_id", "body")
