@@ -1,6 +1,6 @@
 """Operator 6: incremental removal of repeated word windows with a log-structured fingerprint index.
 
-Documents come in batches of ascending doc_id. Of every window of `size` words one gram of GRAM words, the longest,
+Documents come in batches of ascending doc_id. Of every window of `size` words one gram of GRAM words, the longest by their bytes,
 stands for it (chosen by the window's own words, so equal windows choose alike); the gram's fingerprint is what is indexed.
 A batch becomes an immutable run, bucketed and sorted by fingerprint, is merge-joined with the runs of earlier batches
 (without a shuffle, for the buckets are the same), and runs are compacted when there are many. Fingerprints met twice lead back to the texts, where their windows are verified by an
@@ -52,17 +52,18 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def standing(start: np.ndarray, end: np.ndarray, h: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """first, key: windows that share their standing gram form runs, which begin at `first` (window positions; the last entry
-    is the number of windows), and key is that gram's hash. Of a window's grams the longest stands, then the lower hash,
-    then the first."""
+    is the number of windows), and key is that gram's hash. Of a window's grams the one of the most bytes in its words stands
+    (what parts the words does not count), then the lower hash, then the first."""
     n = len(h)
     if n < size:
         return np.zeros(1, np.int64), np.empty(0, np.int64)
     firsts, keys = [], []
+    upto = np.append(0, np.cumsum(end - start))
     for c in range(0, n - size + 1, CHUNK):  # a chunk's places fit into 24 bits
         part = slice(c, c + CHUNK + size - 1)
         roll = Rolling(h[part])
         gram = mix64(roll.all(GRAM))
-        long = np.minimum(end[part][GRAM - 1 :] - start[part][: len(gram)], 255).astype(np.uint64)
+        long = np.minimum(upto[c + GRAM : c + GRAM + len(gram)] - upto[c : c + len(gram)], 255).astype(np.uint64)
         rank = ((np.uint64(255) - long) << np.uint64(56)) | ((gram >> np.uint64(32)) << np.uint64(24)) | np.arange(len(gram), dtype=np.uint64)
         at = (sliding(np.minimum, rank, size - GRAM + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import sys
 import zlib
 from collections import defaultdict
@@ -170,6 +171,21 @@ def test_op6(spark, folder, corpus, monkeypatch, crowd, batches, fan_in):
     assert any(r[2] for r in got)
 
 
+def test_op6_separators_do_not_count(spark, tmp_path):
+    rng = random.Random(11)
+    pool = ["a", "of", "the", "word", "éé", "longerword", "and,", "end.", "Abc", "日本"]
+    docs = []
+    for i in range(30):
+        w = [rng.choice(pool) + str(rng.randrange(100)) for _ in range(40)]
+        docs += [(3 * i, " ".join(w)), (3 * i + 1, "\r\n      ".join(" ".join(w[j : j + 5]) for j in range(0, 40, 5))), (3 * i + 2, "".join(x + rng.choice([" ", "  ", "\t \t"]) for x in w))]
+    for a, b, c in zip(docs[::3], docs[1::3], docs[2::3]):
+        keys = [window_index.standing_keys(t).tolist() for _, t in (a, b, c)]
+        assert keys[0] == keys[1] == keys[2]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(window_index.op6_window_index(spark, str(tmp_path)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.windows(docs), key=str)
+
+
 def test_op7(spark, folder, corpus):
     got = registry.QUERIES["op7_simhash"](spark, folder).collect()
     want = {}
