@@ -1,15 +1,14 @@
 """Operator 2: quality rules and n-gram perplexity bands.
 
-Spark counts strings of three symbols over all documents, per language; a modified Kneser-Ney model of them is kept in
-sorted arrays of hashes. A first model, of all texts, also learns what junk looks like, so the model that judges is counted
-again over the documents whose perplexity under the first lies in the middle half of their language. Documents outside
-their language's perplexity band are rejected. Symbols are 64 classes of
-characters and languages are LANGUAGES and "other", so the model has at most 5 * 64**3 cells and may be broadcast.
+Spark counts strings of three code points over all documents, per language found; the modified Kneser-Ney model of them
+stays distributed, and prices come back to each input split by joins (as in operator 4), so what is gathered grows with the
+input. Documents outside their language's perplexity band are rejected.
 
 The band of a language is its documents' median log perplexity, plus and minus WIDTH times the distance from the median to
-the 5 % quantile and SHORT over the square root of the length, since short texts scatter more.
+the 5 % quantile and SHORT over the square root of the length, since short texts scatter more. Both are set by the labels
+of sf0.1 (README). HashedModel and codes() are a small model over 64 classes that no query uses any more.
 
-Nulls: a null text has no words (it fails the base rule); a null or unlisted lang is "other"; a null doc_id is carried
+Nulls: a null text has no words (it fails the base rule); a null lang is a language of its own; a null doc_id is carried
 along. Repeated rows are judged one by one; an empty table gives no rows; other columns are ignored.
 """
 
@@ -19,19 +18,19 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, mix64, table, text_or_empty, words
+from .anchors import unsqueezed
+from .common import fresh, materialise, mix64, table, words
+from .quality_classifier import LANGUAGES, cogrouped, in_blocks, listed, model_of_counts
+from .quality_classifier import _score_block as block_scores
 
-LANGUAGES = ("de", "en", "es", "fr")
 SYMBOLS = 64
 CELLS = SYMBOLS**3
-WIDTH, SHORT = 14.0, 6.0
+WIDTH, SHORT = 1.5, 2.5
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
-#: Characters of text scored at once.
-CHUNK = 4_000_000
 SIGN = re.compile(r"[#*$%&|<>]")
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -98,33 +97,6 @@ def codes(text: str) -> np.ndarray:
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
 
-def language(lang) -> str:
-    return lang if lang in LANGUAGES else "other"
-
-
-def counts(docs: DataFrame, core: tuple[dict, dict] | None = None) -> DataFrame:
-    """(text, lang) -> lang, code, n, summed within each Arrow batch before the shuffle; over all documents, or those whose
-    log perplexity under core's models lies within core's limits for their language."""
-    shared = docs.sparkSession.sparkContext.broadcast(core)  # at most 5 * 64**3 cells
-
-    def work(columns):
-        sums: dict[str, np.ndarray] = {}
-        models, limits = shared.value or ({}, {})
-        for text, lang in zip(*columns):
-            lang = language(lang)
-            total = sums.setdefault(lang, np.zeros(CELLS, np.int64))
-            if text and (not models or lang in limits and limits[lang][0] <= log_perplexity(text, models[lang]) <= limits[lang][1]):
-                code = codes(text)
-                if len(code) > 50_000:
-                    total += np.bincount(code, minlength=CELLS)
-                else:
-                    np.add.at(total, code, 1)
-        made = [(k, np.flatnonzero(v), v[v > 0]) for k, v in sums.items()]
-        return {"lang": [k for k, c, _ in made for _ in range(len(c))], "code": np.concatenate([np.empty(0, np.int64), *(c for _, c, _ in made)]), "n": np.concatenate([np.empty(0, np.int64), *(n for *_, n in made)])}
-
-    return map_rows(docs.select("text", "lang"), work, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
 def discounts(n: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more, from how many counts are 1 to 4."""
     k = [float((n == i).sum()) for i in range(1, 5)]
@@ -195,103 +167,52 @@ class HashedModel:
         return {k: v for k, v in self.__dict__.items() if k != "all"}
 
 
-def train(docs: DataFrame) -> dict[str, HashedModel]:
-    """A model per language, of the documents that a model of all finds most ordinary."""
-    first = _models(counts(docs))
-    return _models(counts(docs, (first, middle_half(docs, first)))) or first
-
-
-def middle_half(docs: DataFrame, models: dict[str, HashedModel]) -> dict[str, tuple[float, float]]:
-    """Quartiles of each language's log perplexities over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def work(columns):
-        pairs = [(x, log_perplexity(t, shared.value[x])) for t, x in ((t, language(x)) for t, x in zip(*columns)) if t]
-        return {"language": [x for x, _ in pairs], "log_ppl": [p for _, p in pairs]}
-
-    found = map_rows(docs.select("text", "lang"), work, "language string, log_ppl double")
-    rows = found.groupBy("language").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 20000).alias("q")).collect()  # at most five languages
-    return {r["language"]: tuple(r["q"]) for r in rows}
-
-
-def _models(counted: DataFrame) -> dict[str, HashedModel]:
-    """The driver gets at most 64**3 counts of each language."""
-    found = counted.toPandas()
-    return {lang: HashedModel(g["code"].to_numpy(np.int64), g["n"].to_numpy(float)) for lang, g in found.groupby("lang")}
-
-
-def log_perplexity(text: str, model: HashedModel) -> float:
-    """Mean negative log probability of a text's characters."""
-    cells, total = model.table(), 0.0
-    for at in range(0, len(text), CHUNK):
-        lead = min(at, 2)
-        total -= float(cells[codes(text[at - lead : at + CHUNK])[lead:]].sum(dtype=np.float64))
-    return total / len(text)
+_SCORES = "doc_id long, rid long, language string, n_chars long, log_ppl double, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def scored(docs: DataFrame, models: dict[str, HashedModel]) -> DataFrame:
-    """(doc_id, text, lang) -> doc_id, language, n_chars, log_ppl (null for an empty text) and the base counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most 5 * 64**3 cells
+def _score_block(docs: pa.Table, prices: pa.Table) -> pa.Table:
+    found = block_scores(docs, prices)
+    bases = [base_counts(unsqueezed(body).decode()) for body in docs.column("body").to_pylist()]
+    columns = [found.column(c) for c in ("doc_id", "rid", "lang", "n_chars", "log_ppl")]
+    return pa.table([*columns, *(pa.array([b[i] for b in bases], pa.int64()) for i in range(5))], names=[c.split()[0] for c in _SCORES.split(", ")])
 
-    def work(columns):
-        names = ("doc_id", "language", "n_chars", "log_ppl", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        rows = []
-        for doc, text, lang in zip(*columns):
-            text, lang = text or "", language(lang)
-            model = shared.value.get(lang)
-            rows.append((doc, lang, len(text), log_perplexity(text, model) if text and model else None, *base_counts(text)))
-        return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
 
-    return map_rows(docs.select("doc_id", "text", "lang"), work, "doc_id long, language string, n_chars long, log_ppl double, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+def scored(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang) -> doc_id, rid (a hash of the row), language, n_chars, log_ppl (null for an empty text), base counts."""
+    rows = in_blocks(docs)
+    lists = listed(rows)
+    m = model_of_counts(lists.select("lang", "g", "n"))
+    return cogrouped(rows, lists, m, _score_block, _SCORES)
 
 
-def bands(scores: DataFrame) -> dict[str, tuple[float, float]]:
-    """Median and width of each language's log perplexities, over all its documents that pass the base rule."""
-    q = scores.where(~base_failed() & F.col("log_ppl").isNotNull()).groupBy("language").agg(F.percentile_approx("log_ppl", [0.05, 0.5], 20000).alias("q")).collect()
-    return {r["language"]: (r["q"][1], WIDTH * (r["q"][1] - r["q"][0])) for r in q}
+def bands(scores: DataFrame) -> DataFrame:
+    """language, middle, width: of its log perplexities, over all its documents that pass the base rule."""
+    q = scores.where(~base_failed() & F.col("log_ppl").isNotNull()).groupBy("language").agg(F.percentile_approx("log_ppl", [0.05, 0.5], 20000).alias("q"))
+    return q.select("language", F.col("q")[1].alias("middle"), (WIDTH * (F.col("q")[1] - F.col("q")[0])).alias("width"))
 
 
 def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def with_verdict(scores: DataFrame, band: dict[str, tuple[float, float]]) -> DataFrame:
-    inside = F.lit(True)
-    for lang, (middle, width) in band.items():
-        away = F.abs(F.col("log_ppl") - middle) <= width + SHORT / F.sqrt("n_chars")
-        inside = F.when(F.col("language") == lang, F.coalesce(away, F.lit(False))).otherwise(inside)
-    return scores.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
+def with_verdict(scores: DataFrame, band: DataFrame) -> DataFrame:
+    few = len(band.select("language").limit(LANGUAGES + 1).collect()) <= LANGUAGES
+    away = F.abs(F.col("log_ppl") - F.col("middle")) <= F.col("width") + SHORT / F.sqrt("n_chars")
+    joined = scores.join(F.broadcast(band) if few else band, "language", "left")
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.when(F.col("middle").isNotNull(), F.coalesce(away, F.lit(False))).otherwise(True)).drop("middle", "width")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """(doc_id, text, lang) -> the counts, base_failed, perplexity and kept of every document."""
-    scores = materialise(scored(docs, train(docs)), "scores")
-    return with_verdict(scores, bands(scores)).withColumn("perplexity", F.exp("log_ppl"))
+    scores = materialise(scored(docs), "scores")
+    return with_verdict(scores, materialise(bands(scores), "bands")).withColumn("perplexity", F.exp("log_ppl"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that quality() keeps, all columns as they are; texts are scored again instead of being joined."""
-    models = train(docs)
-    plain = docs.select("doc_id", "text", "lang")
-    band = bands(materialise(scored(plain, models), "scores"))
-    shared = docs.sparkSession.sparkContext.broadcast((models, band))
-
-    @F.pandas_udf("boolean")
-    def keep(text: pd.Series, lang: pd.Series) -> pd.Series:
-        models, band = shared.value
-        return pd.Series([_kept(t or "", language(x), models, band) for t, x in zip(text, lang)], dtype=bool)
-
-    return docs.where(keep(text_or_empty(), F.coalesce("lang", F.lit(""))))
-
-
-def _kept(text: str, lang: str, models, band) -> bool:
-    n_words, _, _, _, n_repeat = base_counts(text)
-    if n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words:
-        return False
-    if lang not in band:
-        return True
-    middle, width = band[lang]
-    return abs(log_perplexity(text, models[lang]) - middle) <= width + SHORT / len(text) ** 0.5
+    """The documents that quality() keeps, all columns as they are."""
+    key = fresh(docs, "rid")
+    good = quality(docs.select("doc_id", "text", "lang")).where("kept").select(F.col("rid").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("doc_id", "lang", "text")).join(good, key, "left_semi").select(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

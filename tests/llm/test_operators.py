@@ -105,6 +105,16 @@ def test_op2_op4_reject_junk_and_keep_clean(spark, sf_dir):
         assert sum(d not in kept for d in bad) >= junk * len(bad)
 
 
+def test_op2_rejects_three_quarters_of_labelled_junk(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    judged = [(labels[r["doc_id"]], r["kept"]) for r in registry.QUERIES["op2_quality_rules"](spark, folder).where("n_words >= 10").collect() if r["doc_id"] in labels]
+    clean, junk = [k for q, k in judged if q == 1], [k for q, k in judged if q == 0]
+    print("kept: clean", sum(clean), len(clean), "junk", sum(junk), len(junk))
+    assert sum(clean) >= 0.98 * len(clean)
+    assert sum(junk) <= 0.25 * len(junk)
+
+
 def test_op4_model_against_plain_sums(spark):
     texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "thé cät"]
     m = quality_classifier.model(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"))
