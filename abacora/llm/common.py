@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Words of a text: maximal runs of anything but space and the ASCII controls 9 to 13.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+#: Bytes of a batch's columns that are turned into Python objects at a time, about.
+BATCH_BYTES = 32 << 20
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -37,9 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a local session gets one of its own; on a
+    cluster that is an error, since executors do not see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="abacora-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -65,14 +70,27 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about `most` bytes, a row at least, so that lists of long texts stay small."""
+    rows = max(1, int(batch.num_rows * most / max(most, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        piece = batch.slice(at, rows)
+        if rows > 1 and piece.num_rows > 1 and piece.nbytes > 2 * most:  # long rows stand together
+            yield from slices(piece.slice(0, piece.num_rows // 2), most)
+            yield from slices(piece.slice(piece.num_rows // 2), most)
+        else:
+            yield piece
+
+
 def map_rows(df: DataFrame, work: Callable[[list[list]], dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow over plain columns: work gets the columns as lists, one Arrow batch at a time, and returns columns."""
+    """mapInArrow over plain columns: work gets the columns as lists, some BATCH_BYTES at a time, and returns columns."""
     target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = work([c.to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays([_array(made[f.name], f.type) for f in target], schema=target)
+            for part in slices(batch):
+                made = work([c.to_pylist() for c in part.columns])
+                yield pa.RecordBatch.from_arrays([_array(made[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 

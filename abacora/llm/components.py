@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _digest(edges: DataFrame):
@@ -13,26 +13,24 @@ def _digest(edges: DataFrame):
     return row["n"], row["x"]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Undirected edges (a, b) -> (node, root): the smallest node of each component, for all nodes that have an edge.
 
     Minima are taken by partial aggregation and joined back, so a node with very many neighbours is no single group.
-    Each round is written to the shared folder; the loop ends when a round changes nothing.
+    Each round is written to the shared folder and the one before it deleted. A round only ever moves edges to smaller
+    nodes, so the loop ends by itself: when a round changes nothing. An empty table of edges gives no rows.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _digest(edges)
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = _digest(after)
-        edges = after
+        discard(edges)
+        now, edges = _digest(after), after
         if now == seen:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -259,6 +259,29 @@ def test_large_buckets_are_dealt_in_parts(spark, words):
     ids = {r["node"] for r in nodes.collect()}
     pairs = {(r["a"], r["b"]) for r in found} | {(r["b"], r["a"]) for r in found}
     assert len(set(brute.components(ids, lambda a, b: (a, b) in pairs).values())) == 1
+    roots = near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bucket=8).collect()
+    assert len({r["root"] for r in roots}) == 1
+
+
+@pytest.mark.parametrize("bucket", [4096, 6])
+def test_near_copies_link_from_the_stated_similarity_on(spark, bucket):
+    """Planted pairs on both sides of 0.8: none above it is lost, none below it is linked."""
+    rng = random.Random(8)
+    texts, above, pairs = [], 0, 0
+    for i in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 400]))]
+        near = list(base)
+        for _ in range(max(1, int(len(base) * rng.choice([0.005, 0.01, 0.02, 0.025, 0.03, 0.05])))):
+            near[rng.randrange(len(near))] = f"n{rng.randrange(5000)}"
+        texts += [" ".join(base), " ".join(near)]
+    got = {r["doc_id"]: r["root"] for r in near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bucket=bucket).collect()}
+    for i in range(0, len(texts), 2):
+        a, b = brute.shingles(texts[i]), brute.shingles(texts[i + 1])
+        close = len(a & b) >= 0.8 * len(a | b)
+        above += close
+        pairs += close and got[i] == got[i + 1]
+        assert close or got[i] != got[i + 1]
+    assert 20 < above < 140 and pairs >= 0.99 * above
 
 
 @pytest.mark.parametrize("crowd", [8192, 1])
