@@ -1,14 +1,20 @@
 """Operator 6: incremental removal of repeated word windows with a log-structured fingerprint index.
 
-Documents come in batches of ascending doc_id. Of every window of `size` words one gram of GRAM words, the longest by their bytes,
-stands for it (chosen by the window's own words, so equal windows choose alike); the gram's fingerprint is what is indexed.
-A batch becomes an immutable run, bucketed and sorted by fingerprint, is merge-joined with the runs of earlier batches
-(without a shuffle, for the buckets are the same), and runs are compacted when there are many. Fingerprints met twice lead back to the texts, where their windows are verified by an
-independent 48-bit hash of all words, beside the gram's 64 bits; the smallest doc_id of a window keeps it. A fingerprint with more than CROWD
-documents has its windows counted one by one instead of in one group.
+Documents come in batches of ascending doc_id. Of every window of `size` words one gram of GRAM words, the longest by their
+bytes, stands for it (chosen by the window's own words, so equal windows choose alike); what is indexed is that gram's
+fingerprint, once for each run of windows that shares it. A batch becomes an immutable run of the index, bucketed and sorted
+by fingerprint, and is merge-joined with the runs of earlier batches (without a shuffle, for the buckets are the same); when
+there are FAN_IN runs, they are compacted into one before the next batch comes.
+
+Fingerprints met twice lead back to the texts. There a run of windows with all its words is a context. A context that an
+earlier document has too, by its fingerprint and by the XXH3 hash of its words' bytes (two unrelated 64-bit hashes), goes
+whole. Of the other contexts of such a fingerprint one copy each is fetched, and their windows are compared word by word.
+A fingerprint with more than CROWD different contexts is no single group: its windows are counted one by one, by a
+128-bit BLAKE2 digest of their words.
 
 Nulls: a null text has no words; a null doc_id is not smaller or larger than any, so such rows neither lose words nor make
-others lose any. Rows of equal doc_id do not remove each other's words. Empty tables give no rows; other columns are ignored.
+others lose any. Rows of equal doc_id do not remove each other's words, and repeated rows are judged alike. Very long texts
+take memory in proportion to their own words. Empty tables give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,25 +36,45 @@ SIZE = 13
 #: Words of the gram that stands for a window.
 GRAM = 4
 CHUNK = 1 << 23
-#: Bytes of a window's own hash; windows are compared within their gram's 64-bit fingerprint, so both must agree.
-WIDTH = 6
-BATCHES = 2
-FAN_IN = 4
+BATCHES = 3
+FAN_IN = 2
 CROWD = 4096
-TASK_ROWS = 60_000
-_BYTES = mix64(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes of contexts in one task, about.
+TASK_BYTES = 12 << 20
+_LENGTHS = np.uint64(0xD1342543DE82EF95)
+#: Words of more bytes than this are hashed one by one.
+LANES = 64
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of UTF-8 bytes."""
-    raw = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_BLANK[raw]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return start, end, Rolling(_BYTES[raw]).at(start, end)
+    """Byte positions of the words of a text with one space between words, and a hash of each.
+
+    A word of up to eight bytes is mixed as one number, so that words of equal length never share a hash; longer ones are
+    mixed eight bytes at a time.
+    """
+    raw = np.frombuffer(data + b" " * 8, np.uint8)
+    end = np.flatnonzero(raw[: len(data) + 1] == 32) if data else np.empty(0, np.int64)
+    start = np.append(0, end[:-1] + 1) if len(end) else end
+    size = end - start
+    h = mix64(size.astype(np.uint64) * _LENGTHS)
+    left = np.flatnonzero(size <= LANES)
+    for at in range(0, LANES, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        for c in range(0, len(left), 1 << 18):
+            w = left[c : c + (1 << 18)]
+            lane = raw[(start[w] + at)[:, None] + np.arange(8)].view(np.uint64).reshape(-1)
+            short = np.maximum(0, 8 - (size[w] - at)).astype(np.uint64) * np.uint64(8)
+            h[w] = mix64(h[w] ^ (lane << short))
+    for w in np.flatnonzero(size > LANES).tolist():
+        h[w] = xxhash.xxh64_intdigest(data[start[w] : end[w]], 6)
+    return start, end, h
+
+
+def one_spaced(text: str) -> bytes:
+    """The words of a text, one space between them (bytes split at exactly the separators of words)."""
+    return b" ".join(text.encode().split())
 
 
 def standing(start: np.ndarray, end: np.ndarray, h: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -73,14 +100,7 @@ def standing(start: np.ndarray, end: np.ndarray, h: np.ndarray, size: int = SIZE
 
 
 def standing_keys(text: str, size: int = SIZE) -> np.ndarray:
-    return np.unique(standing(*word_hashes(text.encode()), size)[1])
-
-
-def windows(data: bytes, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """first and key of standing(), and the hash of every window."""
-    start, end, h = word_hashes(data)
-    first, key = standing(start, end, h, size)
-    return first, key, mix64(Rolling(h).all(size)).view(np.int64) if len(key) else np.empty(0, np.int64)
+    return np.unique(standing(*word_hashes(one_spaced(text)), size)[1])
 
 
 class FingerprintIndex:
@@ -88,7 +108,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, buckets: int | None = None):
         """buckets: sorted files of every run, by default as many as the session's shuffles have partitions."""
-        self.spark, self.fan_in, self.runs, self.tables = spark, fan_in, [], []
+        self.spark, self.fan_in, self.runs, self.tables, self.compactions = spark, fan_in, [], [], 0
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _sorted(self, postings: DataFrame) -> DataFrame:
@@ -105,23 +125,28 @@ class FingerprintIndex:
         self.runs, self.tables = [], []
 
     def add(self, postings: DataFrame) -> DataFrame:
-        """Adds a batch as a run; returns (key, n) of its fingerprints that some other document has, in it or before it."""
+        """Adds a batch as a run; returns the written keys of its fingerprints that some other document has, in it or before it."""
+        if len(self.runs) >= self.fan_in:
+            self.compact()
         run = self._sorted(postings)
         release(self.spark)
-        found = run.where("lo < hi").select("key", "n")
+        found = run.where("lo < hi").select("key")
         for old in self.runs:
-            found = found.union(run.join(old.select("key", F.col("n").alias("before")), "key").select("key", (F.col("n") + F.col("before")).alias("n")))
+            found = found.union(run.join(old.select("key"), "key").select("key"))
         self.runs.append(run)
-        if len(self.runs) > self.fan_in:
-            self.compact()
-        return found
+        return materialise(found, "keys")
 
     def compact(self) -> None:
-        """Merges all runs into one."""
-        merged = self.runs[0]
+        """Merges all runs into one, whose tables replace theirs."""
+        merged, before = self.runs[0], list(self.tables)
         for run in self.runs[1:]:
             merged = merged.union(run)
-        self.runs = [self._sorted(merged)]  # the old runs' tables stay until drop(): answers not yet computed read them
+        self.runs = [self._sorted(merged)]
+        self.tables = self.tables[len(before) :]
+        for name in before:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.compactions += 1
+        release(self.spark)
 
 
 def postings(rows: DataFrame, size: int = SIZE) -> DataFrame:
@@ -143,109 +168,159 @@ def postings(rows: DataFrame, size: int = SIZE) -> DataFrame:
     return map_rows(rows.select("doc_id", "text"), work, "key long, lo long, hi long, n long")
 
 
-def marks(rows: DataFrame, keys: DataFrame, size: int = SIZE) -> DataFrame:
-    """(rid, text) and repeated fingerprints (key, crowd) -> rid, marks: those of them that a row holds."""
+def places(rows: DataFrame, size: int = SIZE) -> DataFrame:
+    """(rid, doc_id, text) -> key, context (hash of all its words), rid, doc, at (first window), n (windows)."""
 
     def work(columns):
-        found = [standing_keys(t, size) for t in columns[1]]
-        return {"rid": np.repeat(np.array(columns[0], np.int64), [len(k) for k in found]), "key": np.concatenate([np.empty(0, np.int64), *found])}
+        out = {name: [np.empty(0, kind)] for name, kind in (("key", np.int64), ("context", np.uint64), ("rid", np.int64), ("doc", np.int64), ("at", np.int64), ("n", np.int32))}
+        digest = xxhash.xxh3_64_intdigest
+        for rid, doc, text in zip(*columns):
+            data = one_spaced(text)
+            start, end, h = word_hashes(data)
+            first, key = standing(start, end, h, size)
+            if not len(key):
+                continue
+            spans = zip(start[first[:-1]].tolist(), end[first[1:] + size - 2].tolist())
+            made = key, np.array([digest(data[a:b]) for a, b in spans], np.uint64), np.full(len(key), rid, np.int64), np.full(len(key), doc, np.int64), first[:-1], np.diff(first).astype(np.int32)
+            for values, x in zip(out.values(), made):
+                values.append(x)
+        out = {name: np.concatenate(values) for name, values in out.items()}
+        return out | {"context": out["context"].view(np.int64)}
 
-    places = map_rows(rows.select("rid", "text"), work, "rid long, key long")
-    return places.join(keys, "key").groupBy("rid").agg(F.collect_list(F.struct("key", "crowd")).alias("marks"))
+    return map_rows(rows.select("rid", "doc_id", "text"), work, "key long, context long, rid long, doc long, at long, n int")
 
 
-_PARTS = "kind int, rid long, doc_id long, body binary, key long, at long, hashes binary, crowd boolean"
+def lowest_places(met: DataFrame) -> DataFrame:
+    """Places of repeated fingerprints -> one row for each different context: key, context, and a place in its lowest
+    document (doc, rid, at, n)."""
+    return met.groupBy("key", "context").agg(F.min(F.struct("doc", "rid", "at", "n")).alias("low")).select("key", "context", "low.*")
 
 
-def split_rows(rows: DataFrame, found: DataFrame, size: int = SIZE) -> DataFrame:
-    """Kind 0: final texts; kind 1: windows to be verified; kind 2: texts that may lose words."""
-    packed = map_rows(rows.select("rid", "doc_id", "text"), lambda c: {"rid": c[0], "doc_id": c[1], "body": squeezed(c[2])}, "rid long, doc_id long, body binary")
-    names = [p.split()[0] for p in _PARTS.split(", ")]
+_CONTEXTS = "key long, context long, doc long, words binary, crowd boolean"
+
+
+def fetched(bodies: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
+    """(rid, body) and contexts (key, context, doc, rid, at, n, crowd) -> their words, one space between them."""
+    marks = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "doc", "at", "n", "crowd")).alias("marks"))
 
     def work(columns):
-        out = {name: [] for name in names}
+        out = {"key": [], "context": [], "doc": [], "words": [], "crowd": []}
+        for body, marked in zip(*columns):
+            data = one_spaced(unsqueezed(body).decode())
+            start, end, _ = word_hashes(data)
+            for key, context in {(m["key"], m["context"]): m for m in marked}.items():
+                a = context["at"]
+                out["words"].append(data[start[a] : end[a + context["n"] + size - 2]])
+                out["key"].append(key[0])
+                out["context"].append(key[1])
+                out["doc"].append(context["doc"])
+                out["crowd"].append(context["crowd"])
+        return out
 
-        def put(**values):
-            for name in names:
-                out[name].append(values.get(name))
+    return map_rows(bodies.join(marks, "rid").select("body", "marks"), work, _CONTEXTS)
 
-        for rid, doc, body, marked in zip(*columns):
-            put(kind=2 if marked else 0, rid=rid, doc_id=doc, body=body)
-            if not marked:
-                continue
-            crowd = {m["key"]: m["crowd"] for m in marked}
-            first, key, hashes = windows(unsqueezed(body), size)
-            packed_hashes = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
-            for i, k in enumerate(key.tolist()):
-                if k in crowd:
-                    put(kind=1, rid=rid, doc_id=doc, key=k, at=int(first[i]), hashes=packed_hashes[WIDTH * first[i] : WIDTH * first[i + 1]], crowd=crowd[k])
+
+_HITS = "key long, context long, lo int, hi int"
+
+
+def window_bytes(words: bytes, size: int) -> list[bytes]:
+    w = words.split(b" ")
+    return [b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)]
+
+
+def compared(pdf: pd.DataFrame, size: int = SIZE) -> pd.DataFrame:
+    """Contexts of some fingerprints -> key, context, lo, hi: words covered by windows that a lower document has too."""
+    lowest: dict[bytes, int] = {}
+    docs, held = pdf["doc"].tolist(), pdf["words"].tolist()
+    for doc, words in zip(docs, held):
+        for w in window_bytes(words, size):
+            if lowest.setdefault(w, doc) > doc:
+                lowest[w] = doc
+    made = []
+    for key, context, doc, words in zip(pdf["key"].tolist(), pdf["context"].tolist(), docs, held):
+        lo = None
+        found = [lowest[w] < doc for w in window_bytes(words, size)]
+        for i, hit in enumerate([*found, False]):
+            if hit and lo is None:
+                lo = i
+            elif not hit and lo is not None:
+                made.append((key, context, lo, i - 1 + size))
+                lo = None
+    columns = list(zip(*made)) or [[], [], [], []]
+    return pd.DataFrame({name: pd.Series(x, dtype=kind) for name, x, kind in zip(("key", "context", "lo", "hi"), columns, ("int64", "int64", "int32", "int32"))})
+
+
+def compared_singly(crowded: DataFrame, size: int = SIZE) -> DataFrame:
+    """As compared(), for fingerprints of any number of contexts: each window is a row, known by its words' digest."""
+
+    def work(columns):
+        out = {"key": [], "context": [], "doc": [], "p": [], "w": []}
+        for key, context, doc, words in zip(*columns):
+            digests = [hashlib.blake2b(w, digest_size=16).digest() for w in window_bytes(words, size)]
+            out["w"] += digests
+            out["p"] += range(len(digests))
+            for name, x in (("key", key), ("context", context), ("doc", doc)):
+                out[name] += [x] * len(digests)
         return out
 
-    return map_rows(packed.join(found, "rid", "left"), work, _PARTS)
-
-
-def verified(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """rid, lo, hi: words covered by windows that also begin in a document of smaller doc_id."""
-    held = parts.where("kind = 1").select("rid", "doc_id", "key", "at", "hashes", "crowd")
-    tasks = held.count() // TASK_ROWS + 1
-
-    def in_task(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf["hashes"].map(len).to_numpy(np.int64) // WIDTH
-        owner = np.repeat(np.arange(len(pdf)), sizes)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        wide = np.zeros((len(owner), 8), np.uint8)
-        wide[:, :WIDTH] = np.frombuffer(b"".join(pdf["hashes"]), np.uint8).reshape(-1, WIDTH)
-        h = wide.view(np.int64).reshape(-1)
-        key, doc = pdf["key"].to_numpy(np.int64)[owner], pdf["doc_id"].to_numpy(np.int64)[owner]
-        order = np.lexsort((doc, h, key))
-        k, x, d = key[order], h[order], doc[order]
-        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])])
-        lowest = np.repeat(d[first], np.diff(np.append(first, len(d))))
-        late = np.sort(order[d > lowest])
-        # windows of one row that follow each other make one span
-        o, p = owner[late], place[late]
-        head = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)]) if len(o) else np.empty(0, np.int64)
-        tail = np.append(head[1:], len(o)) - 1 if len(o) else head
-        at = pdf["at"].to_numpy(np.int64)[o[head]]
-        return pd.DataFrame({"rid": pdf["rid"].to_numpy(np.int64)[o[head]], "lo": at + p[head], "hi": at + p[tail] + size})
-
-    spans = held.where("not crowd").withColumn("task", F.pmod("key", F.lit(tasks))).groupBy("task").applyInPandas(in_task, "rid long, lo long, hi long")
-    each_hash = F.expr(f"transform(sequence(0, length(hashes) div {WIDTH} - 1), i -> substring(hashes, cast(i * {WIDTH} + 1 as int), {WIDTH}))")
-    each = held.where("crowd").select("rid", "doc_id", "key", "at", F.posexplode(each_hash).alias("p", "h"))
-    low = each.groupBy("key", "h").agg(F.min("doc_id").alias("low"))
-    loose = each.join(low, ["key", "h"]).where("doc_id > low").select("rid", (F.col("at") + F.col("p")).alias("lo"), (F.col("at") + F.col("p") + size).alias("hi"))
-    return spans.union(loose)
-
-
-def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
+    each = materialise(map_rows(crowded.select("key", "context", "doc", "words"), work, "key long, context long, doc long, p int, w binary"), "windows")
+    low = materialise(each.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("w", "low"), "low")
+    return each.join(low, "w").where("doc > low").select("key", "context", F.col("p").alias("lo"), (F.col("p") + size).alias("hi"))
+
+
+def verified(contexts: DataFrame, size: int = SIZE) -> DataFrame:
+    """Contexts with their words -> key, context, lo, hi: words (counted in the context) that a lower document's windows cover."""
+    row = contexts.agg(F.sum(F.length("words") + 32).alias("bytes"), F.max(F.col("crowd").cast("int")).alias("crowd")).first()
+    tasks = int(row["bytes"] or 0) // TASK_BYTES + 1
+    few = contexts.where("not crowd").withColumn("task", F.pmod("key", F.lit(tasks))).groupBy("task").applyInPandas(lambda pdf: compared(pdf, size), _HITS)
+    return few.union(compared_singly(contexts.where("crowd"), size)) if row["crowd"] else few
+
+
+def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, index: FingerprintIndex | None = None, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text) -> doc_id, body (compressed text), spans: word positions covered by earlier documents' windows."""
     spark = docs.sparkSession
     own = index is None
     index = index or FingerprintIndex(spark)
     rows = with_row_key(docs)
     dated = rows.where("doc_id is not null")
-    edges = [int(x) for x in dated.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)] if batches > 1 else []
-    repeated = None
+    edges = sorted({int(x) for x in dated.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
+    found = []
     for low, high in zip([None, *edges], [*edges, None]):
         part = dated if low is None else dated.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
-        found = index.add(postings(part, size))
-        repeated = found if repeated is None else repeated.union(found)
-    # written, so that the join with places has no aggregate in its way and can be split
-    keys = materialise(repeated.groupBy("key").agg((F.max("n") > CROWD).alias("crowd")), "keys")
-    repeated = None
+        found.append(index.add(postings(part, size)))
+    keys = found[0]
+    for more in found[1:]:
+        keys = keys.union(more)
+    keys = materialise(keys.distinct(), "keys")
+    for old in found:
+        discard(old)
     if own:
         index.drop()
-    found = materialise(marks(dated, keys, size), "marks")
+    release(spark)
+    met = materialise(places(dated, size).join(keys, "key"), "places")
     discard(keys)
     release(spark)
-    parts = materialise(split_rows(rows, found, size), "parts")
-    discard(found)
+    lowest = materialise(lowest_places(met), "contexts")
+    # written, so that the join has no aggregate in its way and a fingerprint of very many contexts can be split
+    several = materialise(lowest.groupBy("key").agg((F.count("*") > crowd).alias("crowd"), F.count("*").alias("kinds")).where("kinds > 1"), "several")
+    release(spark)
+    bodies = map_rows(rows.select("rid", "doc_id", "text"), lambda c: {"rid": c[0], "doc_id": c[1], "body": squeezed(c[2])}, "rid long, doc_id long, body binary")
+    wanted = lowest.join(several.select("key", "crowd"), "key")
+    contexts = materialise(fetched(bodies.select("rid", "body"), wanted, size), "words")
+    release(spark)
+    hits = verified(contexts, size).groupBy("key", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
+    judged = materialise(lowest.select("key", "context", F.col("doc").alias("low")).join(hits, ["key", "context"], "left"), "judged")
+    discard(contexts)
+    release(spark)
+    # a place of a later document loses all its words, one of the lowest document those that were found in others
+    lost = F.when(F.col("doc") > F.col("low"), F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("n") + size - 1).alias("hi")))).otherwise(F.transform("hits", lambda s: F.struct((F.col("at") + s["lo"]).alias("lo"), (F.col("at") + s["hi"]).alias("hi"))))
+    gone = met.join(judged, ["key", "context"]).select("rid", lost.alias("lost")).where("lost is not null")
+    spans = materialise(gone.groupBy("rid").agg(F.flatten(F.collect_list("lost")).alias("spans")), "spans")
+    for old in (met, lowest, several, judged):
+        discard(old)
     release(spark)
-    more = verified(parts, size).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    texts = parts.select("kind", "rid", "doc_id", "body")
-    final = texts.where("kind = 0").select("doc_id", "body", F.lit(None).cast("array<struct<lo: long, hi: long>>").alias("spans"))
-    return final.union(texts.where("kind = 2").join(more, "rid", "left").select("doc_id", "body", "spans"))
+    return bodies.join(spans, "rid", "left").select("doc_id", "body", "spans")
 
 
 def kept_words(data: bytes, spans) -> tuple[int, list[bytes]]:

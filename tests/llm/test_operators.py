@@ -171,14 +171,59 @@ def test_op5(spark, folder):
     assert rows(small, "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("crowd, batches, fan_in", [(4096, 2, 4), (1, 4, 2)])
+@pytest.mark.parametrize("crowd, batches, fan_in", [(4096, 3, 2), (1, 5, 1), (4096, 1, 2)])
 def test_op6(spark, folder, corpus, monkeypatch, crowd, batches, fan_in):
-    monkeypatch.setattr(window_index, "CROWD", crowd)
-    real = window_index.remove_windows
-    monkeypatch.setattr(window_index, "remove_windows", lambda d: real(d, batches=batches, index=window_index.FingerprintIndex(spark, fan_in)))
+    real, made = window_index.remove_windows, window_index.FingerprintIndex(spark, fan_in)
+    monkeypatch.setattr(window_index, "remove_windows", lambda d: real(d, batches=batches, index=made, crowd=crowd))
     got = rows(window_index.op6_window_index(spark, folder), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == sorted(brute.windows([(r[0], r[1]) for r in corpus]), key=str)
     assert any(r[2] for r in got)
+    assert len(made.runs) <= max(2, fan_in) and bool(made.compactions) == (batches > fan_in)
+    made.drop()
+
+
+def test_op6_compacts_in_its_query(spark, folder, monkeypatch):
+    seen, compact = [], window_index.FingerprintIndex.compact
+    monkeypatch.setattr(window_index.FingerprintIndex, "compact", lambda self: (seen.append(len(self.runs)), compact(self)))
+    window_index.op6_window_index(spark, folder)
+    assert seen and not spark.sql("show tables").where("tableName like 'run%'").count()
+
+
+def test_op6_words_that_polynomial_hashes_confuse(spark, tmp_path):
+    """Two words of 1,024 letters in Thue-Morse order share every polynomial hash modulo 2**64."""
+    order = ["ab"[bin(i).count("1") % 2] for i in range(1024)]
+    one, two = "".join(order), "".join("ab"["ab".index(c) ^ 1] for c in order)
+    same = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"{same} {two}"), (4, f"x {same} {one} y")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(window_index.op6_window_index(spark, str(tmp_path)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.windows(docs), key=str) and [r[2] for r in got] == [0, 0, 13, 13]
+
+
+def test_op6_a_document_that_repeats_itself(spark, tmp_path):
+    """One context very often in one document, and an edge of it in another: nothing is removed from the first."""
+    phrase = " ".join(f"p{i}" for i in range(20))
+    docs = [(1, f"{phrase} " * 500), (2, f"a {phrase} b"), (3, " ".join(phrase.split()[3:17]) + " c"), (4, f"{phrase} " * 50)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(window_index.op6_window_index(spark, str(tmp_path)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.windows(docs), key=str)
+
+
+def test_op6_random_overlaps(spark, tmp_path):
+    rng = random.Random(12)
+    pool = [f"{c}{i}" for i in range(7) for c in ("a", "longer", "é")]
+    pieces = [[rng.choice(pool) for _ in range(rng.randrange(5, 60))] for _ in range(12)]
+    docs = []
+    for i in range(80):
+        w = []
+        for _ in range(rng.randrange(1, 6)):
+            p = rng.choice(pieces)
+            a = rng.randrange(len(p))
+            w += p[a : a + rng.randrange(3, 60)] + [rng.choice(pool)] * rng.randrange(3)
+        docs.append((rng.randrange(60), " ".join(w)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(window_index.op6_window_index(spark, str(tmp_path)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.windows(docs), key=str)
 
 
 def test_op6_separators_do_not_count(spark, tmp_path):
