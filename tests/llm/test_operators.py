@@ -159,16 +159,53 @@ def test_op3_model_separates_held_out_urls(spark):
     assert len(got) == 100 and right >= 90
 
 
-def test_op5(spark, folder):
-    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r["vec_id"] is not None}
-    fine = {i: [math.floor(256 * float(x)) for x in v] for i, v in vectors.items() if v and all(x is not None and math.isfinite(x) for x in v)}
+def plain_top(vectors, k=5):
+    """(vec_id, vector) rows -> query_id, rank, vec_id, score of every row whose id is divisible by 50."""
+    fine = [(i, [math.floor(x * 256) if abs(x) < 2**53 else int(x) * 256 for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in fine if i % 50 == 0):
-        s = sorted(((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q])))[:5]
-        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
-    assert rows(registry.QUERIES["op5_topk_search"](spark, folder), "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
-    small = topk_search.top_k(topk_search.quantised(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")), topk_search.F.col("vec_id") % 50 == 0, query_block=2, row_block=7)
-    assert rows(small, "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
+    for at, (q, v) in enumerate(fine):
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w)), i) for other, (i, w) in enumerate(fine) if other != at and len(w) == len(v))[:k]
+            want += [(q, n + 1, i, min(max(-x, -(2**63)), 2**63 - 1)) for n, (x, i) in enumerate(s)]
+    return sorted(want, key=str)
+
+
+def searched(frame, **options):
+    made = topk_search.materialise(topk_search.taking_part(frame), "vectors")
+    return rows(topk_search.top_k(made, topk_search.F.col("vec_id") % 50 == 0, **options), "query_id", "rank", "vec_id", "score")
+
+
+def test_op5(spark, folder):
+    frame = spark.read.parquet(f"{folder}/embeddings.parquet")
+    want = plain_top([(r["vec_id"], r["embedding"]) for r in frame.collect()])
+    assert rows(registry.QUERIES["op5_topk_search"](spark, folder), "query_id", "rank", "vec_id", "score") == want
+    assert searched(frame.select("vec_id", "embedding"), block_bytes=300, probe=20) == want
+
+
+@pytest.mark.parametrize("kind, scale", [("float", 1.0), ("double", 1.0), ("double", 4e13), ("double", 1e200), ("double", 1e307)])
+def test_op5_repeated_ids_and_large_values(spark, kind, scale):
+    rng = random.Random(6)
+    vectors = [(i % 130, [float(rng.randrange(-6, 7)) * (scale if rng.random() < 0.02 else 1.0) for _ in range(5)]) for i in range(200)]
+    vectors += [(50, [scale] * 5), (50, [scale] * 5), (7, [0.1, -0.1, 0.3, -scale, scale])]
+    frame = spark.createDataFrame(vectors, f"vec_id long, embedding array<{kind}>")
+    want = plain_top(vectors) if kind == "double" else plain_top([(r["vec_id"], r["embedding"]) for r in frame.collect()])
+    assert searched(frame) == want
+    assert searched(frame, block_bytes=900, probe=10) == want
+
+
+def test_op5_resolves_few_entries():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    make = lambda n, at: topk_search.Side(pa.table({"row": np.arange(at, at + n), "vec_id": np.arange(at, at + n), "x": list(rng.normal(size=(n, 64)))}))
+    queries, rows_, sample = make(40, 0), make(20_000, 100), make(2048, 50_000)
+    cut = np.array([b[-1] for b in topk_search.probed(queries, sample, 5, 4)])
+    found, count = topk_search.resolved(queries, rows_, cut, 5, 4)
+    whole = queries.v @ rows_.v.T
+    for i in range(queries.n):
+        best = sorted((s for a, _, s in found if a == i), reverse=True)[:5]
+        assert best == [int(x) for x in np.sort(whole[i])[::-1][:5] if x >= cut[i]][: len(best)]
+    assert 0 < count < 0.5 * queries.n * rows_.n  # the others were never summed
 
 
 @pytest.mark.parametrize("crowd, batches, fan_in", [(4096, 3, 2), (1, 5, 1), (4096, 1, 2)])
