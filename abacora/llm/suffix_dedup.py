@@ -2,17 +2,21 @@
 
 How it scales: every text is cut at content-defined anchors. A stretch of `length` bytes has one anchor that decides for
 it, chosen by its own bytes only, and holds a fixed core around that anchor. Counting cores finds the anchors that can
-matter; of these, contexts (all stretches of an anchor) that occur twice as a whole are settled. The others, at the edges
-of repeats, are cut into 16-byte symbols around their core, many contexts together are suffix-sorted, and stretches that
-share all but the last symbol stand side by side in the suffix array. Their last bytes are then compared exactly.
-A core with more than CROWD different contexts is settled stretch by stretch with counted hashes instead.
+matter. An anchor with all its stretches is a context, known by the XXH3 hash of its bytes; of each different context of a
+repeated core one copy is fetched, and two (the first and the last) of one that occurs twice or more. Their bytes before and
+behind the core are cut into 16-byte symbols, many contexts together are suffix-sorted, and stretches that share all but
+the last symbol stand side by side in the suffix array. Their last bytes are then compared exactly. What is found holds for
+every place of the context. Cores are the same only if a second, 128-bit hash of their bytes agrees too.
+A core with more than CROWD different contexts is no single group: its stretches are counted one by one, by the MD5 digest
+of their bytes.
 
 The suffix sorter groups suffixes by Lyndon prefix: groups are processed in descending order, every member finds the
 nearest position before it in a lower group (previous-smaller pointers), whose group is refined by how often it was
 reached; one ascending pass then emits each group's order, with no renaming and no recursion.
 
 Nulls: a null text is empty and has no removed bytes; a null doc_id is carried along. Repeated rows count as different
-places, so their long strings are removed from each of them. An empty table gives no rows; other columns are ignored.
+places, so their long strings are removed from each of them. Very long texts take memory in proportion to their own bytes.
+An empty table gives no rows; other columns are ignored (cut_repeats() keeps them as they are, whatever their names).
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, minimizers, release, row_key, squeezed, unsqueezed, with_row_key
-from .common import fresh, map_rows, materialise, mix64, table
+from .common import discard, fresh, map_rows, materialise, mix64, table
 
 LENGTH = 400
 GRAM = 16
@@ -130,7 +135,9 @@ class Geometry:
         ok = (most >= 0) & (least <= most)
         a, most, least = all_a[ok], most[ok], least[ok]
         key = roll.at(a - self.side, a + self.right).view(np.int64)
-        context = (roll.at(a - self.side - most, a + self.length - self.side - least) ^ mix64((least * 1024 + most).astype(np.uint64))).view(np.int64)
+        raw, digest = memoryview(data), xxhash.xxh3_64_intdigest
+        whole = [digest(raw[i:j]) for i, j in zip((a - self.side - most).tolist(), (a + self.length - self.side - least).tolist())]
+        context = (np.array(whole, np.uint64) ^ mix64((least * 1024 + most).astype(np.uint64))).view(np.int64)
         return a, most, key, context
 
 
@@ -154,65 +161,55 @@ def repeated_keys(rows: DataFrame, geometry: Geometry) -> DataFrame:
     return map_rows(rows.select("rid", "text"), work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
 
-def marks(rows: DataFrame, geometry: Geometry) -> DataFrame:
-    """Per row (rid) that can hold repeats, its anchors: loc, whole (the context occurs twice), key where it must be sorted."""
+def repeated_places(rows: DataFrame, geometry: Geometry) -> DataFrame:
+    """(rid, text) -> key, context, rid, loc: every place of a core that occurs twice or more."""
 
     def work(columns):
         parts = [(np.full(len(k), rid, np.int64), a * BITS + m, k, c) for rid, (a, m, k, c) in _each(columns, geometry) if len(k)]
         made = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64)] * 4
         return dict(zip(("rid", "loc", "key", "context"), made))
 
-    places = map_rows(rows.select("rid", "text"), work, "rid long, loc long, key long, context long")
-    places = materialise(places.join(repeated_keys(rows, geometry), "key"), "places")
+    keys = materialise(repeated_keys(rows, geometry), "keys")
     release(rows.sparkSession)
-    contexts = places.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("rid").alias("low"))
-    kinds = contexts.groupBy("key").agg(F.count("*").alias("kinds"))
-    status = contexts.join(kinds, "key").where("n > 1 or kinds > 1").select("key", "context", (F.col("n") > 1).alias("whole"), "low", "kinds")
-    found = places.join(status, ["key", "context"])
-    sort = (F.col("kinds") > 1) & (~F.col("whole") | (F.col("rid") == F.col("low")))
-    crowd = F.col("kinds") > CROWD
-    return found.groupBy("rid").agg(F.collect_list(F.struct("loc", "whole", F.when(sort, F.col("key")).alias("key"), (crowd & sort).alias("crowd"))).alias("marks"))
+    met = materialise(map_rows(rows.select("rid", "text"), work, "rid long, loc long, key long, context long").join(keys, "key"), "places")
+    discard(keys)
+    release(rows.sparkSession)
+    return met
 
 
-_PARTS = "kind int, rid long, doc_id long, body binary, key long, loc long, lefts binary, rights binary, spans binary, crowd boolean"
+def wanted_contexts(met: DataFrame, crowd: int) -> DataFrame:
+    """Places -> those to be fetched: rid, key, context, loc, first (else the last place of a context), crowd."""
+    at = F.struct("rid", "loc")
+    # both written, so that the join has no aggregate in its way and a core of very many contexts can be split
+    each = materialise(met.groupBy("key", "context").agg(F.min(at).alias("low"), F.max(at).alias("high")), "contexts")
+    kinds = materialise(each.groupBy("key").agg((F.count("*") > crowd).alias("crowd"), (F.count("*") > 1).alias("several"), F.count_if(F.col("low") < F.col("high")).alias("copied")).where("several or copied > 0"), "kinds")
+    both = each.join(kinds, "key").where("several or low < high")
+    place = F.explode(F.array_distinct(F.array("low", "high")))
+    return both.select("key", "context", "crowd", "low", place.alias("place")).select("place.rid", "key", "context", "place.loc", (F.col("place") == F.col("low")).alias("first"), "crowd")
 
 
-def split_rows(rows: DataFrame, found: DataFrame, geometry: Geometry) -> DataFrame:
-    """Rows with their marks -> kind 0 and 2: texts (compressed) with the spans known so far, final in kind 0; kind 1: contexts
-    to be sorted, as the bytes before and behind the core."""
+_CONTEXTS = "key long, core binary, context long, loc long, lefts binary, rights binary, first boolean, crowd boolean"
 
-    packed = map_rows(rows.select("rid", "doc_id", "text"), lambda c: {"rid": c[0], "doc_id": c[1], "body": squeezed(c[2])}, "rid long, doc_id long, body binary")
-    joined = packed.join(found, "rid", "left")
-    names = [p.split()[0] for p in _PARTS.split(", ")]
-    g = geometry
+
+def fetched(bodies: DataFrame, wanted: DataFrame, geometry: Geometry) -> DataFrame:
+    """(rid, body) and wanted_contexts() -> their bytes before and behind the core, and a hash of the core's."""
+    marks = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "loc", "first", "crowd")).alias("marks"))
+    names, g = [p.split()[0] for p in _CONTEXTS.split(", ")], geometry
 
     def work(columns):
         out = {name: [] for name in names}
-
-        def put(**values):
-            for name in names:
-                out[name].append(values.get(name))
-
-        for rid, doc, body, marked in zip(*columns):
-            if not marked:
-                put(kind=0, rid=rid, doc_id=doc, body=body, spans=b"")
-                continue
-            data, spans, waits, seen = unsqueezed(body), [], False, set()
-            for m in marked:
-                if (m["loc"], m["key"]) in seen:
-                    continue
-                seen.add((m["loc"], m["key"]))
+        for body, marked in zip(*columns):
+            data = unsqueezed(body)
+            for m in {m["loc"]: m for m in marked}.values():
                 a, most = divmod(m["loc"], BITS)
                 least = max(0, a + g.length - g.side - len(data))
-                if m["whole"]:
-                    spans.append((a - g.side - most, a + g.length - g.side - least))
-                if m["key"] is not None:
-                    waits |= not m["whole"]
-                    put(kind=1, rid=None if m["whole"] else rid, key=m["key"], loc=m["loc"], lefts=data[a - g.side - most : a - g.side], rights=data[a + g.right : a + g.right + g.free - least], crowd=m["crowd"])
-            put(kind=2 if waits else 0, rid=rid, doc_id=doc, body=body, spans=np.array(sorted(spans), np.int64).tobytes())
+                made = m["key"], xxhash.xxh3_128_digest(data[a - g.side : a + g.right]), m["context"], m["loc"], data[a - g.side - most : a - g.side], data[a + g.right : a + g.right + g.free - least], m["first"], m["crowd"]
+                for name, x in zip(names, made):
+                    out[name].append(x)
         return out
 
-    return map_rows(joined, work, _PARTS)
+    one = bodies.join(marks, "rid").dropDuplicates(["rid"])  # rows that are repeated hold the same bytes
+    return map_rows(one.select("body", "marks"), work, _CONTEXTS)
 
 
 def sorted_repeats(key: np.ndarray, lefts: list[bytes], rights: list[bytes], geometry: Geometry) -> np.ndarray:
@@ -283,64 +280,67 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def sorted_spans(parts: DataFrame, geometry: Geometry) -> DataFrame:
-    """Contexts to be sorted -> rid, lo, hi: bytes covered by repeated stretches."""
+_HITS = "key long, context long, e1 int, e2 int"
+
+
+def sorted_hits(contexts: DataFrame, geometry: Geometry) -> DataFrame:
+    """Contexts with their bytes -> key, context, e1, e2: stretches with e1 to e2 bytes before the core that occur elsewhere."""
     g = geometry
-    contexts = parts.where("kind = 1").select("rid", "key", "loc", "lefts", "rights", "crowd")
-    tasks = contexts.count() // TASK_CONTEXTS + 1
+    row = contexts.agg(F.count("*").alias("n"), F.max(F.col("crowd").cast("int")).alias("crowd")).first()
+    tasks = row["n"] // TASK_CONTEXTS + 1
 
     def in_task(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        hits = sorted_repeats(pdf["key"].to_numpy(np.int64), list(pdf["lefts"]), list(pdf["rights"]), g)
-        own, rids = pdf["own"].to_numpy(bool), pdf["rid"].to_numpy(np.int64)
-        for i in np.flatnonzero(hits.any(axis=1) & own):
-            a = int(pdf["loc"].iat[i]) // BITS
-            made += [(rids[i], a - g.side - e2, a + g.length - g.side - e1) for e1, e2 in _runs(hits[i])]
-        return pd.DataFrame(made, columns=["rid", "lo", "hi"]).astype("int64")
-
-    few = contexts.where("not crowd").select(F.coalesce("rid", F.lit(0)).alias("rid"), F.col("rid").isNotNull().alias("own"), "key", "loc", "lefts", "rights", F.pmod("key", F.lit(tasks)).alias("task"))
-    spans = few.groupBy("task").applyInPandas(in_task, "rid long, lo long, hi long")
-    # crowded cores: each stretch by itself, counted by hash
+        _, core = np.unique(np.array([k.to_bytes(8, "little", signed=True) + c for k, c in zip(pdf["key"].tolist(), pdf["core"])]), return_inverse=True)
+        hits = sorted_repeats(core, list(pdf["lefts"]), list(pdf["rights"]), g)
+        key, context = pdf["key"].to_numpy(np.int64), pdf["context"].to_numpy(np.int64)
+        made = [(key[i], context[i], *run) for i in np.flatnonzero(hits.any(axis=1) & pdf["first"].to_numpy(bool)) for run in _runs(hits[i])]
+        columns = list(zip(*made)) or [[]] * 4
+        return pd.DataFrame({n: np.array(x, t) for n, x, t in zip(("key", "context", "e1", "e2"), columns, (np.int64, np.int64, np.int32, np.int32))})
+
+    few = contexts.where("not crowd").withColumn("task", F.pmod("key", F.lit(tasks))).groupBy("task").applyInPandas(in_task, _HITS)
+    if not row["crowd"]:
+        return few
+    # crowded cores: each stretch by itself, so no group is gathered
     e = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(g.free) - F.length("rights")), F.length("lefts")))
-    stretches = contexts.where("crowd").select("rid", "loc", "key", "lefts", "rights", e.alias("e"))
-    body = F.concat(F.expr("substring(lefts, length(lefts) - e + 1, e)"), F.expr(f"substring(rights, 1, {g.free} - e)"))
-    stretches = stretches.select("rid", "loc", "e", F.xxhash64("key", "e", body).alias("h"))
-    twice = stretches.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    anchor = F.floor(F.col("loc") / BITS).cast("long")
-    loose = stretches.where("rid is not null").join(twice, "h").select("rid", (anchor - g.side - F.col("e")).alias("lo"), (anchor + g.length - g.side - F.col("e")).alias("hi"))
-    return spans.union(loose)
+    body = F.concat("core", F.expr("substring(lefts, length(lefts) - e + 1, e)"), F.expr(f"substring(rights, 1, {g.free} - e)"))
+    stretches = contexts.where("crowd").select("key", "core", "context", "first", "lefts", "rights", e.alias("e")).select("key", "context", "first", "e", F.unhex(F.md5(F.concat(F.encode(F.concat_ws(" ", "key", "e"), "utf-8"), body))).alias("h"))
+    stretches = materialise(stretches, "stretches")
+    twice = materialise(stretches.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    return few.union(stretches.where("first").join(twice, "h").select("key", "context", F.col("e").alias("e1"), F.col("e").alias("e2")))
 
 
 def merged_spans(spans: np.ndarray) -> np.ndarray:
     """Sorted, overlapping or touching spans made one."""
     if not len(spans):
-        return spans.reshape(0, 2)
+        return np.empty((0, 2), np.int64)
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
     reach = np.maximum.accumulate(spans[:, 1])
     first = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], 1)
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text) -> rid, doc_id, body (compressed UTF-8 bytes of the whole text), spans (pairs of byte positions to remove)."""
+def cleaned(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, text) -> rid, doc_id, body (compressed UTF-8 bytes of the whole text), spans (byte positions to remove)."""
     g, spark = Geometry(length), docs.sparkSession
     rows = with_row_key(docs)
-    found = materialise(marks(rows, g), "marks")
+    met = repeated_places(rows, g)
+    bodies = map_rows(rows.select("rid", "doc_id", "text"), lambda c: {"rid": c[0], "doc_id": c[1], "body": squeezed(c[2])}, "rid long, doc_id long, body binary")
+    contexts = materialise(fetched(bodies.select("rid", "body"), wanted_contexts(met, crowd), g), "stretches")
+    release(spark)
+    hits = materialise(sorted_hits(contexts, g).groupBy("key", "context").agg(F.collect_list(F.struct("e1", "e2")).alias("hits")), "hits")
+    discard(contexts)
     release(spark)
-    parts = materialise(split_rows(rows, found, g), "parts")
+    begin = F.floor(F.col("loc") / BITS).cast("long") - g.side
+    lost = F.transform("hits", lambda h: F.struct((begin - h["e2"]).alias("lo"), (begin + g.length - h["e1"]).alias("hi")))
+    spans = materialise(met.join(hits, ["key", "context"]).select("rid", lost.alias("lost")).groupBy("rid").agg(F.flatten(F.collect_list("lost")).alias("spans")), "spans")
+    discard(met)
+    discard(hits)
     release(spark)
-    more = sorted_spans(parts, g).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
-    texts = parts.select("kind", "rid", "doc_id", "body", "spans")
-    waiting = texts.where("kind = 2").join(more, "rid", "left").select("rid", "doc_id", "body", "spans", "more")
-    final = texts.where("kind = 0").select("rid", "doc_id", "body", "spans", F.lit(None).cast("array<struct<lo: long, hi: long>>").alias("more"))
-    return final.union(waiting)
+    return bodies.join(spans, "rid", "left").select("rid", "doc_id", "body", "spans")
 
 
-def _spans(known: bytes, more) -> np.ndarray:
-    spans = np.frombuffer(known, np.int64).reshape(-1, 2)
-    if more:
-        spans = np.concatenate([spans, np.array([(m["lo"], m["hi"]) for m in more], np.int64)])
-    return merged_spans(spans)
+def _spans(found) -> np.ndarray:
+    return merged_spans(np.array([(s["lo"], s["hi"]) for s in found or ()], np.int64))
 
 
 def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
@@ -353,8 +353,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def work(columns):
         out = {"doc_id": columns[1], "kept": [], "n_bytes": [], "spans": []}
-        for body, known, more in zip(*columns[2:]):
-            data, spans = unsqueezed(body), _spans(known, more)
+        for body, found in zip(*columns[2:]):
+            data, spans = unsqueezed(body), _spans(found)
             out["kept"].append(kept_bytes(data, spans))
             out["n_bytes"].append(len(data))
             out["spans"].append(spans.reshape(-1).tolist())
@@ -371,8 +371,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def work(columns):
         out = {"rid": [], "kept_text": []}
-        for rid, body, known, more in zip(columns[0], *columns[2:]):
-            data, spans = unsqueezed(body), _spans(known, more)
+        for rid, body, found in zip(columns[0], *columns[2:]):
+            data, spans = unsqueezed(body), _spans(found)
             if len(spans):
                 out["rid"].append(rid)
                 out["kept_text"].append(kept_bytes(data, spans).decode(errors="ignore"))
@@ -391,8 +391,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(columns):
         names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
         out = {"doc_id": columns[1], **{n: [] for n in names}}
-        for body, known, more in zip(*columns[2:]):
-            data, spans = unsqueezed(body), _spans(known, more)
+        for body, found in zip(*columns[2:]):
+            data, spans = unsqueezed(body), _spans(found)
             for name, value in zip(names, (len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept_bytes(data, spans)).hexdigest())):
                 out[name].append(value)
         return out

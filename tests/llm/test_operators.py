@@ -368,7 +368,8 @@ def test_near_copies_link_from_the_stated_similarity_on(spark, bucket):
 
 @pytest.mark.parametrize("crowd", [8192, 1])
 def test_op9(spark, folder, corpus, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    real = suffix_dedup.cleaned
+    monkeypatch.setattr(suffix_dedup, "cleaned", lambda d: real(d, crowd=crowd))
     got = rows(suffix_dedup.op9_suffix_dedup(spark, folder), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = []
     for (doc, text, *_), gone in zip(corpus, brute.byte_repeats([r[1] for r in corpus])):
@@ -379,6 +380,26 @@ def test_op9(spark, folder, corpus, monkeypatch, crowd):
     assert any(r[2] for r in got)
 
 
+@pytest.mark.parametrize("crowd", [8192, 2])
+def test_op9_words_that_polynomial_hashes_confuse_and_edges(spark, tmp_path, crowd):
+    """Thue-Morse texts share polynomial hashes; edges of one passage differ by single bytes; one text holds a passage often."""
+    order = ["ab"[bin(i).count("1") % 2] for i in range(2048)]
+    one, two = "".join(order), "".join("ab"["ab".index(c) ^ 1] for c in order)
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(520)
+    texts = [f"{noise(300)}{one}{noise(300)}", f"{noise(300)}{two}{noise(9)}", one[:700], passage * 4]
+    texts += [noise(rng.randrange(50)) + passage[rng.randrange(90) : 430 + rng.randrange(90)] + noise(rng.randrange(50)) for _ in range(25)]
+    texts += [noise(400), noise(399), passage[:400], passage[:399], "x" * 1000, "x" * 399]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = suffix_dedup.cleaned(spark.read.parquet(f"{tmp_path}/documents.parquet"), crowd=crowd).collect()
+    got = {r["doc_id"]: suffix_dedup._spans(r["spans"]).tolist() for r in found}
+    for (doc, _), gone in zip(docs, brute.byte_repeats(texts)):
+        flat = np.flatnonzero(np.diff(np.r_[0, np.frombuffer(gone, np.uint8), 0].astype(int)))
+        assert got[doc] == flat.reshape(-1, 2).tolist(), doc
+
+
 def test_op9_in_the_pipeline_keeps_columns(spark, folder, corpus):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     cut = suffix_dedup.cut_repeats(docs, 256)
