@@ -6,10 +6,11 @@ input. Documents outside their language's perplexity band are rejected.
 
 The band of a language is its documents' median log perplexity, plus and minus WIDTH times the distance from the median to
 the 5 % quantile and SHORT over the square root of the length, since short texts scatter more. Both are set by the labels
-of sf0.1 (README). HashedModel and codes() are a small model over 64 classes that no query uses any more.
+of sf0.1 (README). Scoring looks strings up in arrays sorted by their hash.
 
 Nulls: a null text has no words (it fails the base rule); a null lang is a language of its own; a null doc_id is carried
-along. Repeated rows are judged one by one; an empty table gives no rows; other columns are ignored.
+along. Repeated rows are judged one by one, a value at the band's edge is kept. Very long texts are counted and scored in
+pieces. An empty table gives no rows; other columns are ignored (keep_good() keeps them as they are, whatever their names).
 """
 
 from __future__ import annotations
@@ -17,18 +18,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import unsqueezed
-from .common import fresh, materialise, mix64, table, words
+from .common import fresh, materialise, table, words
 from .quality_classifier import LANGUAGES, cogrouped, in_blocks, listed, model_of_counts
 from .quality_classifier import _score_block as block_scores
 
-SYMBOLS = 64
-CELLS = SYMBOLS**3
 WIDTH, SHORT = 1.5, 2.5
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 SIGN = re.compile(r"[#*$%&|<>]")
@@ -61,112 +59,6 @@ def repeated_words(w: list[str], size: int = REPEAT_WINDOW) -> int:
     return covered
 
 
-def symbol_table() -> np.ndarray:
-    """The class of each code point: letters apart by case, digits, white space, punctuation, signs, other scripts."""
-    t = np.full(0x110000, 63, np.uint8)  # other scripts
-    t[:32] = 62
-    t[97:123] = np.arange(1, 27)
-    t[65:91] = np.arange(27, 53)
-    t[48:58] = 53
-    for c in (0x20, 9, 11, 12, 13):
-        t[c] = 54
-    t[10] = 55
-    for c in range(33, 127):
-        if not chr(c).isalnum():
-            t[c] = 58  # other punctuation
-    for c in ".,;:-'\"()":
-        t[ord(c)] = 56
-    for c in "!?":
-        t[ord(c)] = 57
-    for c in "#*$%&|<>":
-        t[ord(c)] = 59
-    for c in range(0xC0, 0x250):
-        t[c] = 60 if chr(c).islower() else 61
-    return t
-
-
-_STATE: dict = {}
-
-
-def codes(text: str) -> np.ndarray:
-    """For each character, the string of three symbols that ends there; two pads (0) stand before the text."""
-    if "t" not in _STATE:
-        _STATE["t"] = symbol_table()
-    s = np.zeros(len(text) + 2, np.int32)
-    s[2:] = _STATE["t"][np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more, from how many counts are 1 to 4."""
-    k = [float((n == i).sum()) for i in range(1, 5)]
-    if min(k) <= 0:
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = k[0] / (k[0] + 2 * k[1])
-    d = [i + 1 - (i + 2) * y * k[i + 1] / k[i] for i in range(3)]
-    return np.array([0.0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))])
-
-
-def interpolate(count: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """[contexts, symbols] counts and the lower order's probabilities -> probabilities and each context's share of the lower."""
-    d = discounts(count)[np.minimum(count, 3).astype(np.int64)]
-    total = count.sum(axis=1, keepdims=True)
-    share = np.where(total > 0, d.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-    return (count - d) / np.maximum(total, 1) + share * lower, share[:, 0]
-
-
-class HashedModel:
-    """Log probabilities of seen strings and log shares of seen contexts, each in arrays sorted by a 64-bit hash."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        c3 = np.zeros(CELLS)
-        c3[code] = n
-        c3 = c3.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-        c2 = (c3 > 0).sum(axis=0).astype(float)  # continuation counts
-        c1 = (c2 > 0).sum(axis=0, keepdims=True).astype(float)
-        p1, _ = interpolate(c1, np.full((1, SYMBOLS), 1.0 / SYMBOLS))
-        p2, share2 = interpolate(c2, p1)
-        p3, share3 = interpolate(c3.reshape(-1, SYMBOLS), np.tile(p2, (SYMBOLS, 1)))
-        self.one = np.log(p1[0]).astype(np.float32)
-        self.two = self._sorted(np.flatnonzero(c2), np.log(p2).reshape(-1))
-        self.three = self._sorted(np.flatnonzero(c3), np.log(p3).reshape(-1))
-        self.share_two = self._sorted(np.flatnonzero(c2.sum(axis=1)), np.log(share2))
-        self.share_three = self._sorted(np.flatnonzero(c3.reshape(-1, SYMBOLS).sum(axis=1)), np.log(share3))
-
-    @staticmethod
-    def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = mix64(keys.astype(np.uint64))
-        order = np.argsort(h)
-        return h[order], values[keys[order]].astype(np.float32)
-
-    @staticmethod
-    def _find(arrays: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        h, (have, values) = mix64(keys.astype(np.uint64)), arrays
-        if not len(have):
-            return np.full(len(keys), missing, np.float32), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(have, h), len(have) - 1)
-        found = have[at] == h
-        return np.where(found, values[at], np.float32(missing)), found
-
-    def log_probability(self, code: np.ndarray) -> np.ndarray:
-        """Of the last symbol of each string, by the longest order that has seen it."""
-        p3, seen3 = self._find(self.three, code, 0.0)
-        p2, seen2 = self._find(self.two, code % SYMBOLS**2, 0.0)
-        back2, _ = self._find(self.share_two, code // SYMBOLS % SYMBOLS, 0.0)
-        back3, _ = self._find(self.share_three, code // SYMBOLS, 0.0)
-        lower = np.where(seen2, p2, back2 + self.one[code % SYMBOLS])
-        return np.where(seen3, p3, back3 + lower)
-
-    def table(self) -> np.ndarray:
-        """All cells at once, for gathering."""
-        if "all" not in self.__dict__:
-            self.all = self.log_probability(np.arange(CELLS)).astype(np.float32)
-        return self.all
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "all"}
-
-
 _SCORES = "doc_id long, rid long, language string, n_chars long, log_ppl double, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 

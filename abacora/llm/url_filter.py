@@ -5,9 +5,12 @@ allow and of those they block: the difference of log-likelihoods per character,
 of the labelled URLs that the models have not seen. Models are counts of 4-symbol strings over 40 symbols, so they have at
 most 2 * 40**4 cells whatever the input; counts are made by all tasks over all labelled URLs.
 
-Nulls: a null URL, or one without "://", has an empty host and path, no rule, and the score 0 that an empty URL has. With
-no labelled URLs every score and the threshold are 0, which allows. A null page_id is carried along, repeated rows are
-judged one by one, an empty table gives no rows, other columns are ignored.
+The models read whole URLs, scheme, query string and fragment included; host and path are for the rules only.
+
+Nulls: a null URL has an empty host and path, no rule, and the score 0 that an empty URL has; one without "://" has an empty
+host and path and is scored as it stands. With no labelled URLs every score and the threshold are 0, which allows; so does a
+score at the threshold. A null page_id is carried along, repeated rows are judged one by one, very long URLs are taken whole,
+an empty table gives no rows, other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 #: Symbols: 0 pads, 1-26 letters, 27 digits, then these signs, then other ASCII, then all else.
-SIGNS = "./-_%=&~:"
+SIGNS = "./-_%=&~:?"
 SYMBOLS = 40
 ORDER = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -148,7 +151,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, url) -> page_id, host, path, rule, verdict, score."""
     host, path = host_and_path(F.col("url"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    parts = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "says": says}).withColumn("page", F.concat("host", "path"))
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("page")).withColumns({"rule": rule, "says": says})
     labelled = parts.where("says is not null").select(F.col("says").alias("verdict"), "page", (F.pmod(F.xxhash64("page"), F.lit(FOLDS)) == 0).alias("held"))
     ratio = log_ratio(gram_counts(labelled.where("not held").select("verdict", "page")).toPandas())
     threshold = calibrated(scores(labelled.where("held"), ratio))

@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -87,3 +88,66 @@ def components(nodes, linked):
 def shingles(text, size=5):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+PAD = 0x110000
+
+
+def kneser_ney(texts):
+    """Interpolated modified Kneser-Ney of three code points -> a function from a text to its log perplexity."""
+    grams = lambda t: [tuple(p[i : i + 3]) for p in [[PAD, PAD, *map(ord, t)]] for i in range(len(t))]
+    c3 = Counter(g for t in texts for g in grams(t))
+    c2 = Counter(g[1:] for g in c3)
+    c1 = Counter(g[1:] for g in c2)
+
+    def order(c, lower):
+        k = [sum(n == i for n in c.values()) for i in range(1, 5)]
+        if min(k) > 0:
+            y = k[0] / (k[0] + 2 * k[1])
+            d = [max(0.05, min(i + 0.95, i + 1 - (i + 2) * y * k[i + 1] / k[i])) for i in range(3)]
+        else:
+            d = [0.5, 0.75, 0.9]
+        taken = {g: d[min(n, 3) - 1] for g, n in c.items()}
+        total, off = Counter(), Counter()
+        for g, n in c.items():
+            total[g[:-1]] += n
+            off[g[:-1]] += taken[g]
+        share = {ctx: off[ctx] / total[ctx] for ctx in total}
+        return lambda g: (c[g] - taken[g]) / total[g[:-1]] + share[g[:-1]] * lower(g[1:]) if g in c else share.get(g[:-1], 1.0) * lower(g[1:])
+
+    unseen = 1 / (len(c1) + 1)
+    p1 = order(c1, lambda g: unseen)
+    one = lambda g: p1(g) if g in c1 else unseen
+    p3 = order(c3, order(c2, one))
+    return lambda t: -sum(math.log(p3(g)) for g in grams(t)) / len(t)
+
+
+def quantile(values, q):
+    """The least of the values that at least this share of them reaches up to."""
+    return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+
+
+def witten_bell(urls, symbol, symbols, order):
+    """Log probability of each symbol of a url behind the `order` - 1 before it, each order leaning on the next shorter one."""
+    counts, kinds = Counter(), Counter()
+    for u in urls:
+        s = [0] * (order - 1) + [symbol(c) for c in u]
+        for i in range(order - 1, len(s)):
+            for k in range(order):
+                g = tuple(s[i - k : i + 1])
+                kinds[g[:-1]] += g not in counts
+                counts[g] += 1
+    totals = Counter()
+    for g, n in counts.items():
+        totals[g[:-1]] += n
+
+    def p(g):
+        lower = 1 / symbols if len(g) == 1 else p(g[1:])
+        t, k = totals[g[:-1]], kinds[g[:-1]]
+        return (counts[g] + k * lower) / (t + k) if t else lower
+
+    def logs(u):
+        s = [0] * (order - 1) + [symbol(c) for c in u]
+        return [math.log(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))]
+
+    return logs

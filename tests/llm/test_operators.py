@@ -86,11 +86,48 @@ def test_op2(spark, folder, corpus):
     assert not [r for r in registry.QUERIES["op2_quality_rules"](spark, folder).where("base_failed and kept").collect()]
 
 
-def test_op2_model_sums_to_one():
-    text = "the cat sat on the mat and the dog sat on the log " * 40
-    code, n = np.unique(quality_rules.codes(text), return_counts=True)
-    p = np.exp(quality_rules.HashedModel(code, n).table().astype(float)).reshape(-1, quality_rules.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
+def test_op2_perplexity_and_verdict_against_plain_version(spark, folder, corpus):
+    got = registry.QUERIES["op2_quality_rules"](spark, folder).collect()
+    by_lang = defaultdict(list)
+    for doc, text, lang, *_ in corpus:
+        by_lang[lang or ""].append((doc, text or ""))
+    want = []
+    for rows_ in by_lang.values():
+        price = brute.kneser_ney([t for _, t in rows_ if t])
+        judged = []
+        for doc, text in rows_:
+            c = brute.base_counts(text)
+            judged.append((doc, len(text), price(text) if text else None, c[0] < 10 or 100 * c[4] > 20 * c[0]))
+        fine = [x for _, _, x, failed in judged if x is not None and not failed]
+        if fine:
+            middle = brute.quantile(fine, 0.5)
+            width = quality_rules.WIDTH * (middle - brute.quantile(fine, 0.05))
+        for doc, n, x, failed in judged:
+            kept = not failed and (not fine or (x is not None and abs(x - middle) <= width + quality_rules.SHORT / math.sqrt(n) + 1e-9))
+            want.append((doc, None if x is None else round(x, 4), kept))
+    assert sorted(((r["doc_id"], r["perplexity"] and round(math.log(r["perplexity"]), 4), r["kept"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_op4_perplexity_and_verdict_against_plain_version(spark, folder, corpus):
+    got = registry.QUERIES["op4_quality_classifier"](spark, folder).collect()
+    good = {r["doc_id"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["quality"] == 1 and r["toxic"] != 1 and r["doc_id"] is not None}
+    texts = defaultdict(list)
+    for doc, text, lang, *_ in corpus:
+        if doc in good and text:
+            texts[lang or ""].append(text)
+    price = {lang: brute.kneser_ney(t) for lang, t in texts.items()}
+    want = []
+    for doc, text, lang, *_ in corpus:
+        lang = lang or ""
+        x = price[lang](text) if lang in price and text else None
+        kept = True
+        if x is not None:
+            own = [(price[lang](t), len(t)) for t in texts[lang]]
+            middle = brute.quantile([p for p, _ in own], 0.5)
+            kept = (x - middle) * math.sqrt(len(text)) <= brute.quantile([(p - middle) * math.sqrt(n) for p, n in own], quality_classifier.QUANTILE) + 1e-4
+        want.append((doc, None if x is None else round(x, 4), kept))
+    assert sorted(((r["doc_id"], r["perplexity"] and round(math.log(r["perplexity"]), 4), r["kept"]) for r in got), key=str) == sorted(want, key=str)
+    assert {k for _, _, k in want} == {True, False}
 
 
 def test_op2_op4_reject_junk_and_keep_clean(spark, sf_dir):
@@ -149,6 +186,34 @@ def test_op3_rules(spark, folder):
     assert all(got[p]["rule"] is None and got[p]["verdict"] in ("allow", "block") for p in (0, 1, 2, 7, 8, 9, 11))
 
 
+def test_op3_scores_and_verdicts_against_plain_version(spark):
+    rng = random.Random(21)
+    pages = []
+    for i in range(400):
+        host, path = rng.choice([("a.com", "p"), ("shop.com", "item/é"), ("b.net", "es/x"), ("c.net", "fr/y"), ("d.org", "es/q"), ("e.org", "item"), ("f.io", "")])
+        tail = rng.choice(["", f"?id={rng.randrange(99)}", "#top", f"?sex={rng.randrange(9)}&ad=1"])
+        pages.append((i, f"http{rng.choice(['', 's'])}://{host}/{path}{rng.randrange(50)}{tail}"))
+    pages += [(900, None), (901, ""), (902, "no scheme here")]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(frame).collect()}
+    held = {r["page_id"] for r in frame.where(url_filter.F.pmod(url_filter.F.xxhash64("url"), url_filter.F.lit(url_filter.FOLDS)) == 0).collect()}
+    symbols = url_filter.symbol_table()
+    learn = lambda says: brute.witten_bell([u for i, u in pages if got[i]["rule"] and got[i]["verdict"] == says and i not in held], lambda c: int(symbols[ord(c)]), url_filter.SYMBOLS, url_filter.ORDER)
+    allow, block = learn("allow"), learn("block")
+    score = {i: (sum(allow(u)) - sum(block(u))) / len(u) if u else 0.0 for i, u in pages}
+    for i, u in pages:
+        assert abs(got[i]["score"] - score[i]) < 1e-4, u
+    labelled = [(score[i], got[i]["verdict"]) for i in held if got[i]["rule"]]
+    sides = [[s for s, v in labelled if v == x] for x in ("block", "allow")]
+    right = lambda cut: sum(s < cut for s in sides[0]) / len(sides[0]) + sum(s >= cut for s in sides[1]) / len(sides[1])
+    free = [got[i] for i, _ in pages if not got[i]["rule"]]
+    blocked, allowed = [r["score"] for r in free if r["verdict"] == "block"], [r["score"] for r in free if r["verdict"] == "allow"]
+    assert blocked and allowed and max(blocked) < min(allowed)  # one threshold, and no better one for the held-out urls
+    grid = [-4 + 8 * k / url_filter.BINS for k in range(url_filter.BINS + 1)]
+    assert right((max(blocked) + min(allowed)) / 2) >= max(map(right, grid)) - 0.1
+    assert len({round(got[i]["score"], 6) for i, u in pages if u and "f.io" in u}) > 1  # the query string counts
+
+
 def test_op3_model_separates_held_out_urls(spark):
     rng = np.random.default_rng(2)
     make = lambda host, i: (i, f"http://{''.join(rng.choice(list('abc'), 5))}.{host}/{rng.integers(999)}")
