@@ -41,70 +41,91 @@ FAN_IN = 2
 CROWD = 4096
 #: Bytes of contexts in one task, about.
 TASK_BYTES = 12 << 20
-_LENGTHS = np.uint64(0xD1342543DE82EF95)
-#: Words of more bytes than this are hashed one by one.
-LANES = 64
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte positions of the words of a text with one space between words, and a hash of each.
-
-    A word of up to eight bytes is mixed as one number, so that words of equal length never share a hash; longer ones are
-    mixed eight bytes at a time.
-    """
-    raw = np.frombuffer(data + b" " * 8, np.uint8)
-    end = np.flatnonzero(raw[: len(data) + 1] == 32) if data else np.empty(0, np.int64)
-    start = np.append(0, end[:-1] + 1) if len(end) else end
-    size = end - start
-    h = mix64(size.astype(np.uint64) * _LENGTHS)
-    left = np.flatnonzero(size <= LANES)
-    for at in range(0, LANES, 8):
-        left = left[size[left] > at]
-        if not len(left):
-            break
-        for c in range(0, len(left), 1 << 18):
-            w = left[c : c + (1 << 18)]
-            lane = raw[(start[w] + at)[:, None] + np.arange(8)].view(np.uint64).reshape(-1)
-            short = np.maximum(0, 8 - (size[w] - at)).astype(np.uint64) * np.uint64(8)
-            h[w] = mix64(h[w] ^ (lane << short))
-    for w in np.flatnonzero(size > LANES).tolist():
-        h[w] = xxhash.xxh64_intdigest(data[start[w] : end[w]], 6)
-    return start, end, h
-
-
-def one_spaced(text: str) -> bytes:
-    """The words of a text, one space between them (bytes split at exactly the separators of words)."""
-    return b" ".join(text.encode().split())
-
-
-def standing(start: np.ndarray, end: np.ndarray, h: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """first, key: windows that share their standing gram form runs, which begin at `first` (window positions; the last entry
-    is the number of windows), and key is that gram's hash. Of a window's grams the one of the most bytes in its words stands
-    (what parts the words does not count), then the lower hash, then the first."""
-    n = len(h)
-    if n < size:
-        return np.zeros(1, np.int64), np.empty(0, np.int64)
-    firsts, keys = [], []
-    upto = np.append(0, np.cumsum(end - start))
-    for c in range(0, n - size + 1, CHUNK):  # a chunk's places fit into 24 bits
-        part = slice(c, c + CHUNK + size - 1)
-        roll = Rolling(h[part])
+#: Bytes of texts that are cut into words together, about, and hashes of words that are kept.
+TOGETHER = 2 << 20
+KEPT_HASHES = 1 << 20
+#: A run of windows has fewer windows than this (they share a gram), so place and length go into one number.
+RUN = 64
+
+
+class _Hashes(dict):
+    """XXH64 of words, kept for those seen before, up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_HASHES:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 6)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def standing(sizes: np.ndarray, h: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Word sizes and hashes -> for every window, where its standing gram begins and that gram's hash. Of a window's grams the
+    one of the most bytes in its words stands (what parts the words does not count), then the lower hash, then the first."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    places, grams = [], []
+    upto = np.append(0, np.cumsum(sizes))
+    for c in range(0, n, CHUNK):  # a chunk's places fit into 24 bits
+        roll = Rolling(h[c : c + CHUNK + size - 1])
         gram = mix64(roll.all(GRAM))
         long = np.minimum(upto[c + GRAM : c + GRAM + len(gram)] - upto[c : c + len(gram)], 255).astype(np.uint64)
         rank = ((np.uint64(255) - long) << np.uint64(56)) | ((gram >> np.uint64(32)) << np.uint64(24)) | np.arange(len(gram), dtype=np.uint64)
         at = (sliding(np.minimum, rank, size - GRAM + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        firsts.append(first + c)
-        keys.append(gram[at[first]].view(np.int64))
-    return np.append(np.concatenate(firsts), n - size + 1), np.concatenate(keys)
-
-
-def standing_keys(text: str, size: int = SIZE) -> np.ndarray:
-    return np.unique(standing(*word_hashes(one_spaced(text)), size)[1])
+        places.append(at + c)
+        grams.append(gram[at].view(np.int64))
+    return np.concatenate(places), np.concatenate(grams)
+
+
+class Runs:
+    """Runs of windows with one standing gram, of some texts: owner (which text), at (first window in it), n (windows), key."""
+
+    def __init__(self, texts: list[str], size: int = SIZE):
+        lists = [t.encode().split() for t in texts]  # bytes split at exactly the separators of words
+        self.words = [w for words in lists for w in words]
+        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        counts = np.array([len(words) for words in lists], np.int64)
+        begin = np.cumsum(counts) - counts
+        place, gram = standing(self.sizes, hashed(self.words), size)
+        text = np.repeat(np.arange(len(lists)), counts)[: len(place)]
+        inside = np.arange(len(place)) + size <= (begin + counts)[text]  # windows that reach into the next text are none
+        edge = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])]) if len(place) else np.empty(0, np.int64)
+        n = np.diff(np.append(edge, len(place)))
+        good = inside[edge]
+        self.first, self.n, self.size = edge[good], n[good], size
+        self.key, self.owner = gram[self.first], text[self.first]
+        self.at = self.first - begin[self.owner]
+
+    def contexts(self) -> np.ndarray:
+        """The XXH3 hash of each run's words, one space between them."""
+        data, digest = b" ".join(self.words), xxhash.xxh3_64_intdigest
+        end = np.cumsum(self.sizes + 1) - 1
+        start = end - self.sizes
+        spans = zip(start[self.first].tolist(), end[self.first + self.n + self.size - 2].tolist())
+        return np.array([digest(data[a:b]) for a, b in spans], np.uint64).view(np.int64)
+
+
+def together(texts: list[str], most: int = TOGETHER):
+    """Ranges of texts of about `most` characters, a text at least."""
+    low = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield slice(low, i)
+            low, held = i, 0
+        held += len(t)
+    if low < len(texts):
+        yield slice(low, len(texts))
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (key, lo, hi, n): a fingerprint, its lowest and highest doc_id, in how many documents."""
+    """Sorted immutable runs of (key, lo, shared): a fingerprint, its lowest doc_id, whether several documents have it."""
 
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, buckets: int | None = None):
         """buckets: sorted files of every run, by default as many as the session's shuffles have partitions."""
@@ -113,8 +134,8 @@ class FingerprintIndex:
 
     def _sorted(self, postings: DataFrame) -> DataFrame:
         name = f"run_{uuid.uuid4().hex}"
-        summed = postings.repartition(self.buckets, "key").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-        summed.write.bucketBy(self.buckets, "key").sortBy("key").format("parquet").saveAsTable(name)
+        summed = postings.repartition(self.buckets, "key").groupBy("key").agg(F.min("lo").alias("lo"), (F.bool_or("shared") | (F.min("lo") < F.max("lo"))).alias("shared"))
+        summed.write.option("parquet.enable.dictionary", "false").bucketBy(self.buckets, "key").sortBy("key").format("parquet").saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
 
@@ -130,7 +151,7 @@ class FingerprintIndex:
             self.compact()
         run = self._sorted(postings)
         release(self.spark)
-        found = run.where("lo < hi").select("key")
+        found = run.where("shared").select("key")
         for old in self.runs:
             found = found.union(run.join(old.select("key"), "key").select("key"))
         self.runs.append(run)
@@ -150,67 +171,57 @@ class FingerprintIndex:
 
 
 def postings(rows: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, text) -> key, lo, hi, n, summed over each Arrow batch."""
+    """(doc_id, text) -> key, lo, shared, summed over each Arrow batch."""
 
     def work(columns):
-        keys, docs = [], []
-        for doc, text in zip(*columns):
-            k = standing_keys(text, size)
-            keys.append(k)
-            docs.append(np.full(len(k), doc, np.int64))
-        key, doc = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *docs])
+        ids, made = np.array(columns[0], np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for part in together(columns[1]):
+            runs = Runs(columns[1][part], size)
+            made.append((runs.key, ids[part][runs.owner]))
+        key, doc = map(np.concatenate, zip(*made))
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         last = np.append(first[1:], len(key)) - 1 if len(key) else first
-        return {"key": key[first], "lo": doc[first], "hi": doc[last], "n": last - first + 1}
+        return {"key": key[first], "lo": doc[first], "shared": doc[first] < doc[last]}
 
-    return map_rows(rows.select("doc_id", "text"), work, "key long, lo long, hi long, n long")
+    return map_rows(rows.select("doc_id", "text"), work, "key long, lo long, shared boolean")
 
 
 def places(rows: DataFrame, size: int = SIZE) -> DataFrame:
-    """(rid, doc_id, text) -> key, context (hash of all its words), rid, doc, at (first window), n (windows)."""
+    """(rid, doc_id, text) -> key, context (hash of all its words), rid, doc, at (first window * RUN + windows)."""
 
     def work(columns):
-        out = {name: [np.empty(0, kind)] for name, kind in (("key", np.int64), ("context", np.uint64), ("rid", np.int64), ("doc", np.int64), ("at", np.int64), ("n", np.int32))}
-        digest = xxhash.xxh3_64_intdigest
-        for rid, doc, text in zip(*columns):
-            data = one_spaced(text)
-            start, end, h = word_hashes(data)
-            first, key = standing(start, end, h, size)
-            if not len(key):
-                continue
-            spans = zip(start[first[:-1]].tolist(), end[first[1:] + size - 2].tolist())
-            made = key, np.array([digest(data[a:b]) for a, b in spans], np.uint64), np.full(len(key), rid, np.int64), np.full(len(key), doc, np.int64), first[:-1], np.diff(first).astype(np.int32)
-            for values, x in zip(out.values(), made):
-                values.append(x)
-        out = {name: np.concatenate(values) for name, values in out.items()}
-        return out | {"context": out["context"].view(np.int64)}
-
-    return map_rows(rows.select("rid", "doc_id", "text"), work, "key long, context long, rid long, doc long, at long, n int")
+        rids, ids = (np.array(c, np.int64) for c in columns[:2])
+        made = [(np.empty(0, np.int64),) * 5]
+        for part in together(columns[2]):
+            runs = Runs(columns[2][part], size)
+            made.append((runs.key, runs.contexts(), rids[part][runs.owner], ids[part][runs.owner], runs.at * RUN + runs.n))
+        return dict(zip(("key", "context", "rid", "doc", "at"), map(np.concatenate, zip(*made))))
+
+    return map_rows(rows.select("rid", "doc_id", "text"), work, "key long, context long, rid long, doc long, at long")
 
 
 def lowest_places(met: DataFrame) -> DataFrame:
     """Places of repeated fingerprints -> one row for each different context: key, context, and a place in its lowest
-    document (doc, rid, at, n)."""
-    return met.groupBy("key", "context").agg(F.min(F.struct("doc", "rid", "at", "n")).alias("low")).select("key", "context", "low.*")
+    document (doc, rid, at)."""
+    return met.groupBy("key", "context").agg(F.min(F.struct("doc", "rid", "at")).alias("low")).select("key", "context", "low.*")
 
 
 _CONTEXTS = "key long, context long, doc long, words binary, crowd boolean"
 
 
 def fetched(bodies: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
-    """(rid, body) and contexts (key, context, doc, rid, at, n, crowd) -> their words, one space between them."""
-    marks = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "doc", "at", "n", "crowd")).alias("marks"))
+    """(rid, body) and contexts (key, context, doc, rid, at, crowd) -> their words, one space between them."""
+    marks = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "doc", "at", "crowd")).alias("marks"))
 
     def work(columns):
         out = {"key": [], "context": [], "doc": [], "words": [], "crowd": []}
         for body, marked in zip(*columns):
-            data = one_spaced(unsqueezed(body).decode())
-            start, end, _ = word_hashes(data)
+            words = unsqueezed(body).split()
             for key, context in {(m["key"], m["context"]): m for m in marked}.items():
-                a = context["at"]
-                out["words"].append(data[start[a] : end[a + context["n"] + size - 2]])
+                at, n = divmod(context["at"], RUN)
+                out["words"].append(b" ".join(words[at : at + n + size - 1]))
                 out["key"].append(key[0])
                 out["context"].append(key[1])
                 out["doc"].append(context["doc"])
@@ -278,12 +289,15 @@ def verified(contexts: DataFrame, size: int = SIZE) -> DataFrame:
 
 def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, index: FingerprintIndex | None = None, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text) -> doc_id, body (compressed text), spans: word positions covered by earlier documents' windows."""
+    if size - GRAM + 1 >= RUN:
+        raise ValueError(f"windows of up to {RUN + GRAM - 2} words only")
     spark = docs.sparkSession
     own = index is None
     index = index or FingerprintIndex(spark)
     rows = with_row_key(docs)
     dated = rows.where("doc_id is not null")
-    edges = sorted({int(x) for x in dated.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
+    shares = [(2**i - 1) / (2**batches - 1) for i in range(1, batches)]  # each batch is twice the one before it
+    edges = sorted({int(x) for x in dated.stat.approxQuantile("doc_id", shares, 0.01)}) if shares else []
     found = []
     for low, high in zip([None, *edges], [*edges, None]):
         part = dated if low is None else dated.where(F.col("doc_id") > low)
@@ -314,7 +328,9 @@ def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, in
     discard(contexts)
     release(spark)
     # a place of a later document loses all its words, one of the lowest document those that were found in others
-    lost = F.when(F.col("doc") > F.col("low"), F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("n") + size - 1).alias("hi")))).otherwise(F.transform("hits", lambda s: F.struct((F.col("at") + s["lo"]).alias("lo"), (F.col("at") + s["hi"]).alias("hi"))))
+    at = F.shiftright("at", RUN.bit_length() - 1)
+    whole = F.array(F.struct(at.alias("lo"), (at + F.col("at") % RUN + size - 1).alias("hi")))
+    lost = F.when(F.col("doc") > F.col("low"), whole).otherwise(F.transform("hits", lambda s: F.struct((at + s["lo"]).alias("lo"), (at + s["hi"]).alias("hi"))))
     gone = met.join(judged, ["key", "context"]).select("rid", lost.alias("lost")).where("lost is not null")
     spans = materialise(gone.groupBy("rid").agg(F.flatten(F.collect_list("lost")).alias("spans")), "spans")
     for old in (met, lowest, several, judged):

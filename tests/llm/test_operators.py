@@ -336,7 +336,7 @@ def test_op6_separators_do_not_count(spark, tmp_path):
         w = [rng.choice(pool) + str(rng.randrange(100)) for _ in range(40)]
         docs += [(3 * i, " ".join(w)), (3 * i + 1, "\r\n      ".join(" ".join(w[j : j + 5]) for j in range(0, 40, 5))), (3 * i + 2, "".join(x + rng.choice([" ", "  ", "\t \t"]) for x in w))]
     for a, b, c in zip(docs[::3], docs[1::3], docs[2::3]):
-        keys = [window_index.standing_keys(t).tolist() for _, t in (a, b, c)]
+        keys = [sorted(set(window_index.Runs([t]).key.tolist())) for _, t in (a, b, c)]
         assert keys[0] == keys[1] == keys[2]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = rows(window_index.op6_window_index(spark, str(tmp_path)), "doc_id", "n_words", "n_removed", "kept_sha256")
