@@ -5,7 +5,8 @@ it, chosen by its own bytes only, and holds a fixed core around that anchor. Cou
 matter. An anchor with all its stretches is a context, known by the XXH3 hash of its bytes; of each different context of a
 repeated core one copy is fetched, and two (the first and the last) of one that occurs twice or more. Their bytes before and
 behind the core are cut into 16-byte symbols, many contexts together are suffix-sorted, and stretches that share all but
-the last symbol stand side by side in the suffix array. Their last bytes are then compared exactly. What is found holds for
+the last symbol stand side by side in the suffix array. Their last bytes are then compared exactly. (Contexts of equal bytes are sorted
+once, and a symbol that no other context has at its distance from the core ends what is sorted.) What is found holds for
 every place of the context. Cores are the same only if a second, 128-bit hash of their bytes agrees too.
 A core with more than CROWD different contexts is no single group: its stretches are counted one by one, by the MD5 digest
 of their bytes.
@@ -212,28 +213,53 @@ def fetched(bodies: DataFrame, wanted: DataFrame, geometry: Geometry) -> DataFra
     return map_rows(one.select("body", "marks"), work, _CONTEXTS)
 
 
-def sorted_repeats(key: np.ndarray, lefts: list[bytes], rights: list[bytes], geometry: Geometry) -> np.ndarray:
-    """[contexts, free + 1] booleans: does the stretch with e bytes before the core occur in another context of the key."""
-    g, n = geometry, len(key)
-    blocks = g.free // SYMBOL
+def sorted_repeats(core: np.ndarray, lefts: list[bytes], rights: list[bytes], geometry: Geometry) -> np.ndarray:
+    """[contexts, free + 1] booleans: does the stretch with e bytes before the core occur in another context of the core."""
+    g, n = geometry, len(core)
     left_size, right_size = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
-    left = np.frombuffer(b"".join(x.rjust(g.free, b"\0") for x in lefts), np.uint8).reshape(n, g.free)
-    right = np.frombuffer(b"".join(x.ljust(g.free, b"\0") for x in rights), np.uint8).reshape(n, g.free)
+    rows = np.zeros(n, [("core", np.int64), ("sizes", np.int64), ("left", f"V{g.free}"), ("right", f"V{g.free}")])
+    rows["core"], rows["sizes"] = core, left_size * 1024 + right_size
+    rows["left"] = np.frombuffer(b"".join(x.rjust(g.free, b"\0") for x in lefts), f"V{g.free}")
+    rows["right"] = np.frombuffer(b"".join(x.ljust(g.free, b"\0") for x in rights), f"V{g.free}")
+    _, first, inverse, times = np.unique(rows.view(f"V{rows.itemsize}"), return_index=True, return_inverse=True, return_counts=True)
+    inverse = inverse.reshape(-1)
+    e = np.arange(g.free + 1)[None, :]
+    # equal bytes: all stretches of the context are in its copy; of each different context one is sorted
+    whole = (times[inverse] > 1)[:, None] & (e <= left_size[:, None]) & (e >= (g.free - right_size)[:, None])
+    one = rows[first]
+    left = np.ascontiguousarray(one["left"]).view(np.uint8).reshape(-1, g.free)
+    right = np.ascontiguousarray(one["right"]).view(np.uint8).reshape(-1, g.free)
+    return _sorted(one["core"], left, right, left_size[first], right_size[first], g)[inverse] | whole
+
+
+def _sorted(core: np.ndarray, left: np.ndarray, right: np.ndarray, left_size: np.ndarray, right_size: np.ndarray, g: Geometry) -> np.ndarray:
+    """sorted_repeats() for contexts that all differ."""
+    n, blocks = len(core), g.free // SYMBOL
+    out = np.zeros((n, g.free + 1), bool)
     cells = np.concatenate([left.reshape(n, blocks, SYMBOL), right.reshape(n, blocks, SYMBOL)], 1)
     _, ids = np.unique(cells.reshape(-1, SYMBOL).copy().view(f"V{SYMBOL}").reshape(-1), return_inverse=True)
-    _, core = np.unique(key, return_inverse=True)
-    width = 2 * blocks + 2
-    text = np.zeros((n, width), np.int64)
-    ids = ids.reshape(n, 2 * blocks) + 2
-    text[:, :blocks], text[:, blocks], text[:, blocks + 1 : -1], text[:, -1] = ids[:, :blocks], core + ids.max() + 1, ids[:, blocks:], 1
-    # blocks that reach beyond the context are cut off: before it, and behind it by an end mark
-    whole_left, whole_right = left_size // SYMBOL, right_size // SYMBOL
+    ids = ids.reshape(n, 2 * blocks).astype(np.int64)
+    place = np.arange(2 * blocks)[None, :]
+    within = (place >= blocks - left_size[:, None] // SYMBOL) & (place < blocks + right_size[:, None] // SYMBOL)
+    # a symbol that stands at its distance from this core in one context only ends what that context can share
+    _, code = np.unique(core, return_inverse=True)
+    _, at, times = np.unique(((code[:, None] * (2 * blocks) + place) << 32 | ids).reshape(-1), return_inverse=True, return_counts=True)
+    shared = within & (times[at.reshape(-1)] > 1).reshape(n, -1)
+    whole_left = np.minimum.accumulate(shared[:, blocks - 1 :: -1], axis=1).sum(axis=1)
+    whole_right = np.minimum.accumulate(shared[:, blocks:], axis=1).sum(axis=1)
+    alive = np.flatnonzero(whole_left + whole_right >= blocks - 1)
+    if len(alive) < 2:
+        return out
+    core, code, ids, left, right, left_size, right_size, whole_left, whole_right = (x[alive] for x in (core, code, ids, left, right, left_size, right_size, whole_left, whole_right))
+    n, width = len(alive), 2 * blocks + 2
+    # each context as symbols: what it shares before the core, the core, what it shares behind it, an end mark
+    text = np.ones((n, width), np.int64)
+    text[:, :blocks], text[:, blocks], text[:, blocks + 1 : -1] = ids[:, :blocks] + 2, code + ids.max() + 3, ids[:, blocks:] + 2
     place = np.arange(width)[None, :]
     keep = (place >= (blocks - whole_left)[:, None]) & ((place < (blocks + 1 + whole_right)[:, None]) | (place == width - 1))
     flat, owner, column = text[keep], np.broadcast_to(np.arange(n)[:, None], text.shape)[keep], np.broadcast_to(place, text.shape)[keep]
     sa = suffix_array(flat)
     padded = np.append(flat, np.ones(blocks, np.int64))
-    out = np.zeros((n, g.free + 1), bool)
     # suffixes that begin j symbols before the core and agree in `blocks` symbols (core included) stand together
     begins = column[sa]
     inside = (begins <= blocks) & (begins > 0)
@@ -270,7 +296,7 @@ def sorted_repeats(key: np.ndarray, lefts: list[bytes], rights: list[bytes], geo
         raw = np.ascontiguousarray(part).view(f"V{8 + SYMBOL}").reshape(-1)
         _, inverse, times = np.unique(raw, return_inverse=True, return_counts=True)
         hit = valid[times[inverse.reshape(-1)] > 1]
-        out[who[hit], e[hit]] = True
+        out[alive[who[hit]], e[hit]] = True
     return out
 
 
