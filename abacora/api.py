@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,17 @@ def ingest(spark: SparkSession, folder: str, target: str, corpus: str = "corpus"
         page = F.split_part("doc_id", F.lit("#"), F.lit(2)).cast("long")
         chunks = chunking.chunk_pack(units.select("source", (page * 1_000_000 + F.col("unit")).alias("ord"), "text"), corpus, **limits)
         keyed = chunks.withColumn("payload", F.sha2(F.concat_ws("|", F.lit(version), "text"), 256)).withColumn("grade", F.coalesce(files.file_grade(F.col("source")), F.lit(-1)))
-        store.upsert(keyed, f"{target}/chunks", "chunk_id", "payload", lambda df: providers.embed(df, provider, size))
+        contract = {"corpus": corpus, "size": size, "limits": sorted(limits.items())}
+        store.upsert(keyed, f"{target}/chunks", "chunk_id", "payload", lambda df: providers.embed(df, provider, size), json_like(contract), whole=True)
 
     return store.ingest(spark, f"{target}/manifest.json", settings, build, force)
 
 
+def json_like(value: dict) -> dict:
+    """A dict as it comes back from JSON, so that it compares equal to a stored one."""
+    return json.loads(json.dumps(value))
+
+
 def index_status(spark: SparkSession, target: str, grades: tuple[int, ...]) -> dict:
     """Whether an index is ready, its size, and the grades it lacks."""
     manifest = store.read_manifest(spark, f"{target}/manifest.json") or {}

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .answers import plain, read
+from .answers import plain, quantity
 
 #: What normalised text keeps. Fixed value.
 _KEPT = re.compile(r"[^a-z0-9√π%+\-*/=.^∪∩∈∉⊂⊆⊃⊇≤≥≠<>²³{}\[\]]+")
@@ -39,7 +39,7 @@ def similarity(a: str, b: str) -> float:
 def _data(text: str) -> tuple[dict, Counter, Counter]:
     sets = {n: tuple(sorted({plain(e) for e in body.split(",")})) for n, body in re.findall(r"\b([A-Z])\s*=\s*\{([^{}]*)\}", text)}
     bare = re.sub(r"\b(?:question|item|fixture)\s+[\w-]+", "", text, flags=re.I).replace("−", "-")
-    numbers = Counter(str(n) for m in re.findall(r"(?<![\w.])[+-]?\d+(?:\.\d+)?(?:/\d+)?%?", bare) if (n := read(m).number) is not None)
+    numbers = Counter(str(q[0]) for m in re.findall(r"(?<![\w.])[+-]?\d+(?:\.\d+)?(?:/\d+)?%?", bare) if (q := quantity(plain(m))))
     signs = Counter(re.findall(r"[∪∩∈∉⊂⊆⊃⊇≤≥≠<>]|\b(?:union|intersection|complement)\b", bare.lower()))
     return sets, numbers, signs
 

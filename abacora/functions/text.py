@@ -97,6 +97,11 @@ def first_code(text: Column) -> Column:
     return F.when(found != "", found).otherwise(F.trim(text))
 
 
+def safe_image_url(url: Column) -> Column:
+    """Whether a URL is a quiz image of our own: below its folder, 32 hexadecimal digits and .png as its name."""
+    return F.coalesce(F.trim(url).rlike(r"(?s)^/static/quiz_images/(.*/)?[a-f0-9]{32}\.png$"), F.lit(False))
+
+
 def redact(text: Column) -> Column:
     """values of secrets and local parts of e-mail addresses hidden."""
     return F.regexp_replace(F.regexp_replace(text, SECRET, "$1$2[REDACTED]"), EMAIL, "[REDACTED]@$1")
@@ -126,11 +131,14 @@ def head_tail(a: Column, head: int = 8, tail: int = 4) -> Column:
 
 
 def windows(a: Column, size: int, step: int) -> Column:
-    """[start, slice] of every window, until one reaches the end."""
-    n = F.size(a)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    kept = F.filter(starts, lambda s: (s == 0) | (s - step + size < n))
-    return F.transform(kept, lambda s: F.struct(s.alias("start"), F.slice(a, s + 1, size).alias("tokens")))
+    """[start, slice] of every window, until one reaches the end. The array is bound once, not once per window."""
+
+    def cut(x: Column) -> Column:
+        n = F.size(x)
+        kept = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
+        return F.transform(kept, lambda s: F.struct(s.alias("start"), F.slice(x, s + 1, size).alias("tokens")))
+
+    return F.flatten(F.transform(F.array(a), cut))
 
 
 def parse_number(text: Column) -> Column:

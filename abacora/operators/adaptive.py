@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import hmac
 import json
@@ -9,6 +10,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,21 +99,45 @@ def pseudonym(key: bytes, namespace: str):
     return ref
 
 
-def salvage(text: str):
-    """the value of JSON that a model wrapped in fences or prose, with stray backslashes or trailing commas."""
-    t = re.sub(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", "", text or "")
-    spans = [t] + [t[t.index(a) : t.rindex(b) + 1] for a, b in ("[]", "{}") if a in t and b in t and t.index(a) < t.rindex(b)]
-    for s in spans:
-        fixed = re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", s)
-        for candidate in (s, fixed, re.sub(r",(\s*[\]}])", r"\1", fixed)):
+def _readings(text: str) -> Iterator[str]:
+    """A text as it is, with stray backslashes doubled, and without trailing commas too."""
+    doubled = re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", text)
+    yield from dict.fromkeys((text, doubled, re.sub(r",(\s*[\]}])", r"\1", doubled)))
+
+
+def salvaged(text: str) -> Iterator:
+    """Every object or list that a model's answer holds, as JSON or as a Python literal, best guess first.
+
+    Looked at are the answer without its fences, then what begins at each bracket in it; whatever follows a whole value is
+    left out, and nothing is looked for inside a value that was found.
+    """
+    bare = re.sub(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", "", text or "").strip()
+    decode, skip = json.JSONDecoder().raw_decode, 0
+    for start in dict.fromkeys([0, *(m.start() for m in re.finditer(r"[\[{]", bare))]):
+        if start < skip:
+            continue
+        for reading in _readings(bare[start:]):
+            value, used = None, 0
             try:
-                return json.loads(candidate)
-            except ValueError:
-                continue
-    return None
+                value, used = decode(reading)
+            except (ValueError, RecursionError):
+                literal = reading[: max(reading.rfind("]"), reading.rfind("}")) + 1]
+                try:
+                    value, used = ast.literal_eval(literal), len(literal)
+                except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+                    continue
+            if isinstance(value, (dict, list)):
+                skip = start + used
+                yield value
+                break
+
+
+def salvage(text: str):
+    """the first object or list of a model's answer; None if there is none."""
+    return next(salvaged(text), None)
 
 
 @F.pandas_udf(T.StringType())
 def json_salvage(text: pd.Series) -> pd.Series:
     """F33 over columns: canonical JSON or null."""
-    return pd.Series([None if (v := salvage(t)) is None else json.dumps(v, sort_keys=True, ensure_ascii=False) for t in text], dtype=object)
+    return pd.Series([None if (v := salvage(t)) is None else json.dumps(v, sort_keys=True, ensure_ascii=False, default=str) for t in text], dtype=object)

@@ -21,9 +21,9 @@ def recommend_core(v: Views):
     return M.recommend_core(v.attempt, v.answer_unnumbered)
 
 
-@query("SELECT attempt_id, question_index, user_id, item_id, topic_id, level FROM v_attempt JOIN v_answer USING (attempt_id) WHERE NOT is_correct AND user_id % 10 = 1")
+@query("SELECT attempt_id, question_index, user_id, item_id, topic_id, level FROM v_attempt JOIN v_answer USING (attempt_id) WHERE NOT is_correct")
 def join_mistakes(v: Views):
-    return M.mistakes(v.attempt, v.answer, F.col("user_id") % 10 == 1).select("attempt_id", "question_index", "user_id", "item_id", "topic_id", "level")
+    return M.mistakes(v.attempt, v.answer).select("attempt_id", "question_index", "user_id", "item_id", "topic_id", "level")
 
 
 @query(f"SELECT topic_id, count(*) AS n_mistakes FROM {_WRONG} GROUP BY topic_id")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import mcq as Q
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import selection as S
+from ..sources.store import written
 from ..views import Views
 from .registry import query
 from .text import _NORM
@@ -29,8 +31,9 @@ _RRF = "f AS (SELECT doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT doc_id
 
 
 def _stats(v: Views):
+    """Documents, their postings (written once, for statistics, lengths and hits alike) and the terms' statistics."""
     docs = v.table("documents").select("doc_id", "text")
-    posts = R.postings(docs)
+    posts = written(R.postings(docs), "postings")
     return docs, posts, R.bm25_stats(posts, docs.count())
 
 
@@ -41,7 +44,7 @@ def _lexical(v: Views):
 def _dense(v: Views):
     vectors = v.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = vectors.where("doc_id = 0").limit(1).collect()  # the query vector
-    return R.top(R.dense_scores(vectors, q[0]["embedding"]), K)
+    return R.top(R.dense_scores(vectors, q[0]["embedding"] if q else [0.0]), K)
 
 
 @query(f"WITH {_STATS} SELECT term, df, round(idf, 6) AS idf FROM st")
@@ -87,37 +90,43 @@ def vector_preflight_checks(v: Views):
     return v.table("embeddings").agg(F.count("*").alias("n"), F.count_if(F.size(e) != 64).alias("wrong_size"), F.count_if(F.exists(e, lambda x: F.isnan(x) | (F.abs(x) == inf))).alias("not_finite"), F.count_if(~F.exists(e, lambda x: x != 0)).alias("zero"))
 
 
-@query("""WITH t AS (SELECT DISTINCT topic_name FROM v_item), n AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS word FROM part WHERE p_partkey % 10 = 0)
-SELECT p_partkey, min(topic_name) AS topic FROM n LEFT JOIN t ON topic_name = word OR contains(topic_name, word) OR contains(word, topic_name) GROUP BY p_partkey""")
+_SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_FLAT = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH c AS (SELECT grade, topic_name AS name, min(item_id) AS ord FROM v_item GROUP BY grade, topic_name), n AS (SELECT p_partkey, CAST(6 + p_size % 9 AS INTEGER) AS grade, split_part(p_name, ' ', 1) AS topic FROM part),
+d AS (SELECT DISTINCT grade, topic FROM n), m AS (SELECT d.grade, topic, arg_min('g' || CAST(c.grade AS VARCHAR) || '_t' || CAST(1 + ord % 3 AS VARCHAR) || '_' || lpad(CAST(ord % 100 AS VARCHAR), 2, '0') || '_' || {_SLUG.format('name')}, ord) AS id
+FROM d JOIN c ON c.grade = d.grade AND (contains({_FLAT.format('name')}, {_FLAT.format('topic')}) OR contains({_FLAT.format('topic')}, {_FLAT.format('name')})) GROUP BY d.grade, topic)
+SELECT p_partkey, coalesce(id, 'practice_g' || CAST(grade AS VARCHAR) || '_' || {_SLUG.format('topic')}) AS topic_id FROM n LEFT JOIN m USING (grade, topic)""")
 def theta_topic_resolve(v: Views):
-    t = v.item.select("topic_name").distinct()
-    n = v.table("part").where("p_partkey % 10 = 0").select("p_partkey", F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("word"))
-    words = n.select("word").distinct()  # names are few: the theta join is on distinct words and topics
-    found = words.join(t, F.expr("topic_name = word OR contains(topic_name, word) OR contains(word, topic_name)")).groupBy("word").agg(F.min("topic_name").alias("topic"))
-    return n.join(found, "word", "left").select("p_partkey", "topic")
+    ord_ = F.col("ord")
+    c = v.item.groupBy("grade", F.col("topic_name").alias("name")).agg(F.min("item_id").alias("ord")).select("grade", "name", "ord", (1 + ord_ % 3).alias("term"), (ord_ % 100).alias("no"))
+    n = v.table("part").select("p_partkey", (6 + F.col("p_size") % 9).alias("grade"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("topic"))
+    return n.join(R.resolve_topics(n, c), ["grade", "topic"]).select("p_partkey", "topic_id")
 
 
-@query("""WITH s AS (SELECT DISTINCT p_brand, p_size FROM part), o AS (SELECT a.p_brand AS a, b.p_brand AS b, count(*) AS shared FROM s a JOIN s b ON a.p_size = b.p_size AND a.p_brand <> b.p_brand GROUP BY a.p_brand, b.p_brand)
-SELECT a, b, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM o) WHERE rank <= 3""")
+@query("""WITH t AS (SELECT p_brand AS topic, list_distinct(list(p_size)) AS levels FROM part WHERE p_size % 3 = 0 GROUP BY p_brand),
+s AS (SELECT CAST(p_size AS BIGINT) AS ord, 'M' || CAST(p_size % 4 AS VARCHAR) AS main, 'S' || CAST(p_size % 10 AS VARCHAR) AS strand, 'P' || CAST(p_size % 20 AS VARCHAR) AS path, list_distinct(list(CASE WHEN p_partkey % 40 = 0 AND p_size % 2 = 0 THEN p_brand END)) AS topics, list_distinct(list(CAST(p_partkey % 50 AS INTEGER))) AS levels FROM part GROUP BY p_size),
+m AS (SELECT topic, s.*, list_contains(s.topics, topic) AS named, len(list_intersect(s.levels, t.levels)) AS shared FROM t, s), a AS (SELECT *, bool_or(named) OVER (PARTITION BY topic) AS anyone FROM m WHERE named OR shared > 0),
+k AS (SELECT *, CASE WHEN named THEN 100 ELSE 0 END + shared AS score FROM a WHERE named OR NOT anyone), o AS (SELECT *, row_number() OVER (PARTITION BY topic, main, strand, path ORDER BY score DESC, ord) AS n FROM k)
+SELECT topic, main, strand, CASE WHEN named THEN 'topic' ELSE 'competency' END AS match, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, ord) AS rank FROM o WHERE n = 1) WHERE rank <= 3""")
 def overlap_join_top3(v: Views):
-    s = v.table("part").select("p_brand", "p_size").distinct()
-    o = s.select(F.col("p_brand").alias("a"), "p_size").join(s.select(F.col("p_brand").alias("b"), "p_size"), "p_size").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    w = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-    return o.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("a", "b", "shared", "rank")
+    size, part = F.col("p_size"), F.col("p_partkey")
+    text = lambda letter, n: F.concat(F.lit(letter), (size % n).cast("string"))
+    topics = v.table("part").where("p_size % 3 = 0").groupBy(F.col("p_brand").alias("topic")).agg(F.collect_set("p_size").alias("levels"))
+    strands = v.table("part").groupBy("p_size").agg(F.collect_set(F.when((part % 40 == 0) & (size % 2 == 0), F.col("p_brand"))).alias("topics"), F.collect_set((part % 50).cast("int")).alias("levels"))
+    return R.map_topics(topics, strands.select(size.cast("long").alias("ord"), text("M", 4).alias("main"), text("S", 10).alias("strand"), text("P", 20).alias("path"), "topics", "levels"))
 
 
-@query(r"""WITH c AS (SELECT item_id % 10 AS concept, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x))) AS words FROM benchmark WHERE item_id < 10),
-d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words FROM documents),
-s AS (SELECT doc_id, concept, round(len(list_intersect(d.words, c.words)) / CAST(len(c.words) AS DOUBLE), 6) AS score FROM d, c)
-SELECT doc_id, concept, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, concept) AS n FROM s) WHERE n = 1""")
+@query(r"""WITH b AS (SELECT item_id, item_id % 6 AS grade, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), c AS (SELECT item_id, grade, array_to_string(w[1:CAST(2 + item_id % 3 AS INTEGER)], ' ') AS phrase, list_distinct(w[1:CAST(2 + item_id % 3 AS INTEGER)]) AS words FROM b),
+d AS (SELECT doc_id, doc_id % 6 AS grade, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), e AS (SELECT doc_id, grade, array_to_string(w, ' ') AS norm, list_distinct(w) AS words FROM d),
+s AS (SELECT doc_id, item_id, CASE WHEN contains(norm, phrase) THEN 2.0 ELSE 0.0 END + len(list_intersect(c.words, e.words)) / CAST(len(c.words) AS DOUBLE) AS score FROM e JOIN c ON e.grade = c.grade WHERE len(c.words) > 0)
+SELECT doc_id, item_id AS concept_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS n FROM s) WHERE n = 1 AND score >= 1""")
 def concept_argmax(v: Views):
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))
-    c = v.table("benchmark").where("item_id < 10").select((F.col("item_id") % 10).alias("concept"), words.alias("words"))
-    sizes = c.select("concept", F.size("words").alias("size"))
-    hits = v.table("documents").select("doc_id", F.explode(words).alias("word")).join(F.broadcast(c.select("concept", F.explode("words").alias("word"))), "word").groupBy("doc_id", "concept").agg(F.count("*").alias("n"))
-    grid = v.table("documents").select("doc_id").crossJoin(F.broadcast(sizes)).join(hits, ["doc_id", "concept"], "left")  # ten concepts a document, so that zeros compete
-    score = F.round(F.coalesce("n", F.lit(0)) / F.col("size"), 6)
-    return grid.withColumn("score", score).groupBy("doc_id").agg(F.max_by(F.struct("concept", "score"), F.struct("score", -F.col("concept"))).alias("best")).select("doc_id", "best.concept", "best.score")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
+    phrase = F.array_join(F.slice(words, F.lit(1), (2 + F.col("item_id") % 3).cast("int")), " ")
+    concepts = v.table("benchmark").select(F.col("item_id").alias("concept_id"), (F.col("item_id") % 6).alias("grade"), phrase.alias("phrase"), F.col("item_id").alias("ord"))
+    return R.best_concepts(v.table("documents").select("doc_id", (F.col("doc_id") % 6).alias("grade"), "text"), concepts)
 
 
 @query(rf"""WITH e AS (SELECT item_id, array_to_string(list_slice(string_split({_NORM.format('text')}, ' '), 3, 14), ' ') AS q FROM benchmark), d AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents)
@@ -161,17 +170,42 @@ def rotating_window(v: Views):
     return r.where(F.pmod(F.col("rank") - F.lit(5) % F.col("n"), F.col("n")) < 4).where("rank < 12").select("conv_id", "turn", "rank")
 
 
-@query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN s_suppkey IS NULL THEN 'unknown source' END, CASE WHEN s_nationkey <> p_size % 25 THEN 'wrong grade' END, CASE WHEN s_acctbal < 0 THEN 'not reviewed' END], lambda x: x IS NOT NULL), ';') AS errors FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 120""")
-def source_match_errors(v: Views):
-    sources = v.table("supplier").select(F.col("s_suppkey").alias("source"), "s_nationkey", "s_acctbal")
-    joined = v.table("part").withColumn("source", F.col("p_partkey") % 120).join(sources.withColumn("known", F.lit(True)), "source", "left")
-    rules = F.array(F.when(F.col("known").isNull(), "unknown source"), F.when(F.col("s_nationkey") != F.col("p_size") % 25, "wrong grade"), F.when(F.col("s_acctbal") < 0, "not reviewed"))
-    return joined.select("p_partkey", F.array_join(F.array_compact(rules), ";").alias("errors"))
+_SOURCED = """WITH q AS (SELECT *, CASE WHEN question_id % 6 = 0 THEN '' ELSE 's' || CAST(question_id % 130 AS VARCHAR) END AS source_question_id, upper(trim(answer)) AS letter FROM v_question),
+s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS source_question_id, true AS known, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE 'Brand#' || CAST(1 + s_suppkey % 25 AS VARCHAR) END AS concept_id, CAST(6 + s_nationkey % 6 AS INTEGER) AS src_grade, CAST(s_nationkey AS VARCHAR) || '.0' AS canonical FROM supplier),
+j AS (SELECT q.*, known, concept_id, src_grade, CAST(canonical AS DOUBLE) AS canonical, TRY_CAST(CASE WHEN letter IN ('A', 'B', 'C', 'D') THEN options[instr('ABCD', letter)] END AS DOUBLE) AS own FROM q LEFT JOIN s USING (source_question_id))"""
+_SOURCED_RULES = """CASE WHEN source_question_id = '' THEN 'names no source' END, CASE WHEN source_question_id <> '' AND known IS NULL THEN 'names an unknown source' END,
+CASE WHEN known AND concept_id <> '' AND concept_id <> topic_id THEN 'source of another concept' END, CASE WHEN known AND src_grade <> grade THEN 'source of another grade' END, CASE WHEN known AND NOT coalesce(own = canonical, false) THEN 'another answer than its source' END"""
 
 
-@query("""WITH w AS (SELECT DISTINCT topic_id FROM v_item), p AS (SELECT topic_id, count(*) AS n FROM v_item WHERE item_id % 40 = 0 GROUP BY topic_id)
-SELECT topic_id, CASE WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS error FROM w LEFT JOIN p USING (topic_id) WHERE n IS NULL OR n > 1""")
+@query(f"{_SOURCED} SELECT question_id, array_to_string(list_filter([{_SOURCED_RULES}], lambda x: x IS NOT NULL), ';') AS errors FROM j")
+def source_match_errors(v: Views):
+    """All seven checks between a question and the past question it names."""
+    key, n = F.col("s_suppkey"), F.col("question_id")
+    sources = v.table("supplier").select(
+        F.concat(F.lit("s"), key.cast("string")).alias("question_id"), F.when(key % 9 == 0, "").otherwise(F.concat(F.lit("Brand#"), (1 + key % 25).cast("string"))).alias("concept_id"),
+        (6 + F.col("s_nationkey") % 6).cast("int").alias("grade"), F.lit("~").alias("question"), F.concat(F.col("s_nationkey").cast("string"), F.lit(".0")).alias("canonical_answer"),
+    )
+    named = v.question.withColumn("source_question_id", F.when(n % 6 == 0, "").otherwise(F.concat(F.lit("s"), (n % 130).cast("string"))))
+    return Q.with_sources(named, sources).select("question_id", F.array_join(Q.reasons(*Q.source_rules()), ";").alias("errors"))
+
+
+@query("""WITH w AS (SELECT DISTINCT topic_id FROM v_item), p AS (SELECT topic_id, count(*) AS n FROM v_question WHERE question_id % 40 = 0 AND question_id % 80 <> 0 OR question_id % 320 = 0 GROUP BY topic_id), c AS (SELECT topic_id FROM w WHERE topic_id <> 'Brand#7')
+SELECT coalesce(c.topic_id, p.topic_id) AS topic_id, CASE WHEN n IS NULL THEN 'missing topic' WHEN c.topic_id IS NULL THEN 'unexpected topic' ELSE 'repeated topic' END AS error FROM c FULL JOIN p ON c.topic_id = p.topic_id WHERE n IS NULL OR c.topic_id IS NULL OR n > 1""")
 def paper_coverage_errors(v: Views):
-    have = v.item.where("item_id % 40 = 0").groupBy("topic_id").agg(F.count("*").alias("n"))
-    joined = v.item.select("topic_id").distinct().join(have, "topic_id", "left").where("n IS NULL OR n > 1")
-    return joined.select("topic_id", F.when(F.col("n").isNull(), "missing").otherwise("repeated").alias("error"))
+    """Which topics of a catalogue a paper lacks, repeats or should not have (the full check has no SQL, see tests)."""
+    paper = v.question.where("question_id % 40 = 0 and question_id % 80 <> 0 or question_id % 320 = 0").withColumn("index", F.col("question_id").cast("int"))
+    catalogue = v.item.where("topic_id <> 'Brand#7'").groupBy("topic_id").agg(F.min("grade").alias("grade"))
+    cited = paper.withColumns({"grounding_evidence": F.lit(""), "source_refs": F.lit(None).cast(Q.REFS)})
+    return Q.paper_errors(cited, catalogue).where("index is null").select("topic_id", "error")
+
+
+@query("""SELECT question_id, array_to_string(list_filter([CASE WHEN NOT question_id % 50 BETWEEN 8 AND 40 THEN 'evidence is not of 8 to 40 words' END, CASE WHEN grade <> 6 + question_id % 6 THEN 'another grade than the catalogue''s' END, CASE WHEN question_id % 13 = 0 THEN 'no source' END,
+CASE WHEN question_id % 13 <> 0 AND grade <> 6 + question_id % 6 THEN 'a source of another grade' END, CASE WHEN question_id % 13 <> 0 AND question_id % 3 = 0 THEN 'a citation without file or pages' END, CASE WHEN question_id % 13 <> 0 AND question_id % 7 = 0 THEN 'a source without chunk' END,
+CASE WHEN question_id % 13 <> 0 AND question_id % 11 = 0 THEN 'a source without corpus version' END], lambda x: x IS NOT NULL), ';') AS errors FROM v_question""")
+def paper_citation_errors(v: Views):
+    """Evidence, grade and provenance of each question of a paper."""
+    n = F.col("question_id")
+    ref = F.struct(F.lit("a.md").alias("source"), (n % 3).cast("int").alias("page"), F.lit(None).cast("int").alias("page_start"), F.when(n % 2 == 0, (n % 3 + 1).cast("int")).alias("page_end"), "grade", F.when(n % 7 == 0, " ").otherwise("c").alias("chunk_id"), F.when(n % 11 != 0, "v").alias("corpus_version"))
+    rows = v.question.withColumns({"wanted_grade": (6 + n % 6).cast("int"), "grounding_evidence": F.array_join(F.array_repeat(F.lit("word"), (n % 50).cast("int")), "  ")})
+    cited = rows.withColumn("source_refs", F.when(n % 13 == 0, F.array().cast(Q.REFS)).otherwise(F.array(ref).cast(Q.REFS)))
+    return cited.select("question_id", F.array_join(Q.reasons(*Q.citation_rules()), ";").alias("errors"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import mcq as Q
 from ..functions import text as T
+from ..sources.files import bank_errors
 from ..views import Views
 from .registry import query
 
@@ -149,9 +151,16 @@ def sliding_token_windows(v: Views):
     return w.select("doc_id", F.col("w.start").cast("long").alias("start"), F.size("w.tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("w.tokens", " "), 256).alias("window_hash"))
 
 
-@query("SELECT page_id, regexp_matches(url, '^https?://(www\\.|blog\\.)?[a-z]+\\.example\\.(com|org)/[a-z]{2}/[0-9]+(\\.html)?$') AS safe FROM pages")
+_IMAGE = "CASE page_id % 5 WHEN 0 THEN '/static/quiz_images/' || md5(url) || '.png' WHEN 1 THEN ' /static/quiz_images/old/' || md5(url) || '.png ' WHEN 2 THEN '/static/quiz_images/' || upper(md5(url)) || '.png' WHEN 3 THEN url ELSE '/static/quiz_images/' || md5(url) || '.png.exe' END"
+
+
+@query(f"SELECT page_id, coalesce(regexp_matches(trim({_IMAGE}), '^/static/quiz_images/(.*/)?[a-f0-9]{{32}}\\.png$'), false) AS safe FROM pages")
 def safe_url_filter(v: Views):
-    return v.table("pages").select("page_id", F.col("url").rlike(r"^https?://(www\.|blog\.)?[a-z]+\.example\.(com|org)/[a-z]{2}/[0-9]+(\.html)?$").alias("safe"))
+    """P13 over image urls of several kinds made from the pages'."""
+    k, name = F.col("page_id") % 5, F.md5(F.encode("url", "utf-8"))
+    folder = F.lit("/static/quiz_images/")
+    url = F.when(k == 0, F.concat(folder, name, F.lit(".png"))).when(k == 1, F.concat(F.lit(" "), folder, F.lit("old/"), name, F.lit(".png "))).when(k == 2, F.concat(folder, F.upper(name), F.lit(".png"))).when(k == 3, F.col("url")).otherwise(F.concat(folder, name, F.lit(".png.exe")))
+    return v.table("pages").select("page_id", T.safe_image_url(url).alias("safe"))
 
 
 @query(f"SELECT doc_id, regexp_matches(lower(text), '{'|'.join(VISUAL_PHRASES)}') AS needs_figure FROM documents")
@@ -250,28 +259,71 @@ def array_except_errors(v: Views):
     return v.table("part").select("p_partkey", F.array_join(F.array_except(errors, F.array(F.lit("ECONOMY"), F.lit("Brand#1"))), ",").alias("errors"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 9 = 0 THEN 'empty question' END, CASE WHEN length(p_type) < 6 THEN 'short option' END, CASE WHEN p_partkey % 5 = 4 THEN 'answer must be A-D' END], lambda x: x IS NOT NULL), ';') AS errors FROM part""")
+_LISTED = "array_to_string(list_filter([{0}], lambda x: x IS NOT NULL), ';')"
+_FORM = """CASE WHEN trim(question) = '' THEN 'no stem' END,
+CASE WHEN NOT (len(options) = 4 AND len(list_filter(options, lambda o: trim(o) = '')) = 0 AND len(list_distinct(list_transform(options, lambda o: lower(trim(o))))) = 4) THEN 'not four different options' END,
+CASE WHEN upper(trim(answer)) NOT IN ('A', 'B', 'C', 'D') THEN 'no letter of an option as answer' END,
+CASE WHEN len(list_filter(options, lambda o: regexp_matches(o, '(?i)\\b(?:all|none|both|neither)\\b.{0,18}\\b(?:above|below)\\b|\\boptions?\\s+[A-D]\\b'))) > 0 THEN 'an option leans on others' END,
+CASE WHEN NOT length(trim(explanation)) BETWEEN 1 AND 600 OR contains(lower(explanation), '<think') THEN 'no explanation of up to 600 characters' END"""
+
+
+@query(f"SELECT question_id, {_LISTED.format(_FORM)} AS errors FROM v_question")
 def mcq_structural_errors(v: Views):
-    rules = F.array(F.when(F.col("p_size") % 9 == 0, "empty question"), F.when(F.length("p_type") < 6, "short option"), F.when(F.col("p_partkey") % 5 == 4, "answer must be A-D"))
-    return v.table("part").select("p_partkey", F.array_join(F.array_compact(rules), ";").alias("errors"))
+    """P7's rules on form."""
+    return v.question.select("question_id", F.array_join(Q.reasons(*Q.form_rules()), ";").alias("errors"))
+
+
+@query()
+def mcq_rejections(v: Views):
+    """P7 in full: form, values, explanation and key, against stems of the same topic's neighbour."""
+    return Q.judged(v.question.withColumn("blocked", F.array(F.concat(F.lit("Define a "), F.element_at(F.split("question", " "), -1))))).select("question_id", F.array_join("errors", ";").alias("errors"))
 
 
-@query(r"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN NOT regexp_matches(p_brand, '^Brand#[0-9]+$') THEN 'bad id' END, CASE WHEN p_size NOT BETWEEN 5 AND 45 THEN 'size out of range' END, CASE WHEN p_type NOT IN ('ECONOMY', 'STANDARD', 'PROMO') THEN 'unknown type' END], lambda x: x IS NOT NULL), ';') AS errors FROM part""")
+_RECORD = """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '-q ' || CAST(p_partkey AS VARCHAR) ELSE 'q_' || CAST(p_partkey AS VARCHAR) END AS question_id, CASE WHEN p_partkey % 41 = 0 THEN 'six' ELSE CAST(5 + p_size % 8 AS VARCHAR) END AS grade,
+CASE WHEN p_partkey % 43 = 0 THEN NULL ELSE p_name END AS question, [p_name, p_type, CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) ELSE p_brand END, CAST(p_size AS VARCHAR)] AS options,
+substr('abcde', CAST(1 + p_partkey % 5 AS INTEGER), 1) AS answer, CASE WHEN p_partkey % 3 = 0 THEN 'pending' ELSE 'verified' END AS mapping_status,
+'2024-01-' || lpad(CAST(1 + p_partkey % 40 AS VARCHAR), 2, '0') || 'T10:00:00' || CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN 'Z' ELSE '+05:30' END AS reviewed_at FROM part"""
+_RECORD_RULES = """CASE WHEN NOT regexp_matches(question_id, '^[A-Za-z0-9][A-Za-z0-9_.-]*$') THEN 'invalid question_id' END,
+CASE WHEN NOT coalesce(TRY_CAST(grade AS INTEGER) BETWEEN 6 AND 11, false) THEN 'grade out of range' END,
+CASE WHEN coalesce(question, '') = '' THEN 'empty question' END,
+CASE WHEN len(list_distinct(list_transform(options, lambda o: lower(o)))) <> 4 THEN 'four unique options are required' END,
+CASE WHEN upper(answer) NOT IN ('A', 'B', 'C', 'D') THEN 'answer must be A to D' END,
+CASE WHEN mapping_status <> 'verified' THEN 'mapping must be verified' END,
+CASE WHEN p_partkey % 4 = 0 OR p_partkey % 40 > 30 THEN 'reviewed_at needs a time zone' END"""
+
+
+@query(f"SELECT p_partkey, {_LISTED.format(_RECORD_RULES)} AS errors FROM ({_RECORD})")
 def bank_record_errors(v: Views):
-    rules = F.array(F.when(~F.col("p_brand").rlike("^Brand#[0-9]+$"), "bad id"), F.when(~F.col("p_size").between(5, 45), "size out of range"), F.when(~F.col("p_type").isin("ECONOMY", "STANDARD", "PROMO"), "unknown type"))
-    return v.table("part").select("p_partkey", F.array_join(F.array_compact(rules), ";").alias("errors"))
+    """P10 over records of a bank, by the rules of the bank's reader."""
+    n, text = F.col("p_partkey"), lambda c: c.cast("string")
+    record = v.table("part").select(
+        n, F.when(n % 7 == 0, F.concat(F.lit("-q "), text(n))).otherwise(F.concat(F.lit("q_"), text(n))).alias("question_id"),
+        F.when(n % 41 == 0, "six").otherwise(text(5 + F.col("p_size") % 8)).alias("grade"), F.when(n % 43 != 0, F.col("p_name")).alias("question"),
+        F.array("p_name", "p_type", F.when(n % 10 == 0, F.upper("p_name")).otherwise(F.col("p_brand")), text(F.col("p_size"))).alias("options"),
+        F.substr(F.lit("abcde"), (1 + n % 5).cast("int"), F.lit(1)).alias("answer"), F.when(n % 3 == 0, "pending").otherwise("verified").alias("mapping_status"),
+        F.concat(F.lit("2024-01-"), F.lpad(text(1 + n % 40), 2, "0"), F.lit("T10:00:00"), F.when(n % 4 == 0, "").when(n % 4 == 1, "Z").otherwise("+05:30")).alias("reviewed_at"),
+    )
+    return record.select("p_partkey", F.array_join(bank_errors(), ";").alias("errors"))
+
+
+_SPREAD = """CASE WHEN regexp_matches(question, '(?i)^\\s*define\\b') THEN 'recall only' END,
+CASE WHEN numeric AND unit THEN 'options of several units' END,
+CASE WHEN numeric AND NOT unit AND g[1] > 0 AND g[3] > 6 * g[2] THEN 'an option far from the others' END"""
 
 
-@query("""WITH o AS (SELECT p_partkey, list_sort([CAST(p_size AS BIGINT), CAST(p_size + 2 AS BIGINT), CAST(p_size + 5 AS BIGINT), CAST(p_size + 7 + p_partkey % 40 AS BIGINT)]) AS a FROM part),
-g AS (SELECT p_partkey, list_sort([a[2] - a[1], a[3] - a[2], a[4] - a[3]]) AS g FROM o) SELECT p_partkey, g[1] > 0 AND g[3] > 6 * g[2] AS outlier FROM g""")
+@query(f"""WITH o AS (SELECT *, len(list_filter(options, lambda x: NOT regexp_matches(trim(x), '^[0-9]+( cm)?$'))) = 0 AS numeric, ends_with(options[4], ' cm') AS unit FROM v_question),
+n AS (SELECT *, CASE WHEN numeric THEN list_sort(list_transform(options, lambda x: CAST(replace(x, ' cm', '') AS BIGINT))) END AS a FROM o), d AS (SELECT *, list_sort([a[2] - a[1], a[3] - a[2], a[4] - a[3]]) AS g FROM n)
+SELECT question_id, {_LISTED.format(_SPREAD)} AS errors FROM d""")
 def option_outlier_gate(v: Views):
-    size = F.col("p_size").cast("long")
-    a = F.array_sort(F.array(size, size + 2, size + 5, size + 7 + F.col("p_partkey") % 40))
-    gaps = v.table("part").select("p_partkey", a.alias("a")).select("p_partkey", F.array_sort(F.zip_with(F.slice("a", 1, 3), F.slice("a", 2, 3), lambda x, y: y - x)).alias("g"))
-    return gaps.select("p_partkey", ((F.col("g")[0] > 0) & (F.col("g")[2] > 6 * F.col("g")[1])).alias("outlier"))
+    """P6 in full: recall, units, outliers."""
+    return v.question.select("question_id", F.array_join(Q.reasons(*Q.challenge_rules(application=True)), ";").alias("errors"))
 
 
-@query("""WITH r AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'v1' ELSE 'v2' END AS version, sha256(p_name || CASE WHEN p_partkey % 10 = 0 THEN 'x' ELSE '' END) AS stored, sha256(p_name) AS now FROM part) SELECT p_partkey FROM r WHERE version = 'v2' AND stored = now""")
+@query("""WITH r AS (SELECT question_id, CASE WHEN question_id % 4 = 0 THEN 'v1' ELSE 'v2' END AS version, CASE WHEN question_id % 5 = 0 THEN 'small' ELSE 'large' END AS model_id, CASE WHEN question_id % 7 = 0 THEN 'other' ELSE 'own' END AS provider,
+sha256(question || CASE WHEN question_id % 10 = 1 THEN 'x' ELSE '' END) AS stored, sha256(question) AS now FROM v_question) SELECT question_id FROM r WHERE version = 'v2' AND model_id = 'large' AND provider = 'own' AND stored = now""")
 def review_digest_filter(v: Views):
-    stored = F.sha2(F.concat("p_name", F.when(F.col("p_partkey") % 10 == 0, "x").otherwise("")), 256)
-    return v.table("part").where((F.col("p_size") % 4 != 0) & (stored == F.sha2("p_name", 256))).select("p_partkey")
+    """Only reviews of the current version, model and provider, of the question as it stands."""
+    n = F.col("question_id")
+    stored = F.sha2(F.concat("question", F.when(n % 10 == 1, "x").otherwise("")), 256)
+    review = F.struct(F.when(n % 4 == 0, "v1").otherwise("v2").alias("version"), F.when(n % 5 == 0, "small").otherwise("large").alias("model_id"), F.when(n % 7 == 0, "other").otherwise("own").alias("provider"), stored.alias("content_sha256"))
+    return v.question.withColumn("quality_review", review).where(Q.has_current_review("v2", "large", "own", F.sha2("question", 256))).select("question_id")

@@ -40,15 +40,25 @@ def read_pages(spark: SparkSession, folder: str, least: int = 120) -> DataFrame:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """S3: path, size and sha256 of every file."""
+    """S3: path, name (the path below the folder), size and sha256 of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    base = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    return files.select("path", F.substr("path", F.lit(len(base) + 2)).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def multiset_digest(row: Column, *, parts: int = 5) -> Column:
+    """An aggregate over hexadecimal sha256 digests that does not depend on their order: sums of their pieces, hashed. It is
+    summed where rows lie, so no task sees all of them."""
+    sums = [F.sum(F.conv(F.substring(row, 12 * i + 1, 12), 16, 10).cast("decimal(20, 0)")).cast("string") for i in range(parts)]
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256)
 
 
 def corpus_version(files: DataFrame) -> str:
-    """A digest of a manifest that does not depend on the order of files."""
-    row = F.sha2(F.concat_ws("|", F.element_at(F.split("path", "/"), -1), "size", "sha256"), 256)
-    return files.select(row.alias("d")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("v")).first()["v"]
+    """A digest of a manifest (name, size, sha256) that does not depend on the order of files."""
+    row = F.sha2(F.concat_ws("|", "name", "size", "sha256"), 256)
+    return files.select(row.alias("d")).agg(multiset_digest(F.col("d")).alias("v")).first()["v"]
 
 
 CATALOGUE = "grades array<struct<grade: int, terms: array<struct<term: int, topics: array<struct<no: int, topic: string, competency_levels: array<string>, periods: int>>>>>>"

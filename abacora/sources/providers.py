@@ -41,8 +41,27 @@ def checked(vectors: list, count: int, size: int) -> list[list[float]]:
     return out
 
 
-def embed(df: DataFrame, provider: Embed = hashed_embedding, size: int = 64, batch: int = 32, text: str = "text") -> DataFrame:
-    """Adds embedding, asking the provider for at most `batch` texts at a time, in order."""
+def retried(provider, attempts: int = 3, wait: float = 1.0, sleep=None):
+    """A provider whose failures are retried, each wait twice as long as the one before it; Exhausted is passed on."""
+    import time
+
+    def ask(texts):
+        for n in range(attempts):
+            try:
+                return provider(texts)
+            except Exhausted:
+                raise
+            except Exception:
+                if n + 1 == attempts:
+                    raise
+                (sleep or time.sleep)(wait * 2**n)
+
+    return ask
+
+
+def embed(df: DataFrame, provider: Embed = hashed_embedding, size: int = 64, batch: int = 32, text: str = "text", attempts: int = 3) -> DataFrame:
+    """Adds embedding, asking the provider for at most `batch` texts at a time, in order, up to `attempts` times."""
+    provider = retried(provider, attempts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -82,19 +101,36 @@ def limited(provider, calls: int, cooldown: float = 300.0, clock=None):
     return ask
 
 
-def complete(df: DataFrame, provider: Callable[[list[str]], list[str]], prompt: str = "prompt", attempts: int = 3) -> DataFrame:
-    """Adds completion; a batch is tried `attempts` times, then its error is the row's."""
+def complete(df: DataFrame, provider: Callable[[list[str]], list[str]], prompt: str = "prompt", attempts: int = 3, wait: float = 1.0, valid: Callable[[str], bool] | None = None, sleep=None) -> DataFrame:
+    """Adds completion; a batch is tried `attempts` times, each wait twice as long as the one before it, then its error
+    is the row's. Answers that `valid` refuses are asked for again, and are errors after the last attempt."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        rest = sleep or time.sleep
         for f in frames:
-            said, error = [None] * len(f), None
-            for _ in range(attempts):
+            prompts = f[prompt].tolist()
+            said: list = [None] * len(f)
+            errors: list = [None] * len(f)
+            open_ = list(range(len(f)))
+            for n in range(attempts):
                 try:
-                    said, error = provider(f[prompt].tolist()), None
-                    break
+                    found = provider([prompts[i] for i in open_])
+                    if len(found) != len(open_):
+                        raise ValueError("the provider answered with another number of texts")
+                    for i, text in zip(open_, found):
+                        ok = valid is None or valid(text)
+                        said[i], errors[i] = (text, None) if ok else (None, "the answer has another form")
+                    open_ = [i for i in open_ if errors[i]]
                 except Exception as e:  # noqa: BLE001  a provider may fail in any way
-                    error = f"{type(e).__name__}: {e}"
-            yield f.assign(completion=said, error=error)
+                    for i in open_:
+                        errors[i] = f"{type(e).__name__}: {e}"
+                if not open_:
+                    break
+                if n + 1 < attempts:
+                    rest(wait * 2**n)
+            yield f.assign(completion=said, error=errors)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     return df.mapInPandas(run, f"{fields}, completion string, error string")

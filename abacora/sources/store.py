@@ -20,17 +20,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _rename_over(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file over another in one step, so that readers see the old or the new one."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    fs, p, make = _fs(spark, target)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(make(source)), fs.makeQualified(p), options)
+
+
 def write_manifest(spark: SparkSession, path: str, data: dict) -> None:
-    """A JSON file that appears whole or not at all: written beside, then renamed."""
-    fs, p, make = _fs(spark, path)
-    beside = make(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(beside, True)
+    """A JSON file that appears whole or not at all: written beside, then renamed over the one before."""
+    fs, _, make = _fs(spark, path)
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    out = fs.create(make(beside), True)
     out.write(bytearray(json.dumps(data, sort_keys=True).encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"could not put {path} in place")
+    _rename_over(spark, beside, path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
@@ -39,37 +47,91 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
+def settle(spark: SparkSession, path: str) -> None:
+    """Puts back the version before, where a replacement was cut short between its two renames."""
+    fs, p, make = _fs(spark, path)
+    if not fs.exists(p):
+        before = fs.globStatus(make(f"{path}.*.before")) or []
+        for x in sorted(before, key=lambda f: f.getModificationTime(), reverse=True)[:1]:
+            fs.rename(x.getPath(), p)
+
+
 def replace(df: DataFrame, path: str, *partitions: str) -> None:
-    """The whole table rewritten in a staging folder, then moved into place."""
+    """The whole table rewritten beside, then moved into place; the version before is deleted last.
+
+    A table of several files cannot be renamed over another in one step: a crash between the two renames leaves the version
+    before under another name, which settle() (and the next replace()) puts back.
+    """
     spark = df.sparkSession
     fs, p, make = _fs(spark, path)
-    staged = f"{path}.{uuid.uuid4().hex}.staged"
+    settle(spark, path)
+    staged, before = f"{path}.{uuid.uuid4().hex}.staged", make(f"{path}.{uuid.uuid4().hex}.before")
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(staged)
-    if fs.exists(p):
-        fs.delete(p, True)
+    old = fs.exists(p)
+    if old and not fs.rename(p, before):
+        raise OSError(f"could not set {path} aside")
     if not fs.rename(make(staged), p):
+        if old:
+            fs.rename(before, p)
         raise OSError(f"could not put {path} in place")
+    if old:
+        fs.delete(before, True)
 
 
-def upsert(wanted: DataFrame, path: str, key: str, payload: str, embed, batch: int = 1000) -> int:
-    """Appends the rows whose key and payload are not stored yet, after embed(rows); a rerun continues where one broke
-    off. Returns how many rows were pending. Readers take the newest row of a key (see current())."""
+def upsert(wanted: DataFrame, path: str, key: str, payload: str, embed, contract: dict | None = None, whole: bool = False) -> int:
+    """Appends the rows whose key does not stand with this payload now, after embed(rows); a rerun continues where one
+    broke off. Returns how many rows were pending. Readers take the newest row of a key (see current()).
+
+    contract: settings (model, size, corpus) that a store keeps for its life; another one, or rows without one, is refused.
+    whole: wanted is all there should be, so other keys are marked as gone. What stands is counted before the contract is
+    marked ready.
+    """
     spark = wanted.sparkSession
-    pending = wanted
-    if exists(spark, path):
-        pending = wanted.join(spark.read.parquet(path).select(key, payload).distinct(), [key, payload], "left_anti")
+    there, note = exists(spark, path), f"{path}.contract.json"
+    if contract is not None:
+        known = read_manifest(spark, note)
+        if there and known is None:
+            raise ValueError("the store has rows but no contract")
+        if known and known["contract"] != contract:
+            raise ValueError("the store was made under another contract")
+        write_manifest(spark, note, {"contract": contract, "status": "building"})
+    stands = current(spark, path, key).select(key, payload) if there else None
+    pending = wanted.join(stands, [key, payload], "left_anti") if there else wanted
     n = pending.count()
+    stamp = F.current_timestamp()
     if n:
-        embed(pending).withColumn("_written", F.current_timestamp()).write.mode("append").parquet(path)
+        embed(pending).withColumns({"_written": stamp, "_gone": F.lit(False)}).write.mode("append").parquet(path)
+    if whole and there:
+        gone = stands.join(wanted.select(key), key, "left_anti").select(key)
+        if gone.take(1):
+            gone.withColumns({"_written": stamp, "_gone": F.lit(True)}).write.mode("append").parquet(path)
+    if contract is not None:
+        rows = current(spark, path, key) if exists(spark, path) else None
+        held = rows.join(wanted.select(key, payload), [key, payload], "left_semi").count() if rows is not None else 0
+        expected = wanted.select(key).distinct().count()
+        if held != expected or (whole and rows is not None and rows.count() != expected):
+            raise RuntimeError(f"{held} of {expected} rows stand in the store")
+        write_manifest(spark, note, {"contract": contract, "status": "ready", "count": held})
     return n
 
 
 def current(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest row of every key."""
+    """The newest row of every key that is not gone."""
     rows = spark.read.option("mergeSchema", "true").parquet(path)
     newest = F.max_by(F.struct(*rows.columns), "_written").alias("r")
-    return rows.groupBy(F.col(key).alias("_key")).agg(newest).select("r.*").drop("_written")
+    return rows.groupBy(F.col(key).alias("_key")).agg(newest).select("r.*").where("not _gone").drop("_written", "_gone")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """A frame that is read several times, written below spark.checkpoint.dir where that is set; else the frame as it is."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return df
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ingest(spark: SparkSession, manifest_path: str, fingerprint: str, build, force: bool = False) -> str:
@@ -105,6 +167,60 @@ def copy_tables(read, write, tables: list[str], coerce: dict[str, str] | None =
     return done
 
 
+class Jdbc:
+    """One side of copy_tables() over JDBC; url and properties are the caller's, also the driver's jar."""
+
+    def __init__(self, spark: SparkSession, url: str, properties: dict[str, str] | None = None, key: str | None = None, bounds: tuple[int, int, int] | None = None):
+        """key and bounds (low, high, partitions): tables are read in ranges of this column."""
+        self.spark, self.url, self.properties, self.key, self.bounds = spark, url, properties or {}, key, bounds
+
+    def __call__(self, name: str) -> DataFrame:
+        if self.key and self.bounds:
+            low, high, parts = self.bounds
+            return self.spark.read.jdbc(self.url, name, column=self.key, lowerBound=low, upperBound=high, numPartitions=parts, properties=self.properties)
+        return self.spark.read.jdbc(self.url, name, properties=self.properties)
+
+    target = __call__
+
+    def append(self, df: DataFrame, name: str) -> None:
+        df.write.jdbc(self.url, name, mode="append", properties=self.properties)
+
+    @staticmethod
+    def sequence_reset(name: str, column: str = "id") -> str:
+        """The statement that sets a PostgreSQL table's sequence behind its largest key, to be run after a copy."""
+        return f"SELECT setval(pg_get_serial_sequence('{name}', '{column}'), COALESCE((SELECT MAX({column}) FROM {name}), 0) + 1, false)"
+
+
+def preflight(vectors: DataFrame, size: int, column: str = "embedding") -> dict[str, int]:
+    """How many vectors have another size, a component that is not finite, or only zeros."""
+    e, inf = F.col(column), F.lit(float("inf"))
+    row = vectors.agg(
+        F.count_if(F.coalesce(F.size(e) != size, F.lit(True))).alias("wrong_size"),
+        F.count_if(F.coalesce(F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == inf)), F.lit(False))).alias("not_finite"),
+        F.count_if(F.coalesce(~F.exists(e, lambda x: x != 0), F.lit(False))).alias("zero"),
+    ).first()
+    return row.asDict()
+
+
+def copy_vectors(source: DataFrame, path: str, size: int, column: str = "embedding") -> int:
+    """Vectors written as a whole after a preflight without findings; raises ValueError otherwise."""
+    found = preflight(source, size, column)
+    if any(found.values()):
+        raise ValueError(f"vectors refused: {found}")
+    replace(source, path)
+    return source.sparkSession.read.parquet(path).count()
+
+
+def load_records(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Records of JSON lines, of a key that repeats the last by its text; lines that do not fit are refused."""
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    kept = written(rows, "records") if spark.conf.get("spark.checkpoint.dir", None) else rows.cache()
+    if kept.where("_corrupt_record is not null").take(1):
+        raise ValueError("a line is no record of this schema")
+    own = kept.drop("_corrupt_record")
+    return own.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*own.columns)).alias("r")).select("r.*")
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """Records as JSON lines."""
     df.write.mode("overwrite").json(path)

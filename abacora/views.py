@@ -23,6 +23,12 @@ SQL = {
     "v_exposure": "SELECT DISTINCT user_id, item_id FROM v_attempt JOIN v_answer USING (attempt_id)",
     "v_score": """SELECT attempt_id, user_id, created_at, count(*) AS total, CAST(sum(CASE WHEN is_correct THEN 1 ELSE 0 END) AS BIGINT) AS correct,
         round(100.0 * sum(CASE WHEN is_correct THEN 1 ELSE 0 END) / count(*), 6) AS score FROM v_attempt JOIN v_answer USING (attempt_id) GROUP BY attempt_id, user_id, created_at""",
+    "v_question": """SELECT p_partkey AS question_id, p_brand AS topic_id, CAST(6 + p_size % 6 AS INTEGER) AS grade,
+        CASE WHEN p_size % 9 = 0 THEN '  ' WHEN p_size % 9 = 1 THEN 'Define a ' || p_name || '.' ELSE 'How many ' || p_name || 's are in box ' || CAST(p_partkey AS VARCHAR) || '?' END AS question,
+        [CAST(p_size AS VARCHAR), CAST(p_size + 1 AS VARCHAR), CASE WHEN p_partkey % 13 = 0 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 29 = 0 THEN ' ' ELSE CAST(p_size + 2 AS VARCHAR) END,
+         CASE WHEN p_partkey % 17 = 0 THEN 'None of the above' WHEN p_partkey % 19 = 0 THEN CAST(p_size + 90 AS VARCHAR) WHEN p_partkey % 23 = 0 THEN CAST(p_size + 3 AS VARCHAR) || ' cm' ELSE CAST(p_size + 3 AS VARCHAR) END] AS options,
+        CASE WHEN p_partkey % 5 = 4 THEN 'E' ELSE substr('abcd', CAST(1 + p_partkey % 4 AS INTEGER), 1) END AS answer,
+        CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 31 = 0 THEN repeat('x', 601) WHEN p_partkey % 37 = 0 THEN 'Let me <THINK>' ELSE 'Count them all.' END AS explanation FROM part""",
     "v_activity": "SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, event_type, value, props FROM events",
 }
 
@@ -93,6 +99,21 @@ class Views:
 
         return score_attempts(self.attempt, self.answer_unnumbered)
 
+    @property
+    def question(self) -> DataFrame:
+        """Generated questions of all kinds, good and bad."""
+        size, part = F.col("p_size"), F.col("p_partkey")
+        text = lambda c: c.cast("string")
+        stem = F.when(size % 9 == 0, "  ").when(size % 9 == 1, F.concat(F.lit("Define a "), "p_name", F.lit("."))).otherwise(F.concat(F.lit("How many "), "p_name", F.lit("s are in box "), text(part), F.lit("?")))
+        third = F.when(part % 13 == 0, text(size)).when(part % 29 == 0, " ").otherwise(text(size + 2))
+        fourth = F.when(part % 17 == 0, "None of the above").when(part % 19 == 0, text(size + 90)).when(part % 23 == 0, F.concat(text(size + 3), F.lit(" cm"))).otherwise(text(size + 3))
+        answer = F.when(part % 5 == 4, "E").otherwise(F.substr(F.lit("abcd"), (1 + part % 4).cast("int"), F.lit(1)))
+        explanation = F.when(part % 11 == 0, "").when(part % 31 == 0, F.repeat(F.lit("x"), 601)).when(part % 37 == 0, "Let me <THINK>").otherwise("Count them all.")
+        return self.table("part").select(
+            part.alias("question_id"), F.col("p_brand").alias("topic_id"), (6 + size % 6).cast("int").alias("grade"), stem.alias("question"),
+            F.array(text(size), text(size + 1), third, fourth).alias("options"), answer.alias("answer"), explanation.alias("explanation"),
+        )
+
     @property
     def activity(self) -> DataFrame:
         return self.table("events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"), "event_type", "value", "props")

@@ -18,15 +18,22 @@ def test_equal_sets_have_no_letter():
 
 
 def test_units_are_told_apart():
-    assert not A.same(A.read("5 cm"), A.read("5 m"))
-    assert A.same(A.read("A) 5.0cm"), A.read("5 cm"))
+    assert not A.same("5 cm", "5 m")
+    assert A.same("A) 5.0cm", "5 cm") and not A.same("", "")
+
+
+def test_keys():
+    assert A.key_of("\\frac{1}{2}") == A.key_of("$0.5$") == A.key_of("(b) 50 %") == "1/2|"
+    assert A.key_of("{2, 1}") == A.key_of("{1.0,2}") == "{1,2}" and A.key_of("∅") == A.key_of("{ }")
+    assert A.key_of("1/0") == "1/0" and A.key_of("{1/0}") == "{1/0}" and A.key_of("{5 cm}") == "{5cm}" and A.key_of(None) is None
+    assert A.key_of("-1/2") == "-1/2|" and A.key_of("two") == "two"
 
 
 @pytest.mark.parametrize(
     "stem, value",
     [
         ("Calculate 0.1 + 0.2?", Fraction(3, 10)), ("Evaluate (2 + 3)^2?", 25), ("What is -2^2", -4), ("compute 2^3^2", 512), ("Calculate 7 - 3 - 2.", 2), ("Calculate 8 ÷ 4 × 3", 6),
-        ("Calculate 1/0", None), ("Calculate 2^13", None), ("Define a set", None), ("Calculate (1 + 2", None), ("Calculate 9999999^2", None),
+        ("Calculate 1/0", None), ("Calculate 2^13", None), ("Define a set", None), ("Calculate (1 + 2", None), ("Calculate 9999999^2", None), ("Calculate " + "+".join(["1"] * 30), None), ("Calculate " + "+".join(["1"] * 21), 21),
     ],
 )
 def test_arithmetic(stem, value):
@@ -45,6 +52,9 @@ def test_letters_are_remapped():
     to = {"A": "D", "B": "C", "C": "B", "D": "A"}
     assert A.remap_letters("Options A, B, and D are distractors.", to) == "Options D, C, and A are distractors."
     assert A.remap_letters("The correct answer is B.", to) == "The correct answer is C."
+    assert A.remap_letters("Options (A)/B fail, the third option holds; D would be correct, a B is not.", to) == "Options (D)/C fail, the option B holds; A would be correct, a B is not."
+    assert A.claimed_letters("Option A correctly says so") == {"A"} and A.claimed_letters("the second option is correct") == {"B"}
+    assert A.claimed_letters("Options A and B are wrong") == set()
 
 
 def test_similarity():

@@ -81,6 +81,71 @@ def test_upsert_resumes_and_is_idempotent(spark, tmp_path):
     assert len(now) == 5 and {r["payload"] for r in now if r["id"] == 1} == {"new"}
 
 
+def test_upsert_goes_back_to_an_earlier_payload(spark, tmp_path):
+    path = f"file://{tmp_path}/aba"
+    for n, payload in enumerate(("A", "B", "A", "A")):
+        rows = spark.createDataFrame([(1, "text", payload), (2, "other", "x")], "id long, text string, payload string")
+        assert store.upsert(rows, path, "id", "payload", providers.embed) == (2 if n == 0 else 0 if n == 3 else 1)
+        assert {(r["id"], r["payload"]) for r in store.current(spark, path, "id").collect()} == {(1, payload), (2, "x")}
+
+
+def test_upsert_keeps_its_contract(spark, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    rows = spark.createDataFrame([(i, f"text {i}", f"h{i}") for i in range(4)], "id long, text string, payload string")
+    put = lambda df, contract={"size": 64}: store.upsert(df, path, "id", "payload", providers.embed, contract, whole=True)  # noqa: B006, E731
+    assert put(rows) == 4 and store.read_manifest(spark, f"{path}.contract.json") == {"contract": {"size": 64}, "status": "ready", "count": 4}
+    with pytest.raises(ValueError, match="another contract"):
+        put(rows, {"size": 32})
+    assert put(rows.where("id > 1")) == 0  # the others are gone
+    assert {r["id"] for r in store.current(spark, path, "id").collect()} == {2, 3}
+    assert put(rows) == 2 and store.current(spark, path, "id").count() == 4
+    with pytest.raises(RuntimeError, match="of 4 rows"):
+        store.upsert(rows.withColumn("payload", F.lit("new")), path, "id", "payload", lambda df: providers.embed(df).where("id <> 1"), {"size": 64})
+    assert store.read_manifest(spark, f"{path}.contract.json")["status"] == "building"
+    plain = f"file://{tmp_path}/plain"
+    store.upsert(rows, plain, "id", "payload", providers.embed)
+    with pytest.raises(ValueError, match="no contract"):
+        store.upsert(rows, plain, "id", "payload", providers.embed, {"size": 64})
+
+
+def test_replacement_that_broke_off_is_settled(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    store.replace(spark.range(5), path)
+    (tmp_path / "t").rename(tmp_path / "t.123.before")
+    store.settle(spark, path)
+    assert spark.read.parquet(path).count() == 5
+    store.replace(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_vectors_are_checked_before_they_are_copied(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    good = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
+    assert store.copy_vectors(good, path, 2) == 1
+    for bad in ([1.0], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], None):
+        with pytest.raises(ValueError):
+            store.copy_vectors(spark.createDataFrame([(1, bad)], "id long, embedding array<double>"), path, 2)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_records_are_loaded(spark, tmp_path):
+    store.write_records(spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, n long"), f"file://{tmp_path}/r")
+    assert {(r["k"], r["n"]) for r in store.load_records(spark, f"file://{tmp_path}/r", "k string, n long", "k").collect()} == {("a", 3), ("b", 2)}
+    (tmp_path / "bad.json").write_text("{\"k\": \n")
+    with pytest.raises(ValueError):
+        store.load_records(spark, f"file://{tmp_path}/bad.json", "k string, n long", "k")
+    assert "MAX(id)" in store.Jdbc.sequence_reset("users")
+
+
+def test_moved_files_change_the_version(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("same")
+    before = files.corpus_version(files.manifest(spark, str(tmp_path)))
+    assert [r["name"] for r in files.manifest(spark, str(tmp_path)).collect()] == ["a/x.txt"]
+    (tmp_path / "a").rename(tmp_path / "b")
+    assert files.corpus_version(files.manifest(spark, str(tmp_path))) != before
+
+
 def test_ingest_skips_when_ready(spark, tmp_path):
     path, calls = f"file://{tmp_path}/manifest.json", []
     assert store.ingest(spark, path, "v1", lambda: calls.append(1)) == "built"
