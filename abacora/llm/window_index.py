@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, release, sliding, squeezed, unsqueezed, with_row_key
-from .common import discard, map_rows, materialise, mix64, table
+from .common import discard, map_rows, materialise, mix64, scratch, table
 from .suffix_dedup import merged_spans
 
 SIZE = 13
@@ -41,28 +41,43 @@ FAN_IN = 2
 CROWD = 4096
 #: Bytes of contexts in one task, about.
 TASK_BYTES = 12 << 20
-#: Bytes of texts that are cut into words together, about, and hashes of words that are kept.
+#: Bytes of texts that are cut into words together, about.
 TOGETHER = 2 << 20
-KEPT_HASHES = 1 << 20
+#: Words of more bytes than this are hashed one by one.
+LANES = 64
 #: A run of windows has fewer windows than this (they share a gram), so place and length go into one number.
 RUN = 64
 
 
-class _Hashes(dict):
-    """XXH64 of words, kept for those seen before, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_HASHES:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 6)
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+def one_spaced(text: str) -> bytes:
+    """The words of a text, one space between them (bytes are split at exactly the separators of words)."""
+    return b" ".join(text.encode().split())
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of a text with one space between words begins, its size, and a hash of it.
+
+    A word of up to eight bytes is mixed as one number, so that words of equal size never share a hash; longer ones are
+    mixed eight bytes at a time, very long ones are hashed by XXH64.
+    """
+    if not data:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    raw = np.frombuffer(data + b" " * 8, np.uint8)
+    eights = np.ndarray((len(data) + 1,), np.uint64, raw, strides=(1,))  # the eight bytes from each position on
+    end = np.append(np.flatnonzero(raw[: len(data)] == 32), len(data))
+    start = np.append(0, end[:-1] + 1)
+    size = end - start
+    h = mix64(size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    left = np.flatnonzero(size <= LANES) if size.max() > LANES else np.arange(len(size))
+    for at in range(0, LANES, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        unused = np.maximum(0, 8 - (size[left] - at)).astype(np.uint64) * np.uint64(8)
+        h[left] = mix64(h[left] ^ (eights[start[left] + at] << unused))
+    for w in np.flatnonzero(size > LANES).tolist():
+        h[w] = xxhash.xxh64_intdigest(data[start[w] : end[w]], 6)
+    return start, size, h
 
 
 def standing(sizes: np.ndarray, h: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +103,13 @@ class Runs:
     """Runs of windows with one standing gram, of some texts: owner (which text), at (first window in it), n (windows), key."""
 
     def __init__(self, texts: list[str], size: int = SIZE):
-        lists = [t.encode().split() for t in texts]  # bytes split at exactly the separators of words
-        self.words = [w for words in lists for w in words]
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        counts = np.array([len(words) for words in lists], np.int64)
+        each = [one_spaced(t) for t in texts]
+        self.data = b" ".join(filter(None, each))
+        self.start, self.sizes, h = word_hashes(self.data)
+        counts = np.array([x.count(b" ") + 1 if x else 0 for x in each], np.int64)
         begin = np.cumsum(counts) - counts
-        place, gram = standing(self.sizes, hashed(self.words), size)
-        text = np.repeat(np.arange(len(lists)), counts)[: len(place)]
+        place, gram = standing(self.sizes, h, size)
+        text = np.repeat(np.arange(len(texts)), counts)[: len(place)]
         inside = np.arange(len(place)) + size <= (begin + counts)[text]  # windows that reach into the next text are none
         edge = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])]) if len(place) else np.empty(0, np.int64)
         n = np.diff(np.append(edge, len(place)))
@@ -105,10 +120,8 @@ class Runs:
 
     def contexts(self) -> np.ndarray:
         """The XXH3 hash of each run's words, one space between them."""
-        data, digest = b" ".join(self.words), xxhash.xxh3_64_intdigest
-        end = np.cumsum(self.sizes + 1) - 1
-        start = end - self.sizes
-        spans = zip(start[self.first].tolist(), end[self.first + self.n + self.size - 2].tolist())
+        data, digest, last = self.data, xxhash.xxh3_64_intdigest, self.first + self.n + self.size - 2
+        spans = zip(self.start[self.first].tolist(), (self.start[last] + self.sizes[last]).tolist())
         return np.array([digest(data[a:b]) for a, b in spans], np.uint64).view(np.int64)
 
 
@@ -289,53 +302,52 @@ def verified(contexts: DataFrame, size: int = SIZE) -> DataFrame:
 
 def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, index: FingerprintIndex | None = None, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text) -> doc_id, body (compressed text), spans: word positions covered by earlier documents' windows."""
-    if size - GRAM + 1 >= RUN:
-        raise ValueError(f"windows of up to {RUN + GRAM - 2} words only")
-    spark = docs.sparkSession
-    own = index is None
-    index = index or FingerprintIndex(spark)
-    rows = with_row_key(docs)
-    dated = rows.where("doc_id is not null")
-    shares = [(2**i - 1) / (2**batches - 1) for i in range(1, batches)]  # each batch is twice the one before it
-    edges = sorted({int(x) for x in dated.stat.approxQuantile("doc_id", shares, 0.01)}) if shares else []
-    found = []
-    for low, high in zip([None, *edges], [*edges, None]):
-        part = dated if low is None else dated.where(F.col("doc_id") > low)
-        part = part if high is None else part.where(F.col("doc_id") <= high)
-        found.append(index.add(postings(part, size)))
-    keys = found[0]
-    for more in found[1:]:
-        keys = keys.union(more)
-    keys = materialise(keys.distinct(), "keys")
-    for old in found:
-        discard(old)
-    if own:
-        index.drop()
-    release(spark)
-    met = materialise(places(dated, size).join(keys, "key"), "places")
-    discard(keys)
-    release(spark)
-    lowest = materialise(lowest_places(met), "contexts")
-    # written, so that the join has no aggregate in its way and a fingerprint of very many contexts can be split
-    several = materialise(lowest.groupBy("key").agg((F.count("*") > crowd).alias("crowd"), F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    release(spark)
-    bodies = map_rows(rows.select("rid", "doc_id", "text"), lambda c: {"rid": c[0], "doc_id": c[1], "body": squeezed(c[2])}, "rid long, doc_id long, body binary")
-    wanted = lowest.join(several.select("key", "crowd"), "key")
-    contexts = materialise(fetched(bodies.select("rid", "body"), wanted, size), "words")
-    release(spark)
-    hits = verified(contexts, size).groupBy("key", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
-    judged = materialise(lowest.select("key", "context", F.col("doc").alias("low")).join(hits, ["key", "context"], "left"), "judged")
-    discard(contexts)
-    release(spark)
-    # a place of a later document loses all its words, one of the lowest document those that were found in others
-    at = F.shiftright("at", RUN.bit_length() - 1)
-    whole = F.array(F.struct(at.alias("lo"), (at + F.col("at") % RUN + size - 1).alias("hi")))
-    lost = F.when(F.col("doc") > F.col("low"), whole).otherwise(F.transform("hits", lambda s: F.struct((at + s["lo"]).alias("lo"), (at + s["hi"]).alias("hi"))))
-    gone = met.join(judged, ["key", "context"]).select("rid", lost.alias("lost")).where("lost is not null")
-    spans = materialise(gone.groupBy("rid").agg(F.flatten(F.collect_list("lost")).alias("spans")), "spans")
-    for old in (met, lowest, several, judged):
-        discard(old)
-    release(spark)
+    with scratch():
+        if size - GRAM + 1 >= RUN:
+            raise ValueError(f"windows of up to {RUN + GRAM - 2} words only")
+        spark = docs.sparkSession
+        own = index is None
+        index = index or FingerprintIndex(spark)
+        rows = with_row_key(docs)
+        dated = rows.where("doc_id is not null")
+        shares = [(2**i - 1) / (2**batches - 1) for i in range(1, batches)]  # each batch is twice the one before it
+        edges = sorted({int(x) for x in dated.stat.approxQuantile("doc_id", shares, 0.01)}) if shares else []
+        found = []
+        for low, high in zip([None, *edges], [*edges, None]):
+            part = dated if low is None else dated.where(F.col("doc_id") > low)
+            part = part if high is None else part.where(F.col("doc_id") <= high)
+            found.append(index.add(postings(part, size)))
+        keys = found[0]
+        for more in found[1:]:
+            keys = keys.union(more)
+        keys = materialise(keys.distinct(), "keys")
+        for old in found:
+            discard(old)
+        if own:
+            index.drop()
+        release(spark)
+        met = materialise(places(dated, size).join(keys, "key"), "places")
+        discard(keys)
+        release(spark)
+        lowest = materialise(lowest_places(met), "contexts")
+        # written, so that the join has no aggregate in its way and a fingerprint of very many contexts can be split
+        several = materialise(lowest.groupBy("key").agg((F.count("*") > crowd).alias("crowd"), F.count("*").alias("kinds")).where("kinds > 1"), "several")
+        release(spark)
+        bodies = map_rows(rows.select("rid", "doc_id", "text"), lambda c: {"rid": c[0], "doc_id": c[1], "body": squeezed(c[2])}, "rid long, doc_id long, body binary")
+        wanted = lowest.join(several.select("key", "crowd"), "key")
+        contexts = materialise(fetched(bodies.select("rid", "body"), wanted, size), "words")
+        release(spark)
+        hits = verified(contexts, size).groupBy("key", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
+        judged = materialise(lowest.select("key", "context", F.col("doc").alias("low")).join(hits, ["key", "context"], "left"), "judged")
+        discard(contexts)
+        release(spark)
+        # a place of a later document loses all its words, one of the lowest document those that were found in others
+        at = F.shiftright("at", RUN.bit_length() - 1)
+        whole = F.array(F.struct(at.alias("lo"), (at + F.col("at") % RUN + size - 1).alias("hi")))
+        lost = F.when(F.col("doc") > F.col("low"), whole).otherwise(F.transform("hits", lambda s: F.struct((at + s["lo"]).alias("lo"), (at + s["hi"]).alias("hi"))))
+        gone = met.join(judged, ["key", "context"]).select("rid", lost.alias("lost")).where("lost is not null")
+        spans = materialise(gone.groupBy("rid").agg(F.flatten(F.collect_list("lost")).alias("spans")), "spans", stays=True)
+        release(spark)
     return bodies.join(spans, "rid", "left").select("doc_id", "body", "spans")
 
 
