@@ -3,10 +3,11 @@
 Boundaries are found without a regular expression: every code point is mapped to a class by one table, every class is a
 transition function over a few states, and the functions are composed by an associative scan (blocks first, then the
 blocks' products, then each block from its true entry state). The slices between boundaries go through cached pair
-merging by rank; their byte offsets are kept, so decoding can be checked and undone slice by slice.
+merging by rank; the offsets of their ids are kept, and decoding goes slice by slice at these offsets.
 
 Nulls: a null text is empty; a null doc_id is carried along. Repeated rows are coded one by one, an empty table gives no
-rows, other columns are ignored.
+rows, other columns are ignored, whatever their names. Very long texts: boundaries take a few arrays of the text's length,
+slices of over 512 bytes are merged with a heap, those of over 200 characters are not kept in the cache.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ class PairMerger(dict):
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.limit = limit
+        self.limit, self.decoded = limit, {}
 
     def merge(self, raw: bytes) -> list[int]:
         ranks = self.ranks
@@ -182,51 +183,75 @@ class PairMerger(dict):
             self[piece] = found
         return found
 
-    def encode(self, text: str) -> tuple[bytes, np.ndarray]:
-        """The ids of a text and, per slice, the position of its first code point."""
+    def encode(self, text: str) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each slice of a text, and the position of its first code point."""
         starts = boundaries(np.frombuffer(text.encode("utf-32-le"), np.uint32))
         ends = starts.tolist()
-        pieces = [text[a:b] for a, b in zip(ends, ends[1:] + [len(text)])]
-        return b"".join(map(self.__getitem__, pieces)), starts
+        return list(map(self.__getitem__, [text[a:b] for a, b in zip(ends, ends[1:] + [len(text)])])), starts
+
+    def slice_bytes(self, ids: bytes) -> bytes:
+        """The bytes that the ids of one slice stand for; kept for slices met before, up to the cache's bound."""
+        found = self.decoded.get(ids)
+        if found is None:
+            found = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+            if len(self.decoded) < self.limit and len(ids) < 800:
+                self.decoded[ids] = found
+        return found
+
+    def decode(self, ids: bytes, offsets=(0,)) -> bytes:
+        """The bytes that ids stand for, slice by slice; offsets: where each slice's ids begin (all ids are one slice without)."""
+        at = [4 * i for i in offsets]
+        return b"".join(self.slice_bytes(ids[a:b]) for a, b in zip(at, at[1:] + [len(ids)]))
+
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that ids stand for."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def id_offsets(slices: list[bytes]) -> np.ndarray:
+    """Where each slice's ids begin, counted in ids."""
+    sizes = np.fromiter(map(len, slices), np.int64, len(slices)) // 4
+    return np.cumsum(sizes) - sizes
+
+
+def _coder(path: str, state: dict) -> PairMerger:
+    return state.get("coder") or state.setdefault("coder", PairMerger(path))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, text) -> doc_id, ids (little-endian unsigned 32-bit), offsets (code point each slice starts at)."""
+    """(doc_id, text) -> doc_id, ids (little-endian unsigned 32-bit), offsets (code point each slice starts at), id_offsets
+    (id each slice starts at)."""
     path, state = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), {}
 
     def work(columns):
-        coder = state.get("coder") or state.setdefault("coder", PairMerger(path))
-        both = [coder.encode(t or "") for t in columns[1]]
-        return {"doc_id": columns[0], "ids": [x for x, _ in both], "offsets": [o.tolist() for _, o in both]}
+        both = [_coder(path, state).encode(t or "") for t in columns[1]]
+        return {"doc_id": columns[0], "ids": [b"".join(x) for x, _ in both], "offsets": [o.tolist() for _, o in both], "id_offsets": [id_offsets(x).tolist() for x, _ in both]}
 
-    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, ids binary, offsets array<long>")
+    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, ids binary, offsets array<long>, id_offsets array<long>")
 
 
 def decode_documents(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, ids) -> doc_id, text_bytes."""
+    """(doc_id, ids, id_offsets) -> doc_id, text_bytes."""
     path, state = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), {}
 
     def work(columns):
-        coder = state.get("coder") or state.setdefault("coder", PairMerger(path))
-        return {"doc_id": columns[0], "text_bytes": [coder.decode(x or b"") for x in columns[1]]}
+        return {"doc_id": columns[0], "text_bytes": [_coder(path, state).decode(x or b"", o or [0]) for x, o in zip(*columns[1:])]}
 
-    return map_rows(coded.select("doc_id", "ids"), work, "doc_id long, text_bytes binary")
+    return map_rows(coded.select("doc_id", "ids", "id_offsets"), work, "doc_id long, text_bytes binary")
 
 
 def code_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """Encodes and decodes (doc_id, text) in one pass and returns digests of both."""
+    """Encodes (doc_id, text), decodes the ids slice by slice at the offsets that were kept, and returns digests of both."""
     path, state = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), {}
 
     def work(columns):
-        coder = state.get("coder") or state.setdefault("coder", PairMerger(path))
-        ids = [coder.encode(t or "")[0] for t in columns[1]]
-        return {"doc_id": columns[0], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(coder.decode(x)).hexdigest() for x in ids]}
-
-    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        out = {name: [] for name in ("n_tokens", "n_slices", "ids_sha256", "decoded_sha256")}
+        for text in columns[1]:
+            coder = _coder(path, state)
+            slices, starts = coder.encode(text or "")
+            ids = b"".join(slices)
+            row = len(ids) // 4, len(starts), hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids, id_offsets(slices).tolist())).hexdigest()
+            for name, x in zip(out, row):
+                out[name].append(x)
+        return {"doc_id": columns[0], **out}
+
+    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, n_tokens long, n_slices long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -52,13 +53,33 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost executors."""
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """What materialise() writes inside (but for what is to stay) is deleted at the end."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            discard(df)
+
+
+def materialise(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Inside scratch() the table is deleted at its end; one that stays belongs to the scratch() around that, if there is one.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    around = _OPEN[:-1] if stays else _OPEN
+    if around:
+        around[-1].append(out)
     return out
 
 

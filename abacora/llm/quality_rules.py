@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import unsqueezed
-from .common import fresh, materialise, table, words
+from .common import fresh, materialise, scratch, table, words
 from .quality_classifier import LANGUAGES, cogrouped, in_blocks, listed, model_of_counts
 from .quality_classifier import _score_block as block_scores
 
@@ -96,7 +96,8 @@ def with_verdict(scores: DataFrame, band: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame) -> DataFrame:
     """(doc_id, text, lang) -> the counts, base_failed, perplexity and kept of every document."""
-    scores = materialise(scored(docs), "scores")
+    with scratch():
+        scores = materialise(scored(docs), "scores", stays=True)
     return with_verdict(scores, materialise(bands(scores), "bands")).withColumn("perplexity", F.exp("log_ppl"))
 
 

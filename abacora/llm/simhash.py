@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, map_rows, materialise, table, words
+from .common import ascii_lower, map_rows, materialise, scratch, table, words
 from .components import components
 
 SEED = 42
@@ -198,11 +198,13 @@ def _linked(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
 
 def near_components(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(doc_id, fp) -> doc_id, fp, component_id: the smallest doc_id reachable over links, itself included."""
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(named.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    with scratch():
+        nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+        roots = components(links(nodes.select("fp"), radius))
+        named = materialise(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "named")
+        lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+        known = materialise(named.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "known", stays=True)
+    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, minimizers, release, row_key, squeezed, unsqueezed, with_row_key
-from .common import discard, fresh, map_rows, materialise, mix64, table
+from .common import discard, fresh, map_rows, materialise, mix64, scratch, table
 
 LENGTH = 400
 GRAM = 16
@@ -347,21 +347,20 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
 
 def cleaned(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text) -> rid, doc_id, body (compressed UTF-8 bytes of the whole text), spans (byte positions to remove)."""
-    g, spark = Geometry(length), docs.sparkSession
-    rows = with_row_key(docs)
-    met = repeated_places(rows, g)
-    bodies = map_rows(rows.select("rid", "doc_id", "text"), lambda c: {"rid": c[0], "doc_id": c[1], "body": squeezed(c[2])}, "rid long, doc_id long, body binary")
-    contexts = materialise(fetched(bodies.select("rid", "body"), wanted_contexts(met, crowd), g), "stretches")
-    release(spark)
-    hits = materialise(sorted_hits(contexts, g).groupBy("key", "context").agg(F.collect_list(F.struct("e1", "e2")).alias("hits")), "hits")
-    discard(contexts)
-    release(spark)
-    begin = F.floor(F.col("loc") / BITS).cast("long") - g.side
-    lost = F.transform("hits", lambda h: F.struct((begin - h["e2"]).alias("lo"), (begin + g.length - h["e1"]).alias("hi")))
-    spans = materialise(met.join(hits, ["key", "context"]).select("rid", lost.alias("lost")).groupBy("rid").agg(F.flatten(F.collect_list("lost")).alias("spans")), "spans")
-    discard(met)
-    discard(hits)
-    release(spark)
+    with scratch():
+        g, spark = Geometry(length), docs.sparkSession
+        rows = with_row_key(docs)
+        met = repeated_places(rows, g)
+        bodies = map_rows(rows.select("rid", "doc_id", "text"), lambda c: {"rid": c[0], "doc_id": c[1], "body": squeezed(c[2])}, "rid long, doc_id long, body binary")
+        contexts = materialise(fetched(bodies.select("rid", "body"), wanted_contexts(met, crowd), g), "stretches")
+        release(spark)
+        hits = materialise(sorted_hits(contexts, g).groupBy("key", "context").agg(F.collect_list(F.struct("e1", "e2")).alias("hits")), "hits")
+        discard(contexts)
+        release(spark)
+        begin = F.floor(F.col("loc") / BITS).cast("long") - g.side
+        lost = F.transform("hits", lambda h: F.struct((begin - h["e2"]).alias("lo"), (begin + g.length - h["e1"]).alias("hi")))
+        spans = materialise(met.join(hits, ["key", "context"]).select("rid", lost.alias("lost")).groupBy("rid").agg(F.flatten(F.collect_list("lost")).alias("spans")), "spans", stays=True)
+        release(spark)
     return bodies.join(spans, "rid", "left").select("rid", "doc_id", "body", "spans")
 
 

@@ -14,7 +14,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from abacora.llm import near_copies, packing, quality_classifier, quality_rules, registry, simhash, suffix_dedup, topk_search, url_filter, window_index  # noqa: E402
+from abacora.llm import byte_bpe, near_copies, packing, quality_classifier, quality_rules, registry, simhash, suffix_dedup, topk_search, url_filter, window_index  # noqa: E402
 
 
 def rows(frame, *columns):
@@ -499,3 +499,30 @@ def test_op8_op10(spark, folder, corpus):
         ids = coder.encode_ordinary(t or "")
         want.append((d, len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha((t or "").encode())))
     assert rows(registry.QUERIES["op10_byte_bpe"](spark, folder), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=str)
+
+
+def test_op10_round_trip_by_offsets(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    coded, coder = byte_bpe.encode_documents(docs).persist(), byte_bpe.PairMerger(P.path("byte_bpe_50k.tiktoken"))
+    for r, text in zip(coded.collect(), (x["text"] for x in docs.collect())):
+        text = text or ""
+        assert len(r["offsets"]) == len(r["id_offsets"]) and list(r["offsets"]) == sorted(set(r["offsets"]))
+        bounds = [*r["offsets"], len(text)]
+        ids = [*(4 * i for i in r["id_offsets"]), len(r["ids"])]
+        for a, b, i, j in list(zip(bounds, bounds[1:], ids, ids[1:]))[:200]:
+            assert coder.slice_bytes(bytes(r["ids"][i:j])) == text[a:b].encode()
+    got = sorted((str(r["doc_id"]), bytes(r["text_bytes"])) for r in byte_bpe.decode_documents(coded).collect())
+    assert got == sorted((str(r["doc_id"]), (r["text"] or "").encode()) for r in docs.collect())
+
+
+def test_op8_op10_every_class_of_code_points():
+    import base64
+
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library, own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.PairMerger(P.path("byte_bpe_50k.tiktoken"))
+    for low in range(0, 0x110000, 0x3000):
+        text = "".join(f" {chr(c)}a1{chr(c)}b'{chr(c)}\n" for c in range(low, min(low + 0x3000, 0x110000), 7) if not 0xD800 <= c < 0xE000)
+        assert np.frombuffer(b"".join(own.encode(text)[0]), "<u4").tolist() == library.encode_ordinary(text), hex(low)
