@@ -47,6 +47,8 @@ TOGETHER = 2 << 20
 LANES = 64
 #: A run of windows has fewer windows than this (they share a gram), so place and length go into one number.
 RUN = 64
+#: A removed span has fewer words than this.
+SPAN = 256
 
 
 def one_spaced(text: str) -> bytes:
@@ -146,8 +148,10 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _sorted(self, postings: DataFrame) -> DataFrame:
+        return self._write(postings.repartition(self.buckets, "key").groupBy("key").agg(F.min("lo").alias("lo"), (F.bool_or("shared") | (F.min("lo") < F.max("lo"))).alias("shared")))
+
+    def _write(self, summed: DataFrame) -> DataFrame:
         name = f"run_{uuid.uuid4().hex}"
-        summed = postings.repartition(self.buckets, "key").groupBy("key").agg(F.min("lo").alias("lo"), (F.bool_or("shared") | (F.min("lo") < F.max("lo"))).alias("shared"))
         summed.write.option("parquet.enable.dictionary", "false").bucketBy(self.buckets, "key").sortBy("key").format("parquet").saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
@@ -172,10 +176,12 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merges all runs into one, whose tables replace theirs."""
-        merged, before = self.runs[0], list(self.tables)
-        for run in self.runs[1:]:
-            merged = merged.union(run)
-        self.runs = [self._sorted(merged)]
+        before, merged = list(self.tables), self.runs[0]
+        for run in self.runs[1:]:  # merged as they lie: buckets and order are the same, so nothing is shuffled
+            one, other = merged.select("key", "lo", "shared"), run.select("key", F.col("lo").alias("lo2"), F.col("shared").alias("shared2"))
+            both = F.col("lo").isNotNull() & F.col("lo2").isNotNull()
+            merged = one.join(other, "key", "full").select("key", F.least("lo", "lo2").alias("lo"), (both | F.coalesce("shared", "shared2")).alias("shared"))
+        self.runs = [self._write(merged)]
         self.tables = self.tables[len(before) :]
         for name in before:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -301,7 +307,7 @@ def verified(contexts: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, index: FingerprintIndex | None = None, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, text) -> doc_id, body (compressed text), spans: word positions covered by earlier documents' windows."""
+    """(doc_id, text) -> doc_id, body (compressed text), spans: words covered by earlier documents' windows (first * SPAN + words)."""
     with scratch():
         if size - GRAM + 1 >= RUN:
             raise ValueError(f"windows of up to {RUN + GRAM - 2} words only")
@@ -320,14 +326,12 @@ def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, in
         keys = found[0]
         for more in found[1:]:
             keys = keys.union(more)
-        keys = materialise(keys.distinct(), "keys")
-        for old in found:
-            discard(old)
         if own:
             index.drop()
         release(spark)
-        met = materialise(places(dated, size).join(keys, "key"), "places")
-        discard(keys)
+        met = materialise(places(dated, size).join(keys, "key", "left_semi"), "places")
+        for old in found:
+            discard(old)
         release(spark)
         lowest = materialise(lowest_places(met), "contexts")
         # written, so that the join has no aggregate in its way and a fingerprint of very many contexts can be split
@@ -343,8 +347,8 @@ def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, in
         release(spark)
         # a place of a later document loses all its words, one of the lowest document those that were found in others
         at = F.shiftright("at", RUN.bit_length() - 1)
-        whole = F.array(F.struct(at.alias("lo"), (at + F.col("at") % RUN + size - 1).alias("hi")))
-        lost = F.when(F.col("doc") > F.col("low"), whole).otherwise(F.transform("hits", lambda s: F.struct((at + s["lo"]).alias("lo"), (at + s["hi"]).alias("hi"))))
+        whole = F.array(at * SPAN + F.col("at") % RUN + size - 1)
+        lost = F.when(F.col("doc") > F.col("low"), whole).otherwise(F.transform("hits", lambda s: (at + s["lo"]) * SPAN + s["hi"] - s["lo"]))
         gone = met.join(judged, ["key", "context"]).select("rid", lost.alias("lost")).where("lost is not null")
         spans = materialise(gone.groupBy("rid").agg(F.flatten(F.collect_list("lost")).alias("spans")), "spans", stays=True)
         release(spark)
@@ -356,7 +360,8 @@ def kept_words(data: bytes, spans) -> tuple[int, list[bytes]]:
     words = data.split()  # bytes split at exactly the separators of words
     if not spans:
         return len(words), words
-    merged = merged_spans(np.array([(s["lo"], s["hi"]) for s in spans], np.int64))
+    first, n = np.divmod(np.array(spans, np.int64), SPAN)
+    merged = merged_spans(np.stack([first, first + n], 1))
     at = [0, *merged.reshape(-1).tolist(), len(words)]
     return len(words), [w for a, b in zip(at[::2], at[1::2]) for w in words[a:b]]
 
