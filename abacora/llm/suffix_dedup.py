@@ -143,6 +143,7 @@ class Geometry:
 
 
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+SPAN = 1 << 16  # a removed span has fewer bytes than this
 BITS = 1 << 10  # loc = anchor * BITS + most
 
 
@@ -346,7 +347,7 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, text) -> rid, doc_id, body (compressed UTF-8 bytes of the whole text), spans (byte positions to remove)."""
+    """(doc_id, text) -> rid, doc_id, body (compressed UTF-8 bytes of the whole text), spans (bytes to remove: first * SPAN + bytes)."""
     with scratch():
         g, spark = Geometry(length), docs.sparkSession
         rows = with_row_key(docs)
@@ -358,14 +359,15 @@ def cleaned(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFr
         discard(contexts)
         release(spark)
         begin = F.floor(F.col("loc") / BITS).cast("long") - g.side
-        lost = F.transform("hits", lambda h: F.struct((begin - h["e2"]).alias("lo"), (begin + g.length - h["e1"]).alias("hi")))
+        lost = F.transform("hits", lambda h: (begin - h["e2"]) * SPAN + g.length + h["e2"] - h["e1"])
         spans = materialise(met.join(hits, ["key", "context"]).select("rid", lost.alias("lost")).groupBy("rid").agg(F.flatten(F.collect_list("lost")).alias("spans")), "spans", stays=True)
         release(spark)
     return bodies.join(spans, "rid", "left").select("rid", "doc_id", "body", "spans")
 
 
 def _spans(found) -> np.ndarray:
-    return merged_spans(np.array([(s["lo"], s["hi"]) for s in found or ()], np.int64))
+    first, n = np.divmod(np.array(found or [], np.int64), SPAN)
+    return merged_spans(np.stack([first, first + n], 1))
 
 
 def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
