@@ -32,29 +32,42 @@ def structure_units(lines: DataFrame) -> DataFrame:
     )
 
 
-def pack_tokens(units: list[list[str]], low: int = 300, target: int = 360, high: int = 450, overlap: int = 60) -> list[list[str]]:
-    """Units of tokens, in order, packed into chunks of at most `high` tokens that repeat the last `overlap` ones.
+def _pieces(unit: list[str], target: int, high: int, overlap: int, whole: bool) -> list[list[str]]:
+    """A unit that is too large, in windows: of `target` tokens that overlap, or (whole) of what fits behind an overlap."""
+    if len(unit) <= (high - overlap if whole else high):
+        return [unit] if unit else []
+    size, step = (high - overlap, high - overlap) if whole else (target, target - overlap)
+    last = max(0, -(-(len(unit) - size) // step))
+    return [unit[i * step : i * step + size] for i in range(last + 1)]
 
-    Units are first cut to at most high - overlap tokens, so that no token is lost when a carried overlap meets a large
-    unit. A last chunk below `low` is filled up from the chunk before it; a source with fewer tokens is one short chunk.
+
+def pack_tokens(units: list[list[str]], low: int = 300, target: int = 360, high: int = 450, overlap: int = 60, whole: bool = False) -> list[list[str]]:
+    """Units of tokens of one source, in order, packed into chunks of at most `high` tokens.
+
+    A chunk ends when the next piece would make it too long or when it has `target` tokens; the next one begins with its last
+    `overlap` tokens. What reaches beyond `high` is cut off, unless whole, where units are cut small enough for nothing to.
+    A chunk below `low` becomes the last low + 16 tokens of its predecessor and itself, without one the first of itself and
+    its successor (whole: only the last chunk is filled up); a source of fewer tokens stays one short chunk.
     """
-    room = high - overlap
-    parts = [u[i : i + room] for u in units for i in range(0, len(u), room)]
     chunks: list[list[str]] = []
     current: list[str] = []
-    fresh = 0
-    for part in parts:
-        if current and fresh and (len(current) + len(part) > high or len(current) >= target):
-            chunks.append(current)
-            current, fresh = current[-overlap:], 0
-        current = current + part
-        fresh += len(part)
-    if fresh:
-        chunks.append(current)
-    if len(chunks) > 1 and len(chunks[-1]) < low:
-        before, last = chunks[-2], chunks[-1]
-        own = last[overlap:] if last[:overlap] == before[-overlap:] else last
-        chunks[-1] = (before + own)[-max(low + 16, len(last)) :]
+    for piece in (p for u in units for p in _pieces(u, target, high, overlap, whole)):
+        if current and (len(current) + len(piece) > high or len(current) >= target):
+            chunks.append(current[:high])
+            current = chunks[-1][-overlap:]
+        current = current + piece
+    if current:
+        chunks.append(current[:high])
+    size = min(low + 16, high)
+    for i, chunk in enumerate(chunks):
+        if len(chunk) >= low or len(chunks) == 1 or (whole and i + 1 < len(chunks)):
+            continue
+        if i:
+            before = chunks[i - 1]
+            own = chunk[overlap:] if whole and chunk[:overlap] == before[-overlap:] else chunk
+            chunks[i] = (before + own)[-max(size, len(chunk)) if whole else -size :]
+        else:
+            chunks[i] = (chunk + chunks[1])[:size]
     return chunks
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from ..functions import similarity as M
 from ..functions import solvers as V
 from ..operators import adaptive as D
+from ..operators import pairs as P
 from ..operators.chunking import chunk_pack as pack
 from ..operators.chunking import structure_units
 from ..views import SEED, Views
@@ -77,38 +77,68 @@ def json_salvage(v: Views):
 
 @query()
 def near_dup_stems(v: Views):
-    """J18 exact: similarity and data rule for pairs in one concept that a length or word-pair bound does not exclude."""
-    b = v.table("benchmark").select("item_id", (F.col("item_id") % 4).alias("concept"), "text")
-    x, y = (b.select("concept", F.col("item_id").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
-    return x.join(y, "concept").where("a < b").select("a", "b", M.stem_similarity("ta", "tb").alias("similarity"), M.is_too_similar("ta", "tb").alias("too_similar"))
+    """J18 exact: similarity and data rule for pairs of one concept that reach the threshold, by a prefix filter."""
+    stems = v.question.select(F.col("topic_id").alias("concept"), F.col("question_id").alias("id"), F.col("question").alias("text"))
+    return P.similar_pairs(stems)
 
 
 @query()
 def dedup_questions(v: Views):
-    """D1 in full: the ordered fold over the questions of each grade."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id")
-        return pdf.iloc[M.keep_first(list(zip(pdf["topic_id"], pdf["topic_name"])))][["grade", "item_id"]]
-
+    """D1 in full: the ordered pass over the questions of each grade."""
     first = v.item.withColumn("n", F.row_number().over(Window.partitionBy("grade", "topic_name").orderBy("item_id"))).where("n = 1")
-    return first.select("grade", "item_id", "topic_id", "topic_name").groupBy("grade").applyInPandas(fold, "grade int, item_id long")
+    return P.keep_first_stems(first.select(F.concat_ws("|", "grade", "topic_id").alias("concept"), F.col("item_id").alias("id"), F.col("topic_name").alias("text")))
+
+
+#: Stems for each closed-form solver, with s for a part's size; options are s + 12, s / 10, 2, (x + s)^3 and the like.
+_STEMS = (
+    "In an arithmetic progression the first term is {s} and the second term is {t}. What is the fifth term?",
+    "What is {s} when rounded to the nearest multiple of 10?",
+    "Find the turning point of y = 2x² + {s}",
+    "Write (x + {s})(x + {s})(x + {s}) as the cube of a binomial",
+    "What is log({s}00/{s})?",
+    "In a class of 100 students, {s} play cricket, 30 play chess and {s} students play both. How many play neither?",
+    "There are {s} girls, 20 boys in biological stream and 30 girls, 40 boys in mathematics stream. One is selected at random. Find the probability that the student is a girl following the mathematics stream.",
+    "Which condition ensures that quadrilateral ABCD is a parallelogram?",
+    "Calculate ({s} + 1)^2 / 4?",
+    "A = {{1, 2, {t}}}, B = {{2, {t}, 99}}. Find A ∩ B?",
+)
+
+
+def _solvable(v: Views):
+    """Questions for all solvers over all parts."""
+    size, text = F.col("p_size"), lambda c: c.cast("string")
+    filled = [F.format_string(stem.replace("{s}", "%1$s").replace("{t}", "%2$s").replace("{{", "{").replace("}}", "}"), text(size), text(size + 3)) for stem in _STEMS]
+    tens = text((F.floor((size + 5) / 10) * 10).cast("long"))
+    by_kind = [
+        F.array(text(size + 12), text(size + 15), text(size + 9), text(size)), F.array(tens, text(size), F.lit("7"), F.lit("1000")), F.array(F.concat(F.lit("(0, "), text(size), F.lit(")")), F.lit("(1, 1)"), F.lit("(0, 0)"), F.lit("(2, 0)")),
+        F.array(F.concat(F.lit("(x+"), text(size), F.lit(")^2")), F.concat(F.lit("(x + "), text(size), F.lit(")³")), F.lit("x^3"), F.lit("3x")), F.array(F.lit("2"), F.lit("10"), F.lit("1"), F.lit("3")), F.array(F.lit("70"), F.lit("100"), F.lit("0"), F.lit("30")),
+        F.array(F.concat(F.lit("30/"), text(size + 90)), F.lit("1/2"), F.lit("1/3"), F.lit("9")), F.array(F.lit("AB = CD"), F.lit("AB = CD and BC = DA"), F.lit("AC = BD"), F.lit("AB = BC")),
+        F.array(text(size), F.concat(text((size + 1) * (size + 1)), F.lit("/4")), F.lit("1"), F.lit("0.5")), F.array(F.concat(F.lit("{2,"), text(size + 3), F.lit("}")), F.lit("{1}"), F.lit("{}"), F.lit("{99}")),
+    ]
+    kind = (1 + F.col("p_partkey") % len(_STEMS)).cast("int")
+    return v.table("part").select("p_partkey", F.element_at(F.array(*filled), kind).alias("stem"), F.element_at(F.array(*by_kind), kind).alias("options"))
 
 
 @query()
 def closed_form_solvers(v: Views):
-    size = F.col("p_size")
-    text = lambda c: c.cast("string")
-    stem = F.concat(F.lit("In an arithmetic progression the first term is "), text(size), F.lit(" and the second term is "), text(size + 3), F.lit(". What is the fifth term?"))
-    options = F.array(text(size + 12), text(size + 15), text(size + 9), text(size))
-    return v.table("part").select("p_partkey", V.solved_letters(stem, options).alias("solved"))
+    """F16: all ten kinds of stems."""
+    return _solvable(v).select("p_partkey", V.solved_letters("stem", "options").alias("solved"))
 
 
 @query()
 def explanation_errors(v: Views):
-    size = F.col("p_size")
-    options = F.array(*((size + i).cast("string") for i in range(4)))
-    stem = F.concat(F.lit("Calculate "), size.cast("string"), F.lit(" + 1?"))
-    answer = F.element_at(F.array(*map(F.lit, "ABCD")), (1 + F.col("p_partkey") % 4).cast("int"))
-    return v.table("part").select("p_partkey", F.array_join(V.explanation_errors(stem, options, answer, F.lit(None).cast("string"), F.lit("The correct answer is B.")), "; ").alias("errors"))
+    """explanations of several forms, against keys that are right or wrong."""
+    n = F.col("p_partkey")
+    letter = F.element_at(F.array(*map(F.lit, "ABCD")), (1 + n % 4).cast("int"))
+    said = F.array(F.lit("The correct answer is B."), F.concat(F.lit("So option "), letter, F.lit(" correctly follows.")), F.lit("Wait, the first option is correct."), F.concat(F.lit("The result is "), F.element_at("options", 1)), F.concat(F.lit("It gives "), F.element_at("options", 2), F.lit(".")))
+    rows = _solvable(v).withColumn("said", F.element_at(said, (1 + n % 5).cast("int")))
+    return rows.select("p_partkey", F.array_join(V.explanation_errors("stem", "options", letter, F.element_at("options", (1 + n % 3).cast("int")), "said"), "; ").alias("errors"))
+
+
+@query()
+def explanation_remap(v: Views):
+    """mentions of options under another order of letters."""
+    n = F.col("p_partkey")
+    order = F.element_at(F.array(F.lit("DCBA"), F.lit("BCDA"), F.lit("ABCD")), (1 + n % 3).cast("int"))
+    text = F.concat(F.lit("Options A/"), F.element_at(F.array(*map(F.lit, "BCD")), (1 + n % 3).cast("int")), F.lit(" fail; the second option is correct, so the correct answer is B."))
+    return v.table("part").select(n, A.remapped(text, order).alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import selection as S
-from ..sources.files import multiset_digest
+from ..sources.files import catalogue_verdicts, multiset_digest
 from ..views import SEED, Views
 from .registry import query
 
@@ -174,12 +174,25 @@ def import_audit_counts(v: Views):
     return v.table("part").join(known, "p_partkey", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT i.item_id, CASE WHEN n.n_nationkey IS NULL THEN 'unknown concept' WHEN i.grade <> 6 + n.n_regionkey THEN 'grade mismatch' WHEN i.level < 3 THEN 'level too low' ELSE 'ok' END AS verdict
-FROM v_item i LEFT JOIN nation n ON n.n_nationkey = i.item_id % 30""")
+_BANK = """WITH b AS (SELECT p_partkey AS ord, 'q' || CAST(p_partkey % 1900 AS VARCHAR) AS question_id, p_name || '  ' || CAST(p_partkey % 700 AS VARCHAR) AS question, 'c' || CAST(p_partkey % 28 AS VARCHAR) AS concept_id,
+CASE WHEN p_partkey % 9 = 0 THEN 'other' ELSE ' nation_' || CAST(p_partkey % 28 AS VARCHAR) END AS concept_name, CAST(6 + p_partkey % 28 % 6 + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS INTEGER) AS grade, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE CAST(p_partkey % 4 AS VARCHAR) END AS level FROM part),
+c AS (SELECT 'c' || CAST(n_nationkey AS VARCHAR) AS concept_id, lower(n_name) AS name, CAST(6 + n_nationkey % 6 AS INTEGER) AS g, CASE WHEN n_nationkey % 3 = 0 THEN [] ELSE ['1', '2'] END AS levels FROM nation),
+i AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ord) AS nid, regexp_replace(lower(question), '\\s+', ' ', 'g') AS t FROM b), x AS (SELECT *, CASE WHEN nid = 1 THEN row_number() OVER (PARTITION BY t, nid = 1 ORDER BY ord) END AS nt FROM i)"""
+
+
+@query(f"""{_BANK} SELECT ord, question_id, CASE WHEN nid > 1 THEN 'duplicate question_id' WHEN nt > 1 THEN 'duplicate text' WHEN name IS NULL THEN 'unknown concept_id' WHEN grade <> g THEN 'another grade than the concept''s'
+WHEN trim(concept_name) <> name THEN 'another name than the concept''s' WHEN level <> '' AND len(levels) > 0 AND NOT list_contains(levels, level) THEN 'a level that the concept does not have' ELSE 'valid' END AS verdict FROM x LEFT JOIN c USING (concept_id)""")
 def bank_referential_errors(v: Views):
-    concepts = v.table("nation").select(F.col("n_nationkey").cast("long").alias("concept"), "n_regionkey")
-    verdict = F.when(F.col("n_regionkey").isNull(), "unknown concept").when(F.col("grade") != 6 + F.col("n_regionkey"), "grade mismatch").when(F.col("level") < 3, "level too low").otherwise("ok")
-    return v.item.withColumn("concept", F.col("item_id") % 30).join(concepts, "concept", "left").select("item_id", verdict.alias("verdict"))
+    """A bank against its catalogue, the first failing rule of each record."""
+    n, text = F.col("p_partkey"), lambda c: c.cast("string")
+    bank = v.table("part").select(
+        n.alias("ord"), F.concat(F.lit("q"), text(n % 1900)).alias("question_id"), F.concat("p_name", F.lit("  "), text(n % 700)).alias("question"), F.concat(F.lit("c"), text(n % 28)).alias("concept_id"),
+        F.when(n % 9 == 0, "other").otherwise(F.concat(F.lit(" nation_"), text(n % 28))).alias("concept_name"), (6 + n % 28 % 6 + F.when(n % 11 == 0, 1).otherwise(0)).cast("int").alias("grade"), F.when(n % 5 == 0, "").otherwise(text(n % 4)).alias("competency_level"),
+    )
+    key = F.col("n_nationkey")
+    levels = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("1"), F.lit("2")))
+    catalogue = v.table("nation").select(F.concat(F.lit("c"), text(key)).alias("concept_id"), F.col("n_name").alias("name"), (6 + key % 6).cast("int").alias("grade"), levels.alias("competency_levels"))
+    return catalogue_verdicts(bank, catalogue)
 
 
 @query("""WITH b AS (SELECT item_id, item_id % 1500 AS rec, topic_name, grade FROM v_item), d AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY item_id) AS nid FROM b),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mcq as Q
 from ..functions import text as T
+from ..operators import pairs as P
 from ..sources.files import bank_errors
 from ..views import Views
 from .registry import query
@@ -55,15 +56,19 @@ def bigrams(v: Views):
     return v.table("benchmark").select("item_id", F.size(g).cast("long").alias("n_bigrams"), F.sha2(F.array_join(F.array_sort(g), "|"), 256).alias("bigrams"))
 
 
-_PAIR_SQL = f"""WITH n AS (SELECT item_id, item_id % 4 AS concept, {norm_sql('text')} AS t FROM benchmark), g AS (SELECT item_id, concept, {_GRAMS.format('t')} AS g FROM n)
-SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE), 6) AS jaccard FROM g a JOIN g b ON a.concept = b.concept AND a.item_id < b.item_id"""
+_PAIR_SQL = f"""WITH n AS (SELECT topic_id AS concept, question_id, {norm_sql('question')} AS t FROM v_question), g AS (SELECT concept, question_id, {_GRAMS.format('t')} AS g FROM n),
+p AS (SELECT a.question_id AS a, b.question_id AS b, len(list_intersect(a.g, b.g)) AS s, len(a.g) + len(b.g) AS n FROM g a JOIN g b ON a.concept = b.concept AND a.question_id < b.question_id)
+SELECT a, b, round(s / CAST(n - s AS DOUBLE), 6) AS jaccard FROM p WHERE n > s AND s / CAST(n - s AS DOUBLE) >= 0.6"""
 
 
 @query(_PAIR_SQL)
 def near_dup_pairs_jaccard(v: Views):
-    g = v.table("benchmark").select("item_id", (F.col("item_id") % 4).alias("concept"), T.bigrams(F.col("text")).alias("g"))
-    a, b = (g.select("concept", F.col("item_id").alias(n), F.col("g").alias(f"g{n}")) for n in "ab")
-    return a.join(b, "concept").where("a < b").select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard"))
+    """J18's word-pair part: pairs of one concept that share 0.6 of their bigrams; only rare bigrams make pairs meet."""
+    g = v.question.select(F.col("topic_id").alias("concept"), F.col("question_id").alias("id"), T.bigrams(F.col("question")).alias("tokens"))
+    met = P._prefix_pairs(g, 0.6).select("a", "b")
+    a, b = (g.select(F.col("id").alias(n), F.col("tokens").alias(f"g{n}")) for n in "ab")
+    scored = met.join(a, "a").join(b, "b").select("a", "b", T.jaccard(F.col("ga"), F.col("gb")).alias("j"))
+    return scored.where("j >= 0.6").select("a", "b", F.round("j", 6).alias("jaccard"))
 
 
 @query(f"""WITH n AS (SELECT conv_id, turn, {norm_sql('text')} AS t FROM conversations), g AS (SELECT conv_id, turn, {_GRAMS.format('t')} AS g FROM n),

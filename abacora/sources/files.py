@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +42,31 @@ def read_pages(spark: SparkSession, folder: str, least: int = 120) -> DataFrame:
     return pages.select("source", "page", file_grade(F.col("source")).alias("grade"), clean_lines(F.col("text")).alias("text")).where(F.length("text") >= least)
 
 
+def _pdf_texts(data: bytes) -> list[str]:
+    """The text of each page of a PDF, by the optional package pypdf."""
+    try:
+        from pypdf import PdfReader
+    except ImportError as missing:
+        raise ImportError("reading PDF files needs the package pypdf, or a reader of your own") from missing
+    import io
+
+    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages]
+
+
+def read_pdf_pages(spark: SparkSession, folder: str, reader: Callable[[bytes], list[str]] = _pdf_texts, least: int = 120) -> DataFrame:
+    """S1 for PDF files: as read_pages(); reader turns a file's bytes into the texts of its pages, one file at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"]):
+                texts = reader(bytes(content))
+                yield pd.DataFrame({"source": path.rsplit("/", 1)[-1], "page": range(len(texts)), "text": texts}).astype({"page": "int32"})
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(folder).select("path", "content")
+    pages = raw.mapInPandas(run, "source string, page int, text string")
+    return pages.select("source", "page", file_grade(F.col("source")).alias("grade"), clean_lines(F.col("text")).alias("text")).where(F.length("text") >= least)
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """S3: path, name (the path below the folder), size and sha256 of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -121,6 +149,26 @@ def bank_errors() -> Column:
     return F.array_compact(F.array(*(F.when(bad, F.lit(text)) for bad, text in rules)))
 
 
+def catalogue_verdicts(bank: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Records (ord, question_id, question, concept_id, concept_name, grade, competency_level) against a catalogue
+    (concept_id, name, grade, competency_levels) -> question_id, ord, verdict: the first thing that is wrong, else "valid".
+
+    Of an id that repeats the first record counts, and of a text that repeats among those.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))
+    numbered = bank.withColumn("_id", first("question_id")).withColumn("_text", norm(F.col("question")))
+    texts = numbered.withColumn("_nth", F.when(F.col("_id") == 1, first("_text", F.col("_id") == 1)))
+    known = catalogue.select("concept_id", norm(F.col("name")).alias("_name"), F.col("grade").alias("_grade"), "competency_levels", F.lit(True).alias("_known"))
+    level = F.coalesce("competency_level", F.lit(""))
+    verdict = (
+        F.when(F.col("_id") > 1, "duplicate question_id").when(F.col("_nth") > 1, "duplicate text").when(F.col("_known").isNull(), "unknown concept_id")
+        .when(~F.coalesce(F.col("grade").cast("int") == F.col("_grade"), F.lit(False)), "another grade than the concept's").when(norm(F.col("concept_name")) != F.col("_name"), "another name than the concept's")
+        .when((level != "") & (F.size("competency_levels") > 0) & ~F.array_contains("competency_levels", level), "a level that the concept does not have").otherwise("valid")
+    )
+    return texts.join(known, "concept_id", "left").select("question_id", "ord", verdict.alias("verdict"))
+
+
 def read_nested_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a nested dataset, at the top or in its parts; ids must be unique."""
     item = "struct<question_id: string, question_number: string, question_text: string, answers: array<string>>"

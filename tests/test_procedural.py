@@ -12,7 +12,7 @@ def test_chunks_lose_no_token_and_keep_limits():
             size = rng.randint(1, 900)
             units.append([f"t{n + i}" for i in range(size)])
             n += size
-        chunks = pack_tokens(units)
+        chunks = pack_tokens(units, whole=True)
         assert {t for c in chunks for t in c} == {t for u in units for t in u}
         assert all(len(c) <= 450 for c in chunks)
         if n >= 360:
@@ -21,6 +21,24 @@ def test_chunks_lose_no_token_and_keep_limits():
             assert [int(t[1:]) for t in c] == sorted(int(t[1:]) for t in c)
 
 
+def test_chunks_by_the_rules():
+    unit = lambda a, n: [f"{a}{i}" for i in range(n)]
+    # two pages of 410 tokens: the second begins with the first one's last 60 and is cut off at 450
+    a, b = unit("a", 410), unit("b", 410)
+    assert pack_tokens([a, b]) == [a, (a[-60:] + b)[:450]]
+    # a chunk ends at its target; a short last chunk is filled up from the one before it
+    x = [unit("x", 200), unit("y", 170), unit("z", 50)]
+    first = x[0] + x[1]
+    assert pack_tokens(x) == [first, (first + first[-60:] + x[2])[-316:]]
+    # a unit beyond the limit is cut into windows of the target that overlap
+    long = unit("l", 900)
+    assert [c[0] for c in pack_tokens([long])][0] == "l0" and all(300 <= len(c) <= 450 for c in pack_tokens([long]))
+    # a short first chunk is filled up from the one behind it; a short source stays as it is
+    s, t = unit("s", 100), unit("t", 400)
+    assert pack_tokens([s, t]) == [(s + s[-60:] + t)[:316], (s[-60:] + t)[:450]]
+    assert pack_tokens([s]) == [s] and pack_tokens([]) == []
+
+
 def _catalogue(seen, accuracy):
     return [{"topic_id": f"g{g}_{i:02d}", "grade": g, "families": [str(i % 5)], "periods": 1 + i % 9, "seen": seen(g, i), "accuracy": accuracy, "last_attempt": 0} for g, n in ((10, 31), (11, 25)) for i in range(n)]
 
@@ -54,3 +72,42 @@ def test_salvage():
     assert D.salvage('```json\n[{"a": 1,},]\n```') == [{"a": 1}]
     assert D.salvage('Sure! {"x": "\\frac{1}{2}"} done') is not None
     assert D.salvage("nothing") is None
+
+
+def test_first_of_similar_stems(spark):
+    from abacora.functions import similarity as M
+    from abacora.operators import pairs
+
+    rng = random.Random(3)
+    words = ["sum", "angle", "area", "of", "the", "a", "triangle", "square", "find", "with", "sides", "5 cm", "6 cm", "x"]
+    stems = [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 9))) for _ in range(60)] + ["", "Find the area.", "find the AREA.", "Find the areas."] * 2
+    rows = [(rng.choice("ab"), i, s) for i, s in enumerate(stems)]
+    frame = spark.createDataFrame(rows, "concept string, id long, text string")
+    got = sorted(r["id"] for r in pairs.keep_first_stems(frame).collect())
+    assert got == M.keep_first([(c, s) for c, _, s in rows])
+    close = {(r["a"], r["b"]) for r in pairs.similar_pairs(frame).collect()}
+    want = {(i, j) for c, i, s in rows for d, j, t in rows if c == d and i < j and round(M.similarity(s, t), 6) >= 0.84}
+    assert close == want and want
+
+
+def test_solvers_settle_every_kind(spark, sf_dir):
+    from abacora.functions.solvers import SOLVERS
+    from abacora.plans.catalog import QUERIES
+
+    solved = [r["solved"] for r in QUERIES["closed_form_solvers"](spark, sf_dir).collect()]
+    assert {s.split(":")[0] for s in solved if s} == {name for name, _ in SOLVERS}
+    assert sum(s is not None and len(s.split(":")[1]) == 1 for s in solved) >= 0.9 * len(solved)
+    errors = [r["errors"] for r in QUERIES["explanation_errors"](spark, sf_dir).collect()]
+    assert any(e == "" for e in errors) and len(set(errors)) > 5
+    texts = {r["text"] for r in QUERIES["explanation_remap"](spark, sf_dir).collect()}
+    assert "Options D/C fail; the option C is correct, so the correct answer is C." in texts
+
+
+def test_functions_in_sql(spark):
+    from abacora.functions import surface
+
+    names = surface.register(spark)
+    assert len(names) == len(set(names)) > 20
+    row = spark.sql("SELECT normal_text('A  b!'), topic_slug('  Sets & logic '), safe_image_url('/static/quiz_images/' || md5('x') || '.png'), answer_match('1/2', array('0.5', '2')), option_text('(b) 5'), stable_seed('x') >= 0, first_code('a 1.2 b')").first()
+    assert tuple(row) == ("a b", "sets_logic", True, 1, "5", True, "1.2")
+    assert spark.sql("SELECT is_too_similar('Define a set.', 'define a SET.')").first()[0]

@@ -168,3 +168,30 @@ def test_provider_contract():
             providers.checked([bad], 1, 3)
     with pytest.raises(ValueError):
         providers.checked([], 1, 3)
+
+
+def test_pdf_pages_by_a_reader(spark, tmp_path):
+    (tmp_path / "book gr9.pdf").write_bytes(b"one|" + b"x" * 200)
+    rows = files.read_pdf_pages(spark, str(tmp_path), lambda data: data.decode().split("|")).collect()
+    assert [(r["source"], r["page"], r["grade"], len(r["text"])) for r in rows] == [("book gr9.pdf", 1, 9, 200)]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from abacora import cli
+
+    bank = tmp_path / "bank.jsonl"
+    rows = [{**GOOD, "options": ["1", "2", "3", "4"]}, {**GOOD, "question_id": "q2", "options": ["1", "2", "3", "4"]}]
+    bank.write_text("\n".join(map(json.dumps, rows)))
+    target = f"file://{tmp_path}/bank"
+    assert cli.main(["import-question-bank", str(bank), target]) == 0 and spark.read.parquet(target).count() == 2
+    assert cli.main(["build-question-pool", target, f"file://{tmp_path}/pool"]) == 0 and spark.read.parquet(f"file://{tmp_path}/pool").count() == 1
+    bank.write_text(json.dumps({**rows[0], "grade": "3"}))
+    assert cli.main(["validate-question-bank", str(bank)]) == 1 and cli.main(["import-question-bank", str(bank), target]) == 1
+    assert spark.read.parquet(target).count() == 2
+    (tmp_path / "said.txt").write_text(json.dumps([{"question": "How many legs has an ant?", "options": ["6", "8", "4", "2"], "correct_answer": "6", "explanation": "Insects."}]))
+    assert cli.main(["generate", str(tmp_path / "said.txt"), f"file://{tmp_path}/made"]) == 0 and spark.read.json(f"file://{tmp_path}/made").count() == 1
+    (tmp_path / "done.jsonl").write_text('{"item_id": 3, "is_correct": true}')
+    assert cli.main(["record", "7", str(tmp_path / "done.jsonl"), f"file://{tmp_path}/attempts"]) == 0
+    assert [tuple(r)[:2] for r in spark.read.parquet(f"file://{tmp_path}/attempts").select("user_id", "item_id").collect()] == [(7, 3)]
+    assert cli.main(["check-embeddings"]) == 0 and cli.main(["generate-template"]) == 0
+    assert "schema_version" in capsys.readouterr().out
