@@ -3,7 +3,7 @@
 Boundaries are found without a regular expression: every code point is mapped to a class by one table, every class is a
 transition function over a few states, and the functions are composed by an associative scan (blocks first, then the
 blocks' products, then each block from its true entry state). The slices between boundaries go through cached pair
-merging by rank; the offsets of their ids are kept, and decoding goes slice by slice at these offsets.
+merging by rank; the offsets of their ids are kept, and decoding says where each slice begins in the bytes.
 
 Nulls: a null text is empty; a null doc_id is carried along. Repeated rows are coded one by one, an empty table gives no
 rows, other columns are ignored, whatever their names. Very long texts: boundaries take a few arrays of the text's length,
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -24,6 +25,8 @@ from .common import map_rows, table
 
 CACHE = 400_000
 BLOCK = 64
+#: Characters of texts that are cut by one scan, about.
+TOGETHER = 1 << 18
 #: Code points that count as white space in the patterns of the rank files (Unicode's White_Space). Fixed values.
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Classes of code points.
@@ -89,8 +92,8 @@ def _through(products: np.ndarray, start: int) -> np.ndarray:
 _STATE: dict = {}
 
 
-def boundaries(points: np.ndarray) -> np.ndarray:
-    """Where tokens of the pattern begin, as positions in the code points (0 first; none for an empty text)."""
+def boundaries(points: np.ndarray, edges=()) -> np.ndarray:
+    """Where tokens of the pattern begin, as positions in the code points (0 first; none for an empty text), and at edges."""
     if not len(points):
         return np.empty(0, np.int64)
     if "table" not in _STATE:
@@ -119,6 +122,7 @@ def boundaries(points: np.ndarray) -> np.ndarray:
                 cut[hit + k] = False
             end = hit + size
             cut[end[end < len(points)]] = True
+    cut[edges] = True
     return np.flatnonzero(cut)
 
 
@@ -129,7 +133,10 @@ class PairMerger(dict):
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.limit, self.decoded = limit, {}
+        self.limit = limit
+        self.sizes = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        for number, raw in self.bytes_of.items():
+            self.sizes[number] = len(raw)
 
     def merge(self, raw: bytes) -> list[int]:
         ranks = self.ranks
@@ -183,25 +190,42 @@ class PairMerger(dict):
             self[piece] = found
         return found
 
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """For each text, the ids of its slices and the positions of their first code points.
+
+        Many texts are cut by one scan, a line feed between them: it leads to the state that a text begins in, ends every
+        contraction and run, and what it would change at the edges of texts is cut there anyway.
+        """
+        at = 0
+        while at < len(texts):
+            end, held = at + 1, len(texts[at])
+            while end < len(texts) and held + len(texts[end]) < TOGETHER:
+                held += len(texts[end])
+                end += 1
+            yield from self._encode_together(texts[at:end])
+            at = end
+
+    def _encode_together(self, texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        ends = np.cumsum(sizes) - 1  # of each text, where its line feed stands
+        begins, joined = ends + 1 - sizes, "\n".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        starts = boundaries(points, np.concatenate([begins[begins < len(points)], ends[:-1]]))
+        first, last = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
+        place = [*starts.tolist(), len(joined)]
+        for a, i, j, end in zip(begins.tolist(), first.tolist(), last.tolist(), ends.tolist()):
+            cut = [*place[i:j], end]
+            yield list(map(self.__getitem__, [joined[x:y] for x, y in zip(cut, cut[1:])])), starts[i:j] - a
+
     def encode(self, text: str) -> tuple[list[bytes], np.ndarray]:
         """The ids of each slice of a text, and the position of its first code point."""
-        starts = boundaries(np.frombuffer(text.encode("utf-32-le"), np.uint32))
-        ends = starts.tolist()
-        return list(map(self.__getitem__, [text[a:b] for a, b in zip(ends, ends[1:] + [len(text)])])), starts
-
-    def slice_bytes(self, ids: bytes) -> bytes:
-        """The bytes that the ids of one slice stand for; kept for slices met before, up to the cache's bound."""
-        found = self.decoded.get(ids)
-        if found is None:
-            found = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-            if len(self.decoded) < self.limit and len(ids) < 800:
-                self.decoded[ids] = found
-        return found
+        return next(self._encode_together([text]))
 
-    def decode(self, ids: bytes, offsets=(0,)) -> bytes:
-        """The bytes that ids stand for, slice by slice; offsets: where each slice's ids begin (all ids are one slice without)."""
-        at = [4 * i for i in offsets]
-        return b"".join(self.slice_bytes(ids[a:b]) for a, b in zip(at, at[1:] + [len(ids)]))
+    def decode(self, ids: bytes, offsets=()) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids stand for, and where the slices whose ids begin at the offsets begin in them."""
+        numbers = np.frombuffer(ids, "<u4")
+        ends = np.append(0, np.cumsum(self.sizes[numbers]))
+        return b"".join(map(self.bytes_of.__getitem__, numbers.tolist())), ends[np.asarray(offsets, np.int64)]
 
 
 def id_offsets(slices: list[bytes]) -> np.ndarray:
@@ -220,33 +244,36 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None) -> DataFram
     path, state = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), {}
 
     def work(columns):
-        both = [_coder(path, state).encode(t or "") for t in columns[1]]
+        both = list(_coder(path, state).encode_all([t or "" for t in columns[1]]))
         return {"doc_id": columns[0], "ids": [b"".join(x) for x, _ in both], "offsets": [o.tolist() for _, o in both], "id_offsets": [id_offsets(x).tolist() for x, _ in both]}
 
     return map_rows(docs.select("doc_id", "text"), work, "doc_id long, ids binary, offsets array<long>, id_offsets array<long>")
 
 
 def decode_documents(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, ids, id_offsets) -> doc_id, text_bytes."""
+    """(doc_id, ids, id_offsets) -> doc_id, text_bytes, byte_offsets (byte each slice starts at)."""
     path, state = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), {}
 
     def work(columns):
-        return {"doc_id": columns[0], "text_bytes": [_coder(path, state).decode(x or b"", o or [0]) for x, o in zip(*columns[1:])]}
+        both = [_coder(path, state).decode(x or b"", o or []) for x, o in zip(*columns[1:])]
+        return {"doc_id": columns[0], "text_bytes": [b for b, _ in both], "byte_offsets": [o.tolist() for _, o in both]}
 
-    return map_rows(coded.select("doc_id", "ids", "id_offsets"), work, "doc_id long, text_bytes binary")
+    return map_rows(coded.select("doc_id", "ids", "id_offsets"), work, "doc_id long, text_bytes binary, byte_offsets array<long>")
 
 
 def code_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """Encodes (doc_id, text), decodes the ids slice by slice at the offsets that were kept, and returns digests of both."""
+    """Encodes (doc_id, text), decodes the ids, finds every slice again at the offsets that were kept, and returns digests."""
     path, state = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), {}
 
     def work(columns):
         out = {name: [] for name in ("n_tokens", "n_slices", "ids_sha256", "decoded_sha256")}
-        for text in columns[1]:
-            coder = _coder(path, state)
-            slices, starts = coder.encode(text or "")
+        coder = _coder(path, state)
+        for slices, starts in coder.encode_all([t or "" for t in columns[1]]):
             ids = b"".join(slices)
-            row = len(ids) // 4, len(starts), hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids, id_offsets(slices).tolist())).hexdigest()
+            text, begins = coder.decode(ids, id_offsets(slices))
+            if len(begins) != len(starts) or (begins[1:] <= begins[:-1]).any():
+                raise AssertionError("slices do not come back where they were cut")
+            row = len(ids) // 4, len(starts), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
             for name, x in zip(out, row):
                 out[name].append(x)
         return {"doc_id": columns[0], **out}

@@ -28,10 +28,19 @@ def test_byte_bpe(text):
     slices, offsets = MERGER.encode(text)
     ids = b"".join(slices)
     assert ids == np.array(CODER.encode_ordinary(text), "<u4").tobytes()
-    assert MERGER.decode(ids) == text.encode() == MERGER.decode(ids, id_offsets(slices).tolist())
+    decoded, begins = MERGER.decode(ids, id_offsets(slices))
+    assert decoded == text.encode() and len(begins) == len(offsets)
     assert offsets.tolist() == sorted(set(offsets.tolist())) and (not text or offsets[0] == 0)
 
 
+@settings(max_examples=700, deadline=None)
+@given(st.lists(texts, max_size=6))
+def test_texts_cut_together_are_cut_alike(several):
+    for text, (slices, offsets) in zip(several, MERGER.encode_all(several), strict=True):
+        alone, where = MERGER.encode(text)
+        assert slices == alone and offsets.tolist() == where.tolist()
+
+
 @settings(max_examples=1500, deadline=None)
 @given(texts)
 def test_piece_counts(text):
