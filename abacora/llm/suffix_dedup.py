@@ -180,14 +180,17 @@ def repeated_places(rows: DataFrame, geometry: Geometry) -> DataFrame:
 
 
 def wanted_contexts(met: DataFrame, crowd: int) -> DataFrame:
-    """Places -> those to be fetched: rid, key, context, loc, first (else the last place of a context), crowd."""
+    """Places -> those to be fetched: rid, key, context, loc, first (else the last place of a context), crowd, twin.
+
+    Equal rows have one rid, so a context of theirs can have one (rid, loc) several times: it is a copy of itself (twin).
+    """
     at = F.struct("rid", "loc")
     # both written, so that the join has no aggregate in its way and a core of very many contexts can be split
-    each = materialise(met.groupBy("key", "context").agg(F.min(at).alias("low"), F.max(at).alias("high")), "contexts")
-    kinds = materialise(each.groupBy("key").agg((F.count("*") > crowd).alias("crowd"), (F.count("*") > 1).alias("several"), F.count_if(F.col("low") < F.col("high")).alias("copied")).where("several or copied > 0"), "kinds")
-    both = each.join(kinds, "key").where("several or low < high")
+    each = materialise(met.groupBy("key", "context").agg(F.min(at).alias("low"), F.max(at).alias("high"), (F.count("*") > 1).alias("copy")), "contexts")
+    kinds = materialise(each.groupBy("key").agg((F.count("*") > crowd).alias("crowd"), (F.count("*") > 1).alias("several"), F.count_if("copy").alias("copied")).where("several or copied > 0"), "kinds")
+    both = each.join(kinds, "key").where("several or copy").withColumn("twin", F.expr("copy and low = high"))
     place = F.explode(F.array_distinct(F.array("low", "high")))
-    return both.select("key", "context", "crowd", "low", place.alias("place")).select("place.rid", "key", "context", "place.loc", (F.col("place") == F.col("low")).alias("first"), "crowd")
+    return both.select("key", "context", "crowd", "twin", "low", place.alias("place")).select("place.rid", "key", "context", "place.loc", (F.col("place") == F.col("low")).alias("first"), "crowd", "twin")
 
 
 _CONTEXTS = "key long, core binary, context long, loc long, lefts binary, rights binary, first boolean, crowd boolean"
@@ -195,7 +198,7 @@ _CONTEXTS = "key long, core binary, context long, loc long, lefts binary, rights
 
 def fetched(bodies: DataFrame, wanted: DataFrame, geometry: Geometry) -> DataFrame:
     """(rid, body) and wanted_contexts() -> their bytes before and behind the core, and a hash of the core's."""
-    marks = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "loc", "first", "crowd")).alias("marks"))
+    marks = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "context", "loc", "first", "crowd", "twin")).alias("marks"))
     names, g = [p.split()[0] for p in _CONTEXTS.split(", ")], geometry
 
     def work(columns):
@@ -207,7 +210,7 @@ def fetched(bodies: DataFrame, wanted: DataFrame, geometry: Geometry) -> DataFra
                 least = max(0, a + g.length - g.side - len(data))
                 made = m["key"], xxhash.xxh3_128_digest(data[a - g.side : a + g.right]), m["context"], m["loc"], data[a - g.side - most : a - g.side], data[a + g.right : a + g.right + g.free - least], m["first"], m["crowd"]
                 for name, x in zip(names, made):
-                    out[name].append(x)
+                    out[name] += [x, False if name == "first" else x] if m["twin"] else [x]
         return out
 
     one = bodies.join(marks, "rid").dropDuplicates(["rid"])  # rows that are repeated hold the same bytes

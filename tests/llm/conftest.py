@@ -42,7 +42,7 @@ def folder(spark, corpus, tmp_path_factory):
     rng = random.Random(3)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(120)]
     vectors += [(200 + i, vectors[50][1]) for i in range(9)] + [(300, None), (301, [1.0, None] * 3), (302, [float("nan")] * 6), (350, [float("inf")] * 6), (None, vectors[0][1]), (400, [0.5] * 4)]
-    spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, score int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(i, v, 0, (i or 0) % 3) for i, v in vectors], "vec_id long, embedding array<float>, score int, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 

@@ -515,7 +515,8 @@ def test_op10_round_trip_by_offsets(spark, folder):
     assert got == sorted((str(r["doc_id"]), (r["text"] or "").encode()) for r in docs.collect())
 
 
-def test_op8_op10_every_class_of_code_points():
+def test_op10_every_code_point_before_a_quote_and_doubled():
+    """Every code point as c's and as cc, where its class decides what the quote and the second one belong to."""
     import base64
 
     import tiktoken
@@ -524,5 +525,19 @@ def test_op8_op10_every_class_of_code_points():
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     library, own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.PairMerger(P.path("byte_bpe_50k.tiktoken"))
     for low in range(0, 0x110000, 0x3000):
-        text = "".join(f" {chr(c)}a1{chr(c)}b'{chr(c)}\n" for c in range(low, min(low + 0x3000, 0x110000), 7) if not 0xD800 <= c < 0xE000)
+        text = "".join(f"{c}'s b{c}{c} a1{c}b'{c}\n" for c in map(chr, range(low, min(low + 0x3000, 0x110000))) if not 0xD800 <= ord(c) < 0xE000)
         assert np.frombuffer(b"".join(own.encode(text)[0]), "<u4").tolist() == library.encode_ordinary(text), hex(low)
+    assert own.encode("\u1c8a's")[0] and len(library.encode_ordinary("\u1c8a's")) == len(b"".join(own.encode("\u1c8a's")[0])) // 4
+
+
+@pytest.mark.parametrize("crowd", [8192, 1])
+@pytest.mark.parametrize("ids", [(1, 1), (None, None), (1, 1, 1), (1, 1, 2)])
+def test_op9_rows_that_are_repeated_alone(spark, ids, crowd):
+    """Equal rows are different places: the whole text goes from each of them, if no other row holds it too."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1000))
+    other = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    docs = spark.createDataFrame([*((i, text) for i in ids), (7, other)], "doc_id long, text string")
+    found = suffix_dedup.cleaned(docs, crowd=crowd).collect()
+    got = sorted((str(r["doc_id"]), suffix_dedup._spans(r["spans"]).tolist()) for r in found)
+    assert got == sorted([*((str(i), [[0, 1000]]) for i in ids), ("7", [])])
