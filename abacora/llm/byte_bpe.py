@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_rows, table
@@ -27,8 +27,6 @@ CACHE = 400_000
 BLOCK = 64
 #: Characters of texts that are cut by one scan, about.
 TOGETHER = 1 << 18
-#: Code points that count as white space in the patterns of the rank files (Unicode's White_Space). Fixed values.
-WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Classes of code points.
 LETTER, NUMBER, OTHER, BLANK, GAP, QUOTE = range(6)
 #: States of the scan: in a run of letters, of numbers, of other signs, after a space, after other white space, and in a
@@ -36,14 +34,19 @@ LETTER, NUMBER, OTHER, BLANK, GAP, QUOTE = range(6)
 IN_LETTER, IN_NUMBER, IN_OTHER, AFTER_BLANK, AFTER_GAP, OPEN_QUOTE = range(6)
 
 
+def members(pattern: str) -> np.ndarray:
+    """The code points that a pattern of one character matches, by the library's own Unicode tables."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    library = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return np.frombuffer(bytes(library.encode_ordinary(every)).decode().encode("utf-32-le"), "<u4")
+
+
 def class_table() -> np.ndarray:
-    """The class of every code point, from the general categories of Python's Unicode tables and the white space above."""
+    """The class of every code point. Letters, numbers and white space are those of the library's Unicode version, which may
+    be newer than Python's."""
     out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        major = unicodedata.category(chr(c))[0]
-        if major in "LN":
-            out[c] = LETTER if major == "L" else NUMBER
-    out[list(WHITE)] = GAP
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", GAP)):
+        out[members(pattern)] = kind
     out[32], out[39] = BLANK, QUOTE
     return out
 
