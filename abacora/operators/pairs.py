@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import is_too_similar, stem_similarity
 from ..functions.text import bigrams, normalise
-from ..sources.store import written
+from ..sources.store import discard, written
 
 SIMILAR = 0.84
 
 
 def _letters(text: Column) -> Column:
     """The characters of a text as different tokens: the second e is e2."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    each = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.filter(chars, lambda x: x == c))), lambda i: F.concat(c, i.cast("string")))
-    return F.flatten(F.transform(F.array_distinct(chars), each))
+    split = F.array(F.filter(F.split(text, ""), lambda c: c != ""))  # bound once, not once for each character
+    each = lambda chars: lambda c: F.transform(F.sequence(F.lit(1), F.size(F.filter(chars, lambda x: x == c))), lambda i: F.concat(c, i.cast("string")))
+    return F.flatten(F.transform(split, lambda chars: F.flatten(F.transform(F.array_distinct(chars), each(chars)))))
 
 
 def _prefix_pairs(rows: DataFrame, share: float) -> DataFrame:
@@ -66,7 +66,8 @@ def first_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         lost = written(open_.join(kept, "a", "left_semi").select("b").distinct(), "lost")
         gone = lost if gone is None else gone.union(lost)
         after = open_.join(kept, "a", "left_anti").join(lost, "b", "left_anti").join(lost.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
-        open_ = written(after, "links")
+        before, open_ = open_, written(after, "links")
+        discard(before)
     return nodes if gone is None else nodes.join(gone.select(F.col("b").alias("id")), "id", "left_anti")
 
 

@@ -6,42 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise, slug, terms, topic_id
+from .substrings import contained
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct runs of `size` words; the split array is bound once, not once per element."""
-    runs = F.transform(F.array(F.split(text, " ")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " ")))
-    return F.array_distinct(runs[0])
-
-
-#: Questions up to so many are compared to a chunk inside the scan.
+#: Questions up to so many are looked for by automata in passes over the chunks; more meet chunks on word runs.
 FEW_QUESTIONS = 20_000
 
 
 def copied_questions(questions: DataFrame, chunks: DataFrame, least: int = 40) -> DataFrame:
     """P5: questions (item_id, text) of at least `least` normalised characters that some chunk (doc_id, text) contains.
 
-    Question and chunk meet on the question's second to fifth words, which are whole words of any chunk that contains it,
-    and containment is then checked for those pairs. Up to FEW_QUESTIONS questions their keys are a constant of the scan:
-    a chunk's word runs are looked up where they arise, and only those that are keys are ever rows. Questions of fewer than
-    six words are compared to every chunk.
+    Up to FEW_QUESTIONS questions are looked for in the scan of the chunks, all at once (see substrings.contained). Of more,
+    those of six or more words meet chunks in a join on their second to fifth words, which are whole words of any chunk that
+    contains them, and containment is then checked for those pairs; shorter ones are looked for in the scan again.
     """
-    q = questions.select("item_id", normalise(F.col("text")).alias("q")).where(F.length("q") >= least).withColumn("w", F.split("q", " "))
+    q = questions.select("item_id", normalise(F.col("text")).alias("q")).where(F.length("q") >= least)
     t = chunks.select("doc_id", normalise(F.col("text")).alias("t"))
-    long = q.where(F.size("w") >= 6).select("item_id", "q", F.array_join(F.slice("w", 2, 4), " ").alias("key"))
-    few = long.limit(FEW_QUESTIONS + 1).count() <= FEW_QUESTIONS
-    runs = _grams(F.col("t"), 4)
-    if few:
-        keys = long.agg(F.collect_set("key").alias("keys"))
-        held = t.crossJoin(F.broadcast(keys)).select("t", F.explode(F.array_intersect(runs, "keys")).alias("key"))  # keys: one row
-        hits = held.join(F.broadcast(long), "key").where(F.col("t").contains(F.col("q"))).select("item_id")
-    else:
-        pairs = t.select("doc_id", F.explode(runs).alias("key")).join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-        hits = pairs.join(t, "doc_id").join(long.select("item_id", "q"), "item_id").where(F.col("t").contains(F.col("q"))).select("item_id")
-    short = q.where(F.size("w") < 6)
-    if not short.take(1):
-        return hits.distinct()
-    return hits.union(t.join(F.broadcast(short) if few else short, F.col("t").contains(F.col("q"))).select("item_id")).distinct()
+    found = lambda few: contained(t, few.select("item_id", "q")).select(F.col("pattern_id").alias("item_id"))
+    if q.limit(FEW_QUESTIONS + 1).count() <= FEW_QUESTIONS:
+        return found(q).distinct()
+    words = F.split("q", " ")
+    long = q.where(F.size(words) >= 6).select("item_id", "q", F.array_join(F.slice(words, 2, 4), " ").alias("key"))
+    runs = F.transform(F.array(F.split("t", " ")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ")))
+    pairs = t.select("doc_id", F.explode(F.array_distinct(runs[0])).alias("key")).join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    hits = pairs.join(t, "doc_id").join(long.select("item_id", "q"), "item_id").where(F.col("t").contains(F.col("q"))).select("item_id")
+    return hits.union(found(q.where(F.size(words) < 6))).distinct()
+
+
+def first_holders(needles: DataFrame, units: DataFrame) -> DataFrame:
+    """(item_id, needle) and (doc_id, text) -> item_id, unit: the smallest document that holds the needle."""
+    return contained(units, needles).groupBy(F.col("pattern_id").alias("item_id")).agg(F.min("id").alias("unit"))
 
 
 def postings(docs: DataFrame) -> DataFrame:

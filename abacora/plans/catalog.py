@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mastery, procedural, retrieval, selection, sessions, text  # noqa: F401  they register their queries
+from . import indexes, mastery, procedural, retrieval, selection, sessions, text  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "recommend_core"

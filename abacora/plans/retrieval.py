@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions import mcq as Q
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import selection as S
-from ..sources.store import written
+from ..operators.lexical_index import LexicalIndex
+from ..sources.store import file_state, shared_folder
 from ..views import Views
 from .registry import query
 from .text import _NORM
@@ -30,15 +33,15 @@ dense AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)
 _RRF = "f AS (SELECT doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT doc_id, rank FROM lex UNION ALL SELECT doc_id, rank FROM dense) GROUP BY doc_id)"
 
 
-def _stats(v: Views):
-    """Documents, their postings (written once, for statistics, lengths and hits alike) and the terms' statistics."""
+def _index(v: Views) -> LexicalIndex:
+    """The kept index of the folder's documents; built again when their files change or an hour is over."""
     docs = v.table("documents").select("doc_id", "text")
-    posts = written(R.postings(docs), "postings")
-    return docs, posts, R.bm25_stats(posts, docs.count())
+    state = file_state(v.spark, f"{v.folder}/documents.parquet")
+    return LexicalIndex.kept(v.spark, f"{shared_folder(v.spark)}/lexical-{hashlib.sha256(v.folder.encode()).hexdigest()[:16]}", state, lambda: docs)
 
 
 def _lexical(v: Views):
-    return R.top(R.bm25_scores(*_stats(v), QUERY_TERMS), K)
+    return _index(v).search(QUERY_TERMS, K)
 
 
 def _dense(v: Views):
@@ -49,7 +52,7 @@ def _dense(v: Views):
 
 @query(f"WITH {_STATS} SELECT term, df, round(idf, 6) AS idf FROM st")
 def bm25_stats(v: Views):
-    return _stats(v)[2].select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(v).statistics().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, score, rank FROM lex")
@@ -134,9 +137,7 @@ SELECT item_id, min(doc_id) AS unit FROM e, d WHERE contains(t, q) GROUP BY item
 def evidence_first_unit(v: Views):
     e = v.table("benchmark").select("item_id", F.array_join(F.slice(F.split(T.normalise(F.col("text")), " "), 3, 12), " ").alias("q"))
     d = v.table("documents").select("doc_id", T.normalise(F.col("text")).alias("t"))
-    key = e.withColumn("key", F.array_join(F.slice(F.split("q", " "), 2, 4), " "))
-    pairs = d.select("doc_id", F.explode(R._grams(F.col("t"), 4)).alias("key")).join(key.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return pairs.join(d, "doc_id").join(e, "item_id").where(F.col("t").contains(F.col("q"))).groupBy("item_id").agg(F.min("doc_id").alias("unit"))
+    return R.first_holders(e, d)
 
 
 @query("SELECT a.doc_id, CASE WHEN contains(b.text, a.text) THEN b.doc_id ELSE a.doc_id END AS context_from FROM documents a JOIN documents b ON b.doc_id = a.doc_id - a.doc_id % 10")

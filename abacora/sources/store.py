@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 import json
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +25,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def file_state(spark: SparkSession, path: str) -> str:
+    """A fingerprint of a table's files by their names, sizes and times."""
+    fs, p, _ = _fs(spark, path)
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def _rename_over(spark: SparkSession, source: str, target: str) -> None:
     """Renames a file over another in one step, so that readers see the old or the new one."""
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
@@ -123,15 +138,53 @@ def current(spark: SparkSession, path: str, key: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("_key")).agg(newest).select("r.*").where("not _gone").drop("_written", "_gone")
 
 
+_TEMPORARY: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local session gets one of its own;
+    on a cluster that is an error, since executors do not see each other's disks."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="abacora-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def temporary(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, deleted by discard(), or else when the program ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _TEMPORARY[path] = spark
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """A frame that is read several times, written below spark.checkpoint.dir where that is set; else the frame as it is."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return df
-    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A frame that is read several times, written to a temporary() path: cuts lineage, survives lost executors."""
+    path = temporary(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(frame: DataFrame | str) -> None:
+    """Deletes what written() wrote, or a temporary path, once nothing that is still to be computed reads it."""
+    path = frame if isinstance(frame, str) else frame.__dict__.get("_written_to")
+    spark = _TEMPORARY.pop(path, None)
+    if spark is not None:
+        fs, p, _ = _fs(spark, path)
+        fs.delete(p, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path in list(_TEMPORARY):
+        with contextlib.suppress(Exception):  # the session may be gone
+            discard(path)
 
 
 def ingest(spark: SparkSession, manifest_path: str, fingerprint: str, build, force: bool = False) -> str:
@@ -214,7 +267,7 @@ def copy_vectors(source: DataFrame, path: str, size: int, column: str = "embeddi
 def load_records(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Records of JSON lines, of a key that repeats the last by its text; lines that do not fit are refused."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    kept = written(rows, "records") if spark.conf.get("spark.checkpoint.dir", None) else rows.cache()
+    kept = written(rows, "records")
     if kept.where("_corrupt_record is not null").take(1):
         raise ValueError("a line is no record of this schema")
     own = kept.drop("_corrupt_record")
