@@ -30,9 +30,10 @@ def vector_lists_exhaustive(v: Views):
 
 @query()
 def vector_lists_probed(v: Views):
-    """O1: the same from half of the lists, with how many of the exhaustive search's each query found."""
+    """O1: the same from three quarters of the lists, with how many of the exhaustive search's each query found. Directions of
+    the test vectors are nearly uniform, which leaves little to skip; clustered vectors need far fewer lists (see the tests)."""
     index, queries = _lists(v)
-    few = index.search_all(queries, K, probes=max(1, (len(index.number) + 1) // 2))
+    few = index.search_all(queries, K, probes=-(-3 * len(index.number) // 4))
     return few.join(recall(few, index.search_all(queries, K)), "query_id").select("query_id", "doc_id", "score", "rank", "n", "hit")
 
 

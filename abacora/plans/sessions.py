@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sessions as X
+from ..streaming import folds, machines
 from ..views import Views
 from .registry import query
 
@@ -59,3 +60,61 @@ def late_submit_rule(v: Views):
     line = v.table("lineitem").select(F.col("l_orderkey").alias("attempt_id"), (F.col("l_returnflag") == "N").alias("answered"), (F.col("l_linestatus") == "O").alias("right"), F.col("l_shipdate").alias("at"))
     start = v.table("orders").select(F.col("o_orderkey").alias("attempt_id"), (F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("expires_at"))
     return X.submitted(line, start)
+
+
+_STATUS = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'preparing' WHEN 'click' THEN 'ready' WHEN 'purchase' THEN 'complete' ELSE 'failed' END"
+_QUIZ = "user_id * 100 + CAST(floor(day(ts) / 3) AS BIGINT)"
+UNTIL = 1_706_832_000_000  # 2024-02-02, when the last timers have gone off
+
+
+def _moves(v: Views):
+    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "preparing").when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "purchase", "complete").otherwise("failed")
+    return folds.timed(v.activity).select((F.col("user_id") * 100 + F.floor(F.dayofmonth("ts") / 3).cast("long")).alias("quiz_id"), "ms", "event_id", status.alias("status"))
+
+
+_LAPSED = "prev.st IN ('queued', 'preparing') AND e.ms > prev.since + 36000000"
+_FROM = f"CASE WHEN {_LAPSED} THEN 'stale' ELSE prev.st END"
+_MAY = f"""(({_FROM} IN ('idle', 'failed', 'stale') AND e.status = 'queued') OR ({_FROM} = 'queued' AND e.status IN ('preparing', 'failed'))
+OR ({_FROM} = 'preparing' AND e.status IN ('ready', 'complete', 'failed')) OR ({_FROM} = 'ready' AND e.status IN ('preparing', 'complete', 'failed')))"""
+
+
+@query(f"""WITH RECURSIVE ev AS (SELECT {_QUIZ} AS quiz_id, epoch_us(ts) // 1000 AS ms, event_id, {_STATUS} AS status, row_number() OVER (PARTITION BY {_QUIZ} ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+run AS (SELECT quiz_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS ms, 'idle' AS was, 'idle' AS st, 0::BIGINT AS since, false AS ok, NULL::VARCHAR AS lapsed, NULL::BIGINT AS lapsed_at FROM (SELECT DISTINCT quiz_id FROM ev)
+UNION ALL SELECT e.quiz_id, e.n, e.event_id, e.ms, {_FROM}, CASE WHEN {_MAY} THEN e.status ELSE {_FROM} END, CASE WHEN {_MAY} THEN e.ms WHEN {_LAPSED} THEN prev.since + 36000001 ELSE prev.since END, {_MAY},
+CASE WHEN {_LAPSED} THEN prev.st END, CASE WHEN {_LAPSED} THEN prev.since + 36000001 END FROM run prev JOIN ev e ON e.quiz_id = prev.quiz_id AND e.n = prev.n + 1)
+SELECT quiz_id, event_id, ms AS "at", was AS before, st AS after, ok AS accepted FROM run WHERE n > 0
+UNION ALL SELECT quiz_id, NULL, lapsed_at, lapsed, 'stale', true FROM run WHERE lapsed IS NOT NULL
+UNION ALL SELECT quiz_id, NULL, since + 36000001, st, 'stale', true FROM run WHERE st IN ('queued', 'preparing') AND since + 36000001 <= {UNTIL} AND (quiz_id, n) IN (SELECT quiz_id, max(n) FROM run GROUP BY quiz_id)""")
+def prefetch_transitions(v: Views):
+    """T5: every status a quiz was asked to take, whether it did, and when it went stale by itself (after ten hours)."""
+    return folds.fold_batch(_moves(v), machines.Prefetch("quiz_id", 36000), UNTIL)
+
+
+@query("""WITH RECURSIVE ev AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+run AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::BIGINT[] AS times, NULL::BIGINT AS full_ FROM (SELECT DISTINCT user_id FROM ev)
+UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN c.full_ IS NULL THEN list_append(prev.times, e.ms) ELSE prev.times END, c.full_ FROM run prev JOIN ev e ON e.user_id = prev.user_id AND e.n = prev.n + 1,
+LATERAL (SELECT CASE WHEN len(list_filter(prev.times, lambda t: t > e.ms - 28800000)) >= 1 THEN 28800 WHEN len(list_filter(prev.times, lambda t: t > e.ms - 172800000)) >= 4 THEN 172800 END AS full_) c)
+SELECT user_id, event_id, full_ IS NULL AS accepted, full_ AS limited_by FROM run WHERE n > 0""")
+def sliding_limits(v: Views):
+    """At most one event of a user in any eight hours and four in any two days, of those let through."""
+    return folds.fold_batch(folds.timed(v.activity).select("user_id", "ms", "event_id"), machines.SlidingLimits("user_id", ((1, 28800), (4, 172800))))
+
+
+@query("""WITH e AS (SELECT user_id AS token, event_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'signup' THEN 'issue' ELSE 'consume' END AS kind FROM events),
+i AS (SELECT *, max(CASE WHEN kind = 'issue' THEN ms END) OVER (PARTITION BY token ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS issued, count(CASE WHEN kind = 'issue' THEN 1 END) OVER (PARTITION BY token ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM e),
+f AS (SELECT *, kind = 'consume' AND issued IS NOT NULL AND ms < issued + 86400000 AS could FROM i),
+g AS (SELECT *, count(CASE WHEN could THEN 1 END) OVER (PARTITION BY token, epoch ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)
+SELECT token, event_id, kind = 'issue' OR (could AND before = 0) AS accepted, CASE WHEN kind = 'issue' OR (could AND before = 0) THEN NULL WHEN issued IS NULL THEN 'unknown' WHEN before > 0 THEN 'used' ELSE 'expired' END AS reason FROM g""")
+def single_use_tokens(v: Views):
+    """A sign-up issues a token for a day, whatever comes next consumes it."""
+    rows = folds.timed(v.activity).select(F.col("user_id").alias("token"), "ms", "event_id", F.when(F.col("event_type") == "signup", "issue").otherwise("consume").alias("kind"))
+    return folds.fold_batch(rows, machines.SingleUse("token", 86400))
+
+
+@query()
+def batch_reveals(v: Views):
+    """T4: what quizzes of 12 questions revealed and refused: a sign-up opens one, views and clicks answer, errors ask for more."""
+    kind = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "error", "next").when(F.col("event_type") == "purchase", "submit").otherwise("answer")
+    index = F.when(F.col("event_type") == "error", 5).otherwise(F.col("event_id") % 6)
+    rows = folds.timed(v.activity).select(F.col("user_id").alias("quiz_id"), "ms", "event_id", kind.alias("kind"), index.cast("long").alias("index"), F.substring(F.lit("ABCDE"), (1 + F.col("event_id") % 5).cast("int"), 1).alias("answer"), F.lit(12).cast("long").alias("target"))
+    return folds.fold_batch(rows, machines.Reveal("quiz_id"))

@@ -60,8 +60,9 @@ def timed(rows: DataFrame, ts: str = "ts") -> DataFrame:
     return rows.withColumn("ms", F.unix_millis(F.col(ts).cast("timestamp")))
 
 
-def _frame(machine: Machine, key, answers: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame({machine.key: [key] * len(answers)} | {c: pd.Series([a.get(c) for a in answers], dtype=object) for c in machine.columns()})
+def _frame(machine: Machine, made: list[tuple]) -> pd.DataFrame:
+    """(key, answer) pairs as rows."""
+    return pd.DataFrame({machine.key: [key for key, _ in made]} | {c: pd.Series([a.get(c) for _, a in made], dtype=object) for c in machine.columns()})
 
 
 def _key_type(rows: DataFrame, machine: Machine) -> str:
@@ -75,33 +76,24 @@ def fold_batch(rows: DataFrame, machine: Machine, until: int | None = None) -> D
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, none = None, None, True
+        key, state, none, made = None, None, True, []
         for pdf in frames:
             for row in pdf.to_dict("records"):
-                answers = []
                 if none or row[machine.key] != key:
-                    if not none and until is not None and (last := machine.up_to(state, until)):
-                        yield _frame(machine, key, last)
+                    if not none and until is not None:
+                        made += ((key, a) for a in machine.up_to(state, until))
                     key, state, none = row[machine.key], machine.start(), False
-                answers += machine.feed(state, row)
-                if answers:
-                    yield _frame(machine, key, answers)
-        if not none and until is not None and (last := machine.up_to(state, until)):
-            yield _frame(machine, key, last)
-
-    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for frame in run(frames):
-            held.append(frame)
-            n += len(frame)
-            if n >= 5000:
-                yield pd.concat(held, ignore_index=True)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
+                made += ((key, a) for a in machine.feed(state, row))
+                if len(made) >= 5000:
+                    yield _frame(machine, made)
+                    made = []
+        if not none and until is not None:
+            made += ((key, a) for a in machine.up_to(state, until))
+        if made:
+            yield _frame(machine, made)
 
     dealt = rows.where(F.col(machine.key).isNotNull()).repartition(machine.key).sortWithinPartitions(machine.key, *machine.order)
-    return dealt.mapInPandas(joined, f"{machine.key} {_key_type(rows, machine)}, {machine.output}")
+    return dealt.mapInPandas(run, f"{machine.key} {_key_type(rows, machine)}, {machine.output}")
 
 
 class _Processor(StatefulProcessor):
@@ -130,13 +122,13 @@ class _Processor(StatefulProcessor):
         for row in sorted(found, key=lambda r: tuple(r[c] for c in self.machine.order)):
             answers += self.machine.feed(state, row)
         self._keep(state)
-        yield _frame(self.machine, key[0], answers)
+        yield _frame(self.machine, [(key[0], a) for a in answers])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._load()
         answers = self.machine.up_to(state, expiredTimerInfo.getExpiryTimeInMs())
         self._keep(state)
-        yield _frame(self.machine, key[0], answers)
+        yield _frame(self.machine, [(key[0], a) for a in answers])
 
     def close(self) -> None:
         pass
