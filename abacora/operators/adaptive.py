@@ -48,17 +48,26 @@ def select_topics(rows: list[dict], seed: str, size: int = 25, attempts: int = 0
     return chosen
 
 
-def adaptive_select(topics: DataFrame, seed: str, size: int = 25) -> DataFrame:
-    """O6 for many students: (student_id, topic_id, grade, families, periods, seen, accuracy, last_attempt), each student on
-    their own; the order of choice is returned."""
+def adaptive_select(students: DataFrame, catalogue: list[dict], seed: str, size: int = 25) -> DataFrame:
+    """O6 for many students: (student_id, history: array of topic_id, accuracy, last_attempt) -> student_id, topic_id, place in
+    the order of choice. Each student chooses alone, where their row is; nothing is joined, grouped or shuffled.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        student = pdf["student_id"].iat[0]
-        rows = [{**r, "families": list(r["families"])} for r in pdf.to_dict("records")]
-        picked = select_topics(rows, f"{seed}:{student}", size, int(pdf["last_attempt"].max() or 0), int(student))
-        return pd.DataFrame({"student_id": student, "topic_id": [r["topic_id"] for r in picked], "place": range(1, len(picked) + 1)})
+    catalogue: the topics (topic_id, grade, families, periods), a curriculum, so it goes to the tasks with the function. Topics
+    that a student's history does not name are unseen.
+    """
 
-    return topics.groupBy("student_id").applyInPandas(one, "student_id long, topic_id string, place long")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for student, history in zip(pdf["student_id"].tolist(), pdf["history"].tolist()):
+                known = {h["topic_id"]: h for h in ([] if history is None else history)}
+                none = {"accuracy": None, "last_attempt": 0}
+                rows = [{**t, "seen": t["topic_id"] in known, **{k: known.get(t["topic_id"], none)[k] for k in none}} for t in catalogue]
+                attempts = max((int(r["last_attempt"] or 0) for r in rows), default=0)
+                out += ((student, r["topic_id"], place) for place, r in enumerate(select_topics(rows, f"{seed}:{student}", size, attempts, int(student)), 1))
+            yield pd.DataFrame(out, columns=["student_id", "topic_id", "place"])
+
+    return students.select("student_id", "history").mapInPandas(run, "student_id long, topic_id string, place long")
 
 
 def budget_fill(parts, start, limit: int = 3600):

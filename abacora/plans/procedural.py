@@ -36,12 +36,14 @@ def budget_fill(v: Views):
 
 @query()
 def adaptive_select(v: Views):
-    seen = v.answer_unnumbered.groupBy("topic_id").agg(F.avg(F.col("is_correct").cast("double")).alias("accuracy"))
-    topics = v.item.groupBy("topic_id").agg(F.min("grade").alias("g"), F.array_sort(F.collect_set(F.col("level").cast("string"))).alias("families"), F.count("*").cast("int").alias("periods")).join(seen, "topic_id")
-    students = v.table("customer").select(F.col("c_custkey").alias("student_id"))
-    rows = students.crossJoin(F.broadcast(topics))  # a catalogue of topics for every student
-    unseen = F.pmod(F.xxhash64("student_id", "topic_id"), F.lit(3)) == 0
-    return D.adaptive_select(rows.select("student_id", "topic_id", (10 + F.col("g") % 2).alias("grade"), "families", "periods", (~unseen).alias("seen"), "accuracy", F.lit(0).alias("last_attempt")), SEED, 10)
+    """Each customer's choice from the catalogue of brands, by what they answered before."""
+    topics = v.item.groupBy("topic_id").agg(F.min("grade").alias("g"), F.array_sort(F.collect_set(F.col("level").cast("string"))).alias("families"), F.count("*").alias("periods"))
+    catalogue = [{"topic_id": r["topic_id"], "grade": 10 + r["g"] % 2, "families": r["families"], "periods": r["periods"]} for r in topics.orderBy("topic_id").collect()]  # a curriculum
+    answers = v.attempt.select("attempt_id", "user_id", "created_at").join(v.answer_unnumbered, "attempt_id")
+    seen = answers.groupBy("user_id", "topic_id").agg(F.avg(F.col("is_correct").cast("double")).alias("accuracy"), F.countDistinct("attempt_id").cast("int").alias("last_attempt"))
+    history = seen.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("topic_id", "accuracy", "last_attempt"))).alias("history"))  # at most one entry a topic
+    students = v.table("customer").select(F.col("c_custkey").alias("student_id")).join(history.withColumnRenamed("user_id", "student_id"), "student_id", "left")
+    return D.adaptive_select(students, catalogue, SEED, 10)
 
 
 @query()

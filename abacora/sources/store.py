@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import graphlib
 import hashlib
 import json
 import shutil
@@ -96,7 +97,8 @@ def replace(df: DataFrame, path: str, *partitions: str) -> None:
 
 def upsert(wanted: DataFrame, path: str, key: str, payload: str, embed, contract: dict | None = None, whole: bool = False) -> int:
     """Appends the rows whose key does not stand with this payload now, after embed(rows); a rerun continues where one
-    broke off. Returns how many rows were pending. Readers take the newest row of a key (see current()).
+    broke off. Returns how many rows were pending. Readers take the newest row of a key (see current()). One writer at a time:
+    of two at once both append, and the later row of a key counts.
 
     contract: settings (model, size, corpus) that a store keeps for its life; another one, or rows without one, is refused.
     whole: wanted is all there should be, so other keys are marked as gone. What stands is counted before the contract is
@@ -238,12 +240,75 @@ class Jdbc:
     def append(self, df: DataFrame, name: str) -> None:
         df.write.jdbc(self.url, name, mode="append", properties=self.properties)
 
+    @contextlib.contextmanager
+    def connection(self):
+        """A connection of the driver's JVM, for what no frame can say."""
+        jvm = self.spark.sparkContext._jvm
+        properties = jvm.java.util.Properties()
+        for k, v in self.properties.items():
+            properties.setProperty(k, v)
+        made = jvm.java.sql.DriverManager.getConnection(self.url, properties)
+        try:
+            yield made
+        finally:
+            made.close()
+
+    def execute(self, *statements: str) -> None:
+        """Statements in one transaction."""
+        with self.connection() as c:
+            c.setAutoCommit(False)
+            try:
+                for text in statements:
+                    s = c.createStatement()
+                    s.execute(text)
+                    s.close()
+                c.commit()
+            except BaseException:
+                c.rollback()
+                raise
+
+    def in_order(self, tables: list[str]) -> list[str]:
+        """The tables so that each comes behind those its foreign keys name, by the database's own catalogue."""
+        names, needs = {t.upper(): t for t in tables}, {}
+        with self.connection() as c:
+            for upper, t in names.items():
+                needs[t] = set()
+                for name in {t, upper, t.lower()}:
+                    keys = c.getMetaData().getImportedKeys(None, None, name)
+                    while keys.next():
+                        parent = names.get(keys.getString("PKTABLE_NAME").upper())
+                        needs[t] |= {parent} - {None, t}
+                    keys.close()
+        try:
+            return list(graphlib.TopologicalSorter(needs).static_order())
+        except graphlib.CycleError as e:
+            raise ValueError(f"foreign keys go round: {e.args[1]}") from e
+
+    def restart(self, name: str, column: str = "id") -> int:
+        """Sets an identity column's next value behind its largest one, and returns it."""
+        after = int(self(name).agg(F.max(column)).first()[0] or 0) + 1
+        self.execute(f"ALTER TABLE {name} ALTER COLUMN {column} RESTART WITH {after}")
+        return after
+
     @staticmethod
     def sequence_reset(name: str, column: str = "id") -> str:
-        """The statement that sets a PostgreSQL table's sequence behind its largest key, to be run after a copy."""
+        """The same for a PostgreSQL serial column, whose sequence is an object of its own; to be given to execute()."""
         return f"SELECT setval(pg_get_serial_sequence('{name}', '{column}'), COALESCE((SELECT MAX({column}) FROM {name}), 0) + 1, false)"
 
 
+def migrate(source: Jdbc, target: Jdbc, tables: list[str], identities: dict[str, str] | None = None, coerce: dict[str, str] | None = None) -> dict[str, int]:
+    """Tables from one database to another in the order of the target's foreign keys, counted one by one; then identity
+    columns (table: column) go on behind the copied ones. All targets must be empty before the first is written."""
+    order = target.in_order(tables)
+    for name in order:
+        if target(name).take(1):
+            raise ValueError(f"{name} is not empty")
+    done = copy_tables(source, target, order, coerce)
+    for name, column in (identities or {}).items():
+        target.restart(name, column)
+    return done
+
+
 def preflight(vectors: DataFrame, size: int, column: str = "embedding") -> dict[str, int]:
     """How many vectors have another size, a component that is not finite, or only zeros."""
     e, inf = F.col(column), F.lit(float("inf"))
@@ -256,12 +321,17 @@ def preflight(vectors: DataFrame, size: int, column: str = "embedding") -> dict[
 
 
 def copy_vectors(source: DataFrame, path: str, size: int, column: str = "embedding") -> int:
-    """Vectors written as a whole after a preflight without findings; raises ValueError otherwise."""
+    """Vectors written as a whole after a preflight without findings, and counted; raises ValueError or RuntimeError otherwise.
+    From a service, see paged.copy_pages()."""
     found = preflight(source, size, column)
     if any(found.values()):
         raise ValueError(f"vectors refused: {found}")
+    expected = source.count()
     replace(source, path)
-    return source.sparkSession.read.parquet(path).count()
+    n = source.sparkSession.read.parquet(path).count()
+    if n != expected:
+        raise RuntimeError(f"{n} of {expected} vectors arrived")
+    return n
 
 
 def load_records(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
