@@ -26,8 +26,7 @@ def terms(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """lower case, kept signs only, single spaces."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^a-z0-9{KEPT}]+", " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^a-z0-9{KEPT}]+", " "))
 
 
 def fingerprint(text: Column) -> Column:

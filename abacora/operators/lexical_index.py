@@ -14,7 +14,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import exists, read_manifest, write_manifest
+from ..sources.store import discard, exists, read_manifest, write_manifest, written
+from .layout import spread
 from .retrieval import postings, top
 
 BUCKETS = 32
@@ -82,7 +83,7 @@ class LexicalIndex:
         g, spark = self.about["generation"] + 1, self.spark
         empty = spark.createDataFrame([], "doc_id long, text string")
         come = empty if come is None else come.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        new = postings(come)
+        new = written(postings(spread(come)), "postings")  # the texts are cut into terms once
         length = new.groupBy("doc_id").agg(F.sum("tf").cast("long").alias("dl"), F.collect_list("term").alias("terms"))
         rows = come.select("doc_id").distinct().join(length, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), self._bucket("doc_id"))
         self._write(rows.repartition("bucket"), "documents", g, "bucket")
@@ -112,6 +113,7 @@ class LexicalIndex:
         (n, tokens), (less, fewer) = sums(added), sums(removed)
         about = {**self.about, "generation": g, "segments": [*self.about["segments"], g], "gone": gone, "changes": [*self.about["changes"], g], "documents": self.about["documents"] + n - less, "tokens": self.about["tokens"] + tokens - fewer}
         write_manifest(spark, f"{self.path}/manifest.json", about)
+        discard(new)
         self.about = about
 
     def compact(self) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise, slug, terms, topic_id
+from .layout import spread
 from .substrings import contained
 
 
@@ -21,7 +22,7 @@ def copied_questions(questions: DataFrame, chunks: DataFrame, least: int = 40) -
     contains them, and containment is then checked for those pairs; shorter ones are looked for in the scan again.
     """
     q = questions.select("item_id", normalise(F.col("text")).alias("q")).where(F.length("q") >= least)
-    t = chunks.select("doc_id", normalise(F.col("text")).alias("t"))
+    t = spread(chunks.select("doc_id", "text")).select("doc_id", normalise(F.col("text")).alias("t"))
     found = lambda few: contained(t, few.select("item_id", "q")).select(F.col("pattern_id").alias("item_id"))
     if q.limit(FEW_QUESTIONS + 1).count() <= FEW_QUESTIONS:
         return found(q).distinct()

@@ -11,6 +11,7 @@ from ..functions import mcq as Q
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import selection as S
+from ..operators.layout import spread
 from ..operators.lexical_index import LexicalIndex
 from ..sources.store import file_state, shared_folder
 from ..views import Views
@@ -136,7 +137,7 @@ def concept_argmax(v: Views):
 SELECT item_id, min(doc_id) AS unit FROM e, d WHERE contains(t, q) GROUP BY item_id""")
 def evidence_first_unit(v: Views):
     e = v.table("benchmark").select("item_id", F.array_join(F.slice(F.split(T.normalise(F.col("text")), " "), 3, 12), " ").alias("q"))
-    d = v.table("documents").select("doc_id", T.normalise(F.col("text")).alias("t"))
+    d = spread(v.table("documents").select("doc_id", "text")).select("doc_id", T.normalise(F.col("text")).alias("t"))
     return R.first_holders(e, d)
 
 
