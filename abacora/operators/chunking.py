@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -41,44 +43,69 @@ def _pieces(unit: list[str], target: int, high: int, overlap: int, whole: bool)
     return [unit[i * step : i * step + size] for i in range(last + 1)]
 
 
-def pack_tokens(units: list[list[str]], low: int = 300, target: int = 360, high: int = 450, overlap: int = 60, whole: bool = False) -> list[list[str]]:
-    """Units of tokens of one source, in order, packed into chunks of at most `high` tokens.
+def _filled(pieces: Iterable[list[str]], target: int, high: int, overlap: int) -> Iterator[list[str]]:
+    """Chunks as they fill up, one at a time."""
+    current: list[str] = []
+    for piece in pieces:
+        if current and (len(current) + len(piece) > high or len(current) >= target):
+            yield current[:high]
+            current = current[:high][-overlap:]
+        current = current + piece
+    if current:
+        yield current[:high]
+
+
+def _settled(chunks: Iterator[list[str]], low: int, high: int, overlap: int, whole: bool) -> Iterator[list[str]]:
+    """Chunks with the short ones filled up; it looks one chunk ahead and one back."""
+    size, before, chunk = min(low + 16, high), None, next(chunks, None)
+    while chunk is not None:
+        after = next(chunks, None)
+        if len(chunk) >= low or (before is None and after is None) or (whole and after is not None):
+            made = chunk
+        elif before is None:
+            made = (chunk + after)[:size]
+        else:
+            own = chunk[overlap:] if whole and chunk[:overlap] == before[-overlap:] else chunk
+            made = (before + own)[-max(size, len(chunk)) if whole else -size :]
+        yield made
+        before, chunk = made, after
+
+
+def packed(units: Iterable[list[str]], low: int = 300, target: int = 360, high: int = 450, overlap: int = 60, whole: bool = False) -> Iterator[list[str]]:
+    """Units of tokens of one source, in order, packed into chunks of at most `high` tokens, of which three are held at a time.
 
     A chunk ends when the next piece would make it too long or when it has `target` tokens; the next one begins with its last
     `overlap` tokens. What reaches beyond `high` is cut off, unless whole, where units are cut small enough for nothing to.
     A chunk below `low` becomes the last low + 16 tokens of its predecessor and itself, without one the first of itself and
     its successor (whole: only the last chunk is filled up); a source of fewer tokens stays one short chunk.
     """
-    chunks: list[list[str]] = []
-    current: list[str] = []
-    for piece in (p for u in units for p in _pieces(u, target, high, overlap, whole)):
-        if current and (len(current) + len(piece) > high or len(current) >= target):
-            chunks.append(current[:high])
-            current = chunks[-1][-overlap:]
-        current = current + piece
-    if current:
-        chunks.append(current[:high])
-    size = min(low + 16, high)
-    for i, chunk in enumerate(chunks):
-        if len(chunk) >= low or len(chunks) == 1 or (whole and i + 1 < len(chunks)):
-            continue
-        if i:
-            before = chunks[i - 1]
-            own = chunk[overlap:] if whole and chunk[:overlap] == before[-overlap:] else chunk
-            chunks[i] = (before + own)[-max(size, len(chunk)) if whole else -size :]
-        else:
-            chunks[i] = (chunk + chunks[1])[:size]
-    return chunks
+    pieces = (p for u in units for p in _pieces(u, target, high, overlap, whole))
+    return _settled(_filled(pieces, target, high, overlap), low, high, overlap, whole)
+
+
+def pack_tokens(units: list[list[str]], **limits) -> list[list[str]]:
+    """The chunks of packed() as a list."""
+    return list(packed(units, **limits))
 
 
 def chunk_pack(units: DataFrame, corpus: str = "corpus", **limits: int) -> DataFrame:
-    """W10 over frames: (source, ord, text) -> source, index, chunk_id, token_count, text. One source at a time, in order."""
+    """W10 over frames: (source, ord, text) -> source, index, chunk_id, token_count, text.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        source = pdf["source"].iat[0]
-        chunks = pack_tokens([t.split() for t in pdf.sort_values("ord")["text"]], **limits)
-        texts = [" ".join(c) for c in chunks]
-        ids = [hashlib.sha256(f"{corpus}|{source}|{i}|{t}".encode()).hexdigest() for i, t in enumerate(texts)]
-        return pd.DataFrame({"source": source, "index": range(len(texts)), "chunk_id": ids, "token_count": [len(c) for c in chunks], "text": texts})
+    Sources are read one after another from sorted partitions, unit by unit, so a task holds a few chunks however long a source
+    is. One source is in one task, as what a chunk begins with depends on all before it.
+    """
 
-    return units.select("source", "ord", "text").groupBy("source").applyInPandas(one, "source string, index long, chunk_id string, token_count long, text string")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, made = ((s, t) for f in frames for s, t in zip(f["source"].tolist(), f["text"].tolist())), []
+        for source, own in itertools.groupby(rows, key=lambda r: r[0]):
+            for i, chunk in enumerate(packed((t.split() for _, t in own), **limits)):
+                text = " ".join(chunk)
+                made.append((source, i, hashlib.sha256(f"{corpus}|{source}|{i}|{text}".encode()).hexdigest(), len(chunk), text))
+                if len(made) == 500:
+                    yield pd.DataFrame(made, columns=names)
+                    made = []
+        yield pd.DataFrame(made, columns=names)
+
+    names = ["source", "index", "chunk_id", "token_count", "text"]
+    dealt = units.select("source", "ord", "text").repartition("source").sortWithinPartitions("source", "ord")
+    return dealt.mapInPandas(run, "source string, index long, chunk_id string, token_count long, text string")

@@ -1,7 +1,7 @@
 import random
 
 from abacora.operators import adaptive as D
-from abacora.operators.chunking import pack_tokens
+from abacora.operators.chunking import chunk_pack, pack_tokens, packed
 
 
 def test_chunks_lose_no_token_and_keep_limits():
@@ -111,3 +111,30 @@ def test_functions_in_sql(spark):
     row = spark.sql("SELECT normal_text('A  b!'), topic_slug('  Sets & logic '), safe_image_url('/static/quiz_images/' || md5('x') || '.png'), answer_match('1/2', array('0.5', '2')), option_text('(b) 5'), stable_seed('x') >= 0, first_code('a 1.2 b')").first()
     assert tuple(row) == ("a b", "sets_logic", True, 1, "5", True, "1.2")
     assert spark.sql("SELECT is_too_similar('Define a set.', 'define a SET.')").first()[0]
+
+
+def test_packing_holds_a_few_chunks_of_a_source_of_any_length():
+    """Units are taken one by one: after each chunk only what it needed has been read."""
+    taken = 0
+
+    def units():
+        nonlocal taken
+        for i in range(100_000):
+            taken += 1
+            yield [f"t{i}"] * 50
+
+    chunks = packed(units())
+    for n in range(20):
+        assert len(next(chunks)) >= 300
+        assert taken <= 10 * (n + 4)
+
+
+def test_chunk_pack_over_frames_equals_packing_of_each_source(spark):
+    rng = random.Random(3)
+    sources = {s: [" ".join(f"{s}{i}" for _ in range(rng.randrange(0, 700))) for i in range(rng.randrange(1, 60))] for s in "abcdefgh"}
+    rows = [(s, i, t) for s, texts in sources.items() for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = chunk_pack(spark.createDataFrame(rows, "source string, ord long, text string").repartition(5), "c").collect()
+    want = {(s, i): " ".join(c) for s, texts in sources.items() for i, c in enumerate(pack_tokens([t.split() for t in texts]))}
+    assert {(r["source"], r["index"]): r["text"] for r in got} == want and len(got) == len(want)
+    assert all(r["token_count"] == len(r["text"].split()) for r in got)
