@@ -6,7 +6,9 @@ vocabulary, its rank file) is asked only for slices not seen before. Documents l
 sequences and one remainder; remainders are packed.
 
 Nulls: a null text is an empty document (its ids are the closing id alone); a null doc_id is carried along. Rows with the
-same doc_id are packed one by one. An empty table gives no rows. Other columns of the input are ignored.
+same doc_id are packed one by one. Ties: of pieces of one length it does not matter which takes which place. Very long texts
+are read whole and cut, slices of LONG characters or more are not kept in the cache. An empty table gives no rows. Other
+columns of the input are ignored, also those named like this module's own.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import map_rows, materialise, table, text_or_empty
 SEQUENCE = 1024
 END_ID = 0
 CACHE = 400_000
+#: Slices of so many characters are encoded anew each time, so that the cache is bounded in bytes too.
+LONG = 200
 #: Rows of one length that are ranked in one group.
 RANK_GROUP = 50_000
 
@@ -34,7 +38,7 @@ _ODD_SPACE = re.compile(r" (?:\s|$)")
 
 
 class SliceIds(dict):
-    """Slice of text -> its ids as little-endian unsigned 32-bit bytes; holds at most `limit` slices."""
+    """Slice of text -> its ids as little-endian unsigned 32-bit bytes; holds at most `limit` slices, none of them long."""
 
     def __init__(self, json_path: str, ranks_path: str | None, limit: int = CACHE):
         import os
@@ -59,7 +63,7 @@ class SliceIds(dict):
 
     def __missing__(self, piece: str) -> bytes:
         found = self.encode(piece)
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(piece) < LONG:
             self[piece] = found
         return found
 

@@ -5,7 +5,8 @@ piece of the vocabulary spans two neighbouring characters (no merge can cross th
 in bounded memory. A count is initial symbols minus merges, plus the extra bytes of characters outside the vocabulary.
 
 Nulls: a null text counts as empty (0 tokens); a null doc_id is carried along. Repeated rows are counted one by one, an
-empty table gives no rows, other columns are ignored.
+empty table gives no rows, other columns are ignored, whatever their names. Ties: equal ranks merge from the left. Very long
+texts are read whole, slices of LONG characters or more are not kept in the cache.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from .common import map_rows, table
 
 LIMIT = 4096
 CACHE = 400_000
+#: Slices of so many characters are counted anew each time, so that the cache is bounded in bytes too.
+LONG = 200
 SPACE = "▁"
 
 
 class MergeCounter(dict):
-    """Slice between spaces (without its leading space) -> token count; holds at most `limit` slices."""
+    """Slice between spaces (without its leading space) -> token count; holds at most `limit` slices, none of them long."""
 
     def __init__(self, model_path: str, limit: int = CACHE):
         import sentencepiece
@@ -80,7 +83,7 @@ class MergeCounter(dict):
 
     def __missing__(self, word: str) -> int:
         found = self.slice_count(SPACE + word)
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(word) < LONG:
             self[word] = found
         return found
 

@@ -541,3 +541,13 @@ def test_op9_rows_that_are_repeated_alone(spark, ids, crowd):
     found = suffix_dedup.cleaned(docs, crowd=crowd).collect()
     got = sorted((str(r["doc_id"]), suffix_dedup._spans(r["spans"]).tolist()) for r in found)
     assert got == sorted([*((str(i), [[0, 1000]]) for i in ids), ("7", [])])
+
+
+def test_caches_keep_no_long_slices():
+    from abacora.llm import token_counts
+
+    ids = packing.SliceIds(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
+    counter = token_counts.MergeCounter(P.path("piece_bpe_32k.model"))
+    text = "a " + "xyz" * 5000 + " b " + "é" * 199
+    assert ids.document(text) == ids.document(text) and counter.count(text) == counter.count(text)
+    assert ids and counter and max(map(len, [*ids, *counter])) < 200
