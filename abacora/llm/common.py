@@ -85,10 +85,15 @@ def materialise(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes what materialise() wrote, once nothing that is still to be computed reads it."""
-    spark, path = df.sparkSession, df.__dict__.get("_written_to")
+    path = df.__dict__.get("_written_to")
     if path:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

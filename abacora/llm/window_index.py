@@ -19,6 +19,7 @@ take memory in proportion to their own words. Empty tables give no rows; other c
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, release, sliding, squeezed, unsqueezed, with_row_key
-from .common import discard, map_rows, materialise, mix64, scratch, table
+from .common import discard, map_rows, materialise, mix64, remove, scratch, shared_folder, table
 from .suffix_dedup import merged_spans
 
 SIZE = 13
@@ -140,7 +141,10 @@ def together(texts: list[str], most: int = TOGETHER):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (key, lo, shared): a fingerprint, its lowest doc_id, whether several documents have it."""
+    """Sorted immutable runs of (key, lo, shared): a fingerprint, its lowest doc_id, whether several documents have it.
+
+    They lie in the shared folder (spark.checkpoint.dir), where every executor finds them.
+    """
 
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, buckets: int | None = None):
         """buckets: sorted files of every run, by default as many as the session's shuffles have partitions."""
@@ -152,14 +156,22 @@ class FingerprintIndex:
 
     def _write(self, summed: DataFrame) -> DataFrame:
         name = f"run_{uuid.uuid4().hex}"
-        summed.write.option("parquet.enable.dictionary", "false").bucketBy(self.buckets, "key").sortBy("key").format("parquet").saveAsTable(name)
-        self.tables.append(name)
+        self.tables.append(name)  # before the write, so that drop() also finds one that was cut short
+        out = summed.write.option("path", self._path(name)).option("parquet.enable.dictionary", "false")
+        out.bucketBy(self.buckets, "key").sortBy("key").format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
+    def _path(self, name: str) -> str:
+        return f"{shared_folder(self.spark)}/{name}"
+
+    def _remove(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self._path(name))
+
     def drop(self) -> None:
         """Deletes the runs, for an index that is of no further use."""
-        for name in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._remove(self.tables)
         self.runs, self.tables = [], []
 
     def add(self, postings: DataFrame) -> DataFrame:
@@ -183,8 +195,7 @@ class FingerprintIndex:
             merged = one.join(other, "key", "full").select("key", F.least("lo", "lo2").alias("lo"), (both | F.coalesce("shared", "shared2")).alias("shared"))
         self.runs = [self._write(merged)]
         self.tables = self.tables[len(before) :]
-        for name in before:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._remove(before)
         self.compactions += 1
         release(self.spark)
 
@@ -307,13 +318,17 @@ def verified(contexts: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def remove_windows(docs: DataFrame, size: int = SIZE, batches: int = BATCHES, index: FingerprintIndex | None = None, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, text) -> doc_id, body (compressed text), spans: words covered by earlier documents' windows (first * SPAN + words)."""
-    with scratch():
-        if size - GRAM + 1 >= RUN:
-            raise ValueError(f"windows of up to {RUN + GRAM - 2} words only")
-        spark = docs.sparkSession
-        own = index is None
-        index = index or FingerprintIndex(spark)
+    """(doc_id, text) -> doc_id, body (compressed text), spans: words covered by earlier documents' windows (first * SPAN + words).
+
+    An index that is given is kept, one of the call's own is deleted as soon as all batches are in, or when one fails."""
+    if size - GRAM + 1 >= RUN:
+        raise ValueError(f"windows of up to {RUN + GRAM - 2} words only")
+    spark = docs.sparkSession
+    own = index is None
+    index = index or FingerprintIndex(spark)
+    with scratch(), contextlib.ExitStack() as ends:
+        if own:
+            ends.callback(index.drop)  # also where a batch fails
         rows = with_row_key(docs)
         dated = rows.where("doc_id is not null")
         shares = [(2**i - 1) / (2**batches - 1) for i in range(1, batches)]  # each batch is twice the one before it

@@ -6,6 +6,7 @@ import random
 import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -14,7 +15,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from abacora.llm import byte_bpe, near_copies, packing, quality_classifier, quality_rules, registry, simhash, suffix_dedup, topk_search, url_filter, window_index  # noqa: E402
+from abacora.llm import byte_bpe, common, near_copies, packing, quality_classifier, quality_rules, registry, simhash, suffix_dedup, topk_search, url_filter, window_index  # noqa: E402
 
 
 def rows(frame, *columns):
@@ -130,6 +131,21 @@ def test_op4_perplexity_and_verdict_against_plain_version(spark, folder, corpus)
     assert {k for _, _, k in want} == {True, False}
 
 
+def test_op2_rejects_on_both_sides_of_the_band(spark):
+    """Of texts of the same words, one of a single letter lies below the band and one of any letters above it."""
+    rng = random.Random(12)
+    word = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    known = [word("etaoinshrdlu", 2, 9) for _ in range(60)]
+    texts = {i: " ".join(rng.choice(known) for _ in range(200)) for i in range(60)}
+    texts[100] = " ".join(word("e", 2, 14) for _ in range(200))
+    texts[101] = " ".join(word("etaoinshrdlu", 2, 9) for _ in range(200))
+    judged = {r["doc_id"]: r for r in quality_rules.quality(spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")).collect()}
+    assert not any(r["base_failed"] for r in judged.values())
+    assert judged[100]["log_ppl"] < min(judged[i]["log_ppl"] for i in range(60)) and judged[101]["log_ppl"] > max(judged[i]["log_ppl"] for i in range(60))
+    assert not judged[100]["kept"] and not judged[101]["kept"]
+    assert sum(judged[i]["kept"] for i in range(60)) >= 57
+
+
 def test_op2_op4_reject_junk_and_keep_clean(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.1")
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
@@ -291,6 +307,27 @@ def test_op6_compacts_in_its_query(spark, folder, monkeypatch):
     assert seen and not spark.sql("show tables").where("tableName like 'run%'").count()
 
 
+def test_op6_leaves_no_runs_behind(spark, folder, monkeypatch):
+    """The index lies in the shared folder while the query needs it, and is gone afterwards, also where a batch fails."""
+    runs = lambda: {p for p in Path(common.shared_folder(spark).removeprefix("file:").replace("//", "/")).iterdir() if p.name.startswith("run_")}
+    before, add, seen = runs(), window_index.FingerprintIndex.add, []
+
+    def fails(self, batch):
+        found = add(self, batch)
+        seen.append(len(runs() - before))
+        if len(seen) == 5:
+            raise RuntimeError("lost")
+        return found
+
+    monkeypatch.setattr(window_index.FingerprintIndex, "add", fails)
+    window_index.op6_window_index(spark, folder)
+    assert seen == [1, 2, 2] and runs() == before
+    with pytest.raises(RuntimeError, match="lost"):
+        window_index.op6_window_index(spark, folder)
+    assert seen[-1] == 2 and runs() == before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
 def test_op6_words_that_polynomial_hashes_confuse(spark, tmp_path):
     """Two words of 1,024 letters in Thue-Morse order share every polynomial hash modulo 2**64."""
     order = ["ab"[bin(i).count("1") % 2] for i in range(1024)]
