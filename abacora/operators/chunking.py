@@ -6,11 +6,14 @@ import hashlib
 import itertools
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_type
+from ..sources.store import discard, written
 
 BOUNDARIES = ("heading", "example", "exercise", "definition")
 
@@ -55,9 +58,9 @@ def _filled(pieces: Iterable[list[str]], target: int, high: int, overlap: int) -
         yield current[:high]
 
 
-def _settled(chunks: Iterator[list[str]], low: int, high: int, overlap: int, whole: bool) -> Iterator[list[str]]:
-    """Chunks with the short ones filled up; it looks one chunk ahead and one back."""
-    size, before, chunk = min(low + 16, high), None, next(chunks, None)
+def _settled(chunks: Iterator[list[str]], low: int, high: int, overlap: int, whole: bool, before: list[str] | None = None) -> Iterator[list[str]]:
+    """Chunks with the short ones filled up; it looks one chunk ahead and one back (before: the chunk before the first)."""
+    size, chunk = min(low + 16, high), next(chunks, None)
     while chunk is not None:
         after = next(chunks, None)
         if len(chunk) >= low or (before is None and after is None) or (whole and after is not None):
@@ -88,24 +91,131 @@ def pack_tokens(units: list[list[str]], **limits) -> list[list[str]]:
     return list(packed(units, **limits))
 
 
-def chunk_pack(units: DataFrame, corpus: str = "corpus", **limits: int) -> DataFrame:
+_CHUNK = "source string, index long, chunk_id string, token_count long, text string"
+#: Characters of a source beyond which its packing is spread over tasks.
+LONG = 64 << 20
+#: Pieces whose effect on the fill is summed up together, and chunks that are written together.
+BLOCK, TOGETHER = 4096, 4096
+
+
+def _rows(made: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(made, columns=[f.split()[0] for f in _CHUNK.split(", ")])
+
+
+def _row(corpus: str, source: str, i: int, chunk: list[str]) -> tuple:
+    text = " ".join(chunk)
+    return source, i, hashlib.sha256(f"{corpus}|{source}|{i}|{text}".encode()).hexdigest(), len(chunk), text
+
+
+def chunk_pack(units: DataFrame, corpus: str = "corpus", long: int = LONG, block: int = BLOCK, together: int = TOGETHER, **limits: int) -> DataFrame:
     """W10 over frames: (source, ord, text) -> source, index, chunk_id, token_count, text.
 
-    Sources are read one after another from sorted partitions, unit by unit, so a task holds a few chunks however long a source
-    is. One source is in one task, as what a chunk begins with depends on all before it.
+    Most sources are read one after another from sorted partitions, unit by unit, a few chunks at a time. One of more than
+    `long` characters is spread over tasks by pack_spread(), with the same chunks. Units of equal ord go by their text.
     """
-
+    units = units.select("source", "ord", "text")
+    sizes = units.groupBy("source").agg(F.sum(F.length("text")).alias("n")).where(F.col("n") > long)
+    large = written(sizes.select(F.col("source").alias("large")), "large")  # a small table, so that the join moves no units
+    if not large.take(1):
+        discard(large)
+        return _packed_by_source(units, corpus, limits)
+    same = F.col("source").eqNullSafe(F.col("large"))
+    spread = pack_spread(units.join(large, same, "left_semi"), corpus, block, together, **limits)
+    return _packed_by_source(units.join(large, same, "left_anti"), corpus, limits).union(spread)
+
+
+def _packed_by_source(units: DataFrame, corpus: str, limits: dict) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, made = ((s, t) for f in frames for s, t in zip(f["source"].tolist(), f["text"].tolist())), []
         for source, own in itertools.groupby(rows, key=lambda r: r[0]):
             for i, chunk in enumerate(packed((t.split() for _, t in own), **limits)):
-                text = " ".join(chunk)
-                made.append((source, i, hashlib.sha256(f"{corpus}|{source}|{i}|{text}".encode()).hexdigest(), len(chunk), text))
+                made.append(_row(corpus, source, i, chunk))
                 if len(made) == 500:
-                    yield pd.DataFrame(made, columns=names)
+                    yield _rows(made)
                     made = []
-        yield pd.DataFrame(made, columns=names)
+        yield _rows(made)
+
+    return units.repartition("source").sortWithinPartitions("source", "ord", "text").mapInPandas(run, _CHUNK)
+
+
+def fill_map(sizes: Iterable[int], target: int, high: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """What pieces of these sizes do to a chunk being filled: for each fill it may have before them, the fill behind them and
+    how many chunks they end. Such maps compose, so blocks of pieces are summed up independently of each other."""
+    fill = np.arange(max(high, target) + overlap + 1)
+    ended = np.zeros(len(fill), np.int64)
+    for n in sizes:
+        full = (fill > 0) & ((fill + n > high) | (fill >= target))
+        fill = np.where(full, np.minimum(fill, min(high, overlap)), fill) + n
+        ended += full
+    return fill, ended
+
+
+def pack_spread(units: DataFrame, corpus: str = "corpus", block: int = BLOCK, together: int = TOGETHER, low: int = 300, target: int = 360, high: int = 450, overlap: int = 60, whole: bool = False) -> DataFrame:
+    """The chunks of packed() for sources of any length, no source in one task.
+
+    Units are dealt by ranges of (source, ord) and cut into pieces. Where chunks end depends on sizes only: each block of pieces
+    is summed up as a map of fills, and one pass over the small maps gives every block the fill and the chunk it begins with.
+    Pieces then go to ranges of chunks, each with the chunks before it that its own may draw tokens from.
+    """
+    halo = -(-min(low + 16, high) // (overlap + 1)) + overlap + 2  # every chunk brings a token; a short one reaches so far back
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, before = TaskContext.get().partitionId() << 32, 0, ()
+        for f in frames:
+            made = []
+            for source, text in zip(f["source"].tolist(), f["text"].tolist()):
+                for piece in _pieces(text.split(), target, high, overlap, whole):
+                    if (source,) != before or held == block:
+                        at, held, before = at + 1, 0, (source,)
+                    made.append((source, at, held, len(piece), " ".join(piece)))
+                    held += 1
+            yield pd.DataFrame(made, columns=["source", "block", "seq", "size", "text"])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        fill, ended = fill_map(pdf.sort_values("seq")["size"].tolist(), target, high, overlap)
+        return pd.DataFrame({"source": pdf["source"].iloc[:1].tolist(), "block": pdf["block"].iloc[:1].tolist(), "fills": [fill], "ended": [ended]})
+
+    def entered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, fill, chunk = (), 0, 0
+        for f in frames:
+            made = []
+            for source, at, fills, ended in zip(f["source"].tolist(), f["block"].tolist(), f["fills"], f["ended"]):
+                if (source,) != before:
+                    before, fill, chunk = (source,), 0, 0
+                made.append((at, fill, chunk))
+                fill, chunk = int(fills[fill]), chunk + int(ended[fill])
+            yield pd.DataFrame(made, columns=["block", "fill", "chunk"])
+
+    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        fill, chunk, carried, number = int(pdf["fill"].iloc[0]), int(pdf["chunk"].iloc[0]), [], []
+        for n in pdf["size"].tolist():
+            if fill and (fill + n > high or fill >= target):
+                fill, chunk = min(fill, high, overlap), chunk + 1
+            carried.append(fill)
+            number.append(chunk)
+            fill += n
+        return pdf[["source", "block", "seq", "text"]].assign(carried=carried, chunk=number)
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "seq"])
+        first, part, source = int(pdf["chunk"].iloc[0]), int(pdf["part"].iloc[0]), pdf["source"].iloc[0]
+
+        def chunks() -> Iterator[list]:
+            current, number = [None] * int(pdf["carried"].iloc[0]), first  # tokens of chunks that are not here
+            for chunk, text in zip(pdf["chunk"].tolist(), pdf["text"].tolist()):
+                if chunk != number:
+                    yield current[:high]
+                    current, number = current[:high][-overlap:], chunk
+                current = current + text.split(" ")
+            yield current[:high]
+
+        made = _settled(chunks(), low, high, overlap, whole, [None] * (low + 16) if first else None)
+        return _rows([_row(corpus, source, i, c) for i, c in enumerate(made, first) if i // together == part])
 
-    names = ["source", "index", "chunk_id", "token_count", "text"]
-    dealt = units.select("source", "ord", "text").repartition("source").sortWithinPartitions("source", "ord")
-    return dealt.mapInPandas(run, "source string, index long, chunk_id string, token_count long, text string")
+    pieces = written(units.repartitionByRange("source", "ord").sortWithinPartitions("source", "ord", "text").mapInPandas(cut, "source string, block long, seq int, size int, text string"), "pieces")
+    maps = pieces.select("source", "block", "seq", "size").groupBy("block").applyInPandas(summed, "source string, block long, fills array<int>, ended array<long>")
+    entries = written(maps.repartition("source").sortWithinPartitions("source", "block").mapInPandas(entered, "block long, fill int, chunk long"), "entries")
+    numbered = pieces.join(entries, "block").groupBy("block").applyInPandas(placed, "source string, block long, seq int, text string, carried int, chunk long")
+    parts = F.sequence(F.greatest(F.lit(0), F.ceil(F.col("chunk") / together) - 1).cast("long"), F.floor((F.col("chunk") + halo) / together).cast("long"))
+    return numbered.withColumn("part", F.explode(parts)).groupBy("source", "part").applyInPandas(joined, _CHUNK)

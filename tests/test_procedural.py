@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from abacora.operators import adaptive as D
 from abacora.operators.chunking import chunk_pack, pack_tokens, packed
 
@@ -138,3 +140,24 @@ def test_chunk_pack_over_frames_equals_packing_of_each_source(spark):
     want = {(s, i): " ".join(c) for s, texts in sources.items() for i, c in enumerate(pack_tokens([t.split() for t in texts]))}
     assert {(r["source"], r["index"]): r["text"] for r in got} == want and len(got) == len(want)
     assert all(r["token_count"] == len(r["text"].split()) for r in got)
+
+
+@pytest.mark.parametrize("limits", [{}, {"low": 9, "target": 12, "high": 16, "overlap": 3}, {"low": 9, "target": 12, "high": 16, "overlap": 3, "whole": True}, {"low": 30, "target": 31, "high": 40, "overlap": 1}])
+def test_packing_spread_over_tasks_equals_packing_of_each_source(spark, limits):
+    """Every source is long here; blocks and ranges of chunks are small, so that most chunks begin in another task's block."""
+    rng = random.Random(31)
+    reach = limits.get("high", 450) * 5 // 4
+    lengths = {"mixed": (0, reach), "short": (0, 3), "half": (reach // 3, reach // 2), "large": (reach, 3 * reach), None: (1, reach)}
+    sources = {s: [" ".join(f"{i}.{j}" for j in range(rng.randint(*n))) for i in range(180)] for s, n in lengths.items()} | {"one": ["a b c"], "none": ["", " "], "tiny": ["x"] * 7}
+    rows = [(s, i, t) for s, texts in sources.items() for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = chunk_pack(spark.createDataFrame(rows, "source string, ord long, text string").repartition(5), "c", long=-1, block=7, together=5, **limits).collect()
+    want = {(s, i): " ".join(c) for s, texts in sources.items() for i, c in enumerate(pack_tokens([t.split() for t in texts], **limits))}
+    assert len(got) == len(want) and {(r["source"], r["index"]): r["text"] for r in got} == want
+
+
+def test_long_sources_go_another_way_with_the_same_chunks(spark):
+    rows = [(s, i, " ".join(f"{s}{i}.{j}" for j in range(97))) for s, n in (("a", 400), ("b", 5), (None, 3)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "source string, ord long, text string")
+    near, far = (sorted(map(tuple, chunk_pack(frame, "c", long=n).collect()), key=str) for n in (1 << 30, 20_000))
+    assert near == far and len(near) > 100
