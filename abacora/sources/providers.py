@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from .store import shared_folder
 
 Embed = Callable[[list[str]], list[list[float]]]
 
@@ -43,8 +49,6 @@ def checked(vectors: list, count: int, size: int) -> list[list[float]]:
 
 def retried(provider, attempts: int = 3, wait: float = 1.0, sleep=None):
     """A provider whose failures are retried, each wait twice as long as the one before it; Exhausted is passed on."""
-    import time
-
     def ask(texts):
         for n in range(attempts):
             try:
@@ -82,8 +86,6 @@ class Exhausted(RuntimeError):
 def limited(provider, calls: int, cooldown: float = 300.0, clock=None):
     """A provider with at most `calls` calls in a task; after it was Exhausted once, it is not asked again until
     `cooldown` seconds have gone by."""
-    import time
-
     now, state = clock or time.monotonic, {"left": calls, "until": 0.0}
 
     def ask(texts):
@@ -101,13 +103,70 @@ def limited(provider, calls: int, cooldown: float = 300.0, clock=None):
     return ask
 
 
+class SharedLimit:
+    """A budget of calls that all tasks of all executors share, and a rest they all take after one was Exhausted.
+
+    Each call first claims a number below `calls` by creating a file of that name in a shared folder, which only one of any number
+    of workers can do; so no more calls are made than were allowed, also where tasks are tried again, and a later job with the
+    same folder goes on with what is left. reset() begins anew.
+    """
+
+    def __init__(self, provider, folder: str, calls: int, cooldown: float = 300.0, clock=None):
+        """folder: a path that all workers see as a file system (budget_folder()); clock: seconds that all workers share."""
+        self.provider, self.folder, self.calls, self.cooldown, self.clock = provider, folder, calls, cooldown, clock or time.time
+        os.makedirs(folder, exist_ok=True)
+
+    @property
+    def used(self) -> int:
+        return sum(name.isdigit() for name in os.listdir(self.folder))
+
+    def _claim(self) -> None:
+        for n in range(self.used, self.calls):  # numbers are taken in order; who finds one taken tries the next
+            try:
+                os.close(os.open(os.path.join(self.folder, str(n)), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+                return
+            except FileExistsError:
+                continue
+        raise Exhausted("no calls left")
+
+    def _resting(self) -> bool:
+        try:
+            with open(os.path.join(self.folder, "until")) as f:
+                return self.clock() < float(f.read())
+        except FileNotFoundError:
+            return False
+
+    def __call__(self, texts):
+        if self._resting():
+            raise Exhausted("cooling down")
+        self._claim()
+        try:
+            return self.provider(texts)
+        except Exhausted:
+            own = os.path.join(self.folder, f"until-{uuid.uuid4().hex}")
+            with open(own, "w") as f:
+                f.write(repr(self.clock() + self.cooldown))
+            os.replace(own, os.path.join(self.folder, "until"))  # whole at once, the last one counts
+            raise
+
+    def reset(self) -> None:
+        for name in os.listdir(self.folder):
+            os.remove(os.path.join(self.folder, name))
+
+
+def budget_folder(spark: SparkSession, name: str) -> str:
+    """A budget's folder in the shared folder, which must be a mounted file system: an object store has no exclusive creation."""
+    root = shared_folder(spark)
+    if urlparse(root).scheme not in ("", "file"):
+        raise ValueError("a shared budget needs a mounted folder in spark.checkpoint.dir")
+    return os.path.join(urlparse(root).path, f"budget-{name}")
+
+
 def complete(df: DataFrame, provider: Callable[[list[str]], list[str]], prompt: str = "prompt", attempts: int = 3, wait: float = 1.0, valid: Callable[[str], bool] | None = None, sleep=None) -> DataFrame:
     """Adds completion; a batch is tried `attempts` times, each wait twice as long as the one before it, then its error
     is the row's. Answers that `valid` refuses are asked for again, and are errors after the last attempt."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-
         rest = sleep or time.sleep
         for f in frames:
             prompts = f[prompt].tolist()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from abacora.functions import mcq
-from abacora.sources.providers import Exhausted, complete, limited, retried
+from abacora.sources.providers import Exhausted, SharedLimit, budget_folder, complete, limited, retried
 
 GOOD = {"question": "A rope of 12 m is cut into 4 equal parts. How long is each?", "options": ["A) 3 m", "B) 4 m", "C) 2 m", "D) 6 m"], "correct_answer": "3 m", "explanation": "12 divided by 4 is 3."}
 COLUMNS = "question string, options array<string>, answer string, correct_answer string, explanation string, source_question_id string, topic_id string, grade int"
@@ -127,3 +127,39 @@ def test_retries(spark):
     frame = spark.createDataFrame([("good",), ("bad",)], "prompt string")
     rows = complete(frame, lambda p: [x.upper() for x in p], attempts=2, wait=0, valid=lambda t: t == "GOOD").collect()
     assert {(r["prompt"], r["completion"], r["error"]) for r in rows} == {("good", "GOOD", None), ("bad", None, "the answer has another form")}
+
+
+def test_budget_shared_by_all_tasks(spark, tmp_path):
+    """As many calls as are allowed, over many tasks at once; a later job finds what is left, and all rest together."""
+    made = str(tmp_path / "calls")
+
+    def provider(texts):
+        with open(made, "a") as f:
+            f.write("x")
+        return [t.upper() for t in texts]
+
+    frame = spark.range(800).selectExpr("concat('p', id) AS prompt").repartition(16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        limit = SharedLimit(provider, budget_folder(spark, tmp_path.name), 25)
+        rows = complete(frame, limit, attempts=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(open(made).read()) == limit.used == 25
+    assert sum(r["completion"] is not None for r in rows) == 125 and {r["error"] for r in rows if r["completion"] is None} == {"Exhausted: no calls left"}
+    again = complete(frame.limit(3), SharedLimit(provider, limit.folder, 26), attempts=1).collect()
+    assert all(r["completion"] for r in again) and len(open(made).read()) == 26
+    limit.reset()
+    now = [0.0]
+
+    def broke(texts):
+        raise Exhausted("no credit")
+
+    one, other = (SharedLimit(p, limit.folder, 9, 10, lambda: now[0]) for p in (broke, provider))
+    with pytest.raises(Exhausted, match="no credit"):
+        one(["a"])
+    with pytest.raises(Exhausted, match="cooling down"):
+        other(["a"])
+    now[0] = 11
+    assert other(["a"]) == ["A"] and other.used == 2
+    limit.reset()
