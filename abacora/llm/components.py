@@ -16,7 +16,8 @@ def _digest(edges: DataFrame):
 def components(edges: DataFrame) -> DataFrame:
     """Undirected edges (a, b) -> (node, root): the smallest node of each component, for all nodes that have an edge.
 
-    Minima are taken by partial aggregation and joined back, so a node with very many neighbours is no single group.
+    Minima are taken by partial aggregation, written, and joined back: no join shares its stage with an aggregate, so the rows
+    of a node with very many neighbours can be split (or the minima sent to all tasks, where Spark finds them small).
     Each round is written to the shared folder and the one before it deleted. A round only ever moves edges to smaller
     nodes, so the loop ends by itself: when a round changes nothing. An empty table of edges gives no rows.
     """
@@ -24,12 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _digest(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = materialise(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        discard(edges)
+        for done in (edges, low, large, least):
+            discard(done)
         now, edges = _digest(after), after
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

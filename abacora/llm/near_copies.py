@@ -7,8 +7,8 @@ signatures put a pair in reach. These candidates make components, and inside eac
 the whole shingle sets: texts are linked if what they share is at least 0.8 of what both hold, and not otherwise.
 
 Equal shingle sets are one node, buckets of equal nodes are one bucket, and a bucket gives a spanning forest of its links,
-so groups of copies cost what they hold, not its square. Buckets of more than BUCKET nodes are dealt to several tasks in
-pairs of parts, all of which are compared.
+so groups of copies cost what they hold, not its square. Buckets of more than BUCKET nodes, or of more bytes than
+BUCKET_BYTES, are dealt to several tasks in pairs of parts, all of which are compared.
 
 Nulls: null and wordless texts have the same, empty, shingle set and are one group; of a group the row with the smallest
 doc_id stays (rows with a null doc_id last, then the smaller row hash); of equal rows one stays. Other columns are kept,
@@ -36,6 +36,10 @@ RADIUS = 24
 #: Estimates from 144 entries have a deviation of 0.033 at 0.8; a pair is a candidate from this much below the similarity.
 SLACK = 0.1
 BUCKET = 4096
+#: Bytes of compressed texts and sketches in a bucket that one task compares.
+BUCKET_BYTES = 32 << 20
+#: Bytes of a row's sketch, about.
+SKETCH = 400
 #: Buckets of up to so many nodes are compared together, lane i with lane i + shift.
 SMALL = 16
 #: Bytes of rows in one task, about, and of shingle sets that a task keeps.
@@ -197,41 +201,47 @@ def _links_in_task(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
 
 
-def _compared(met: DataFrame, nodes: DataFrame, similarity: float, bucket: int, weight: F.Column) -> DataFrame:
-    """(node, bucket, n: rows of the bucket) -> links; buckets of more than `bucket` rows are dealt in pairs of parts."""
-    parts = F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(F.col("n") / (bucket / 2))).cast("int")
-    dealt = met.withColumn("m", parts).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+def _compared(met: DataFrame, nodes: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """(node, bucket, n: rows of the bucket, held: their bytes) -> links; large buckets are dealt in pairs of parts.
+
+    nodes: (node, fp, short, weight: bytes of the row, maybe body); only weights are joined to size the tasks.
+    """
+    parts = F.greatest(F.ceil(F.col("n") / (bucket / 2)), F.ceil(F.col("held") / (BUCKET_BYTES / 2)))
+    m = F.when((F.col("n") <= bucket) & (F.col("held") <= BUCKET_BYTES), 1).otherwise(parts).cast("int")
+    dealt = met.withColumn("m", m).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     dealt = dealt.select("node", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"))
-    rows = dealt.join(nodes, "node")
-    tasks = int(rows.agg(F.sum(weight)).first()[0] or 0) // TASK_BYTES + 1
-    return rows.withColumn("task", F.pmod("bucket", F.lit(tasks))).groupBy("task").applyInPandas(lambda pdf: _links_in_task(pdf, similarity), _LINKED)
+    tasks = int(dealt.join(nodes.select("node", "weight"), "node").agg(F.sum("weight")).first()[0] or 0) // TASK_BYTES + 1
+    rows = dealt.join(nodes.drop("weight"), "node").withColumn("task", F.pmod("bucket", F.lit(tasks)))
+    return rows.groupBy("task").applyInPandas(lambda pdf: _links_in_task(pdf, similarity), _LINKED)
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
-    """(node, key) -> node, bucket, n: keys with the same nodes are one bucket, keys with one node none."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    return materialise(keyed.join(sizes, "key").select("node", F.xxhash64("n", "members").alias("bucket"), "n").distinct(), "bands")
+    """(node, key, weight) -> node, bucket, n, held: keys with the same nodes are one bucket, keys with one node none."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("held"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    return materialise(keyed.join(sizes, "key").select("node", F.xxhash64("n", "members").alias("bucket"), "n", "held").distinct(), "bands")
 
 
 def links(nodes: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """(node, fp, bands, short) -> candidate links (a, b): pairs that their signatures put above the similarity less SLACK."""
-    met = _buckets(nodes.select("node", F.explode("bands").alias("key")))
-    return _compared(met, nodes.select("node", "fp", "short"), similarity, bucket, F.lit(400))
+    weighed = nodes.withColumn("weight", F.lit(SKETCH).cast("long"))
+    met = _buckets(weighed.select("node", F.explode("bands").alias("key"), "weight"))
+    return _compared(met, weighed.select("node", "fp", "short", "weight"), similarity, bucket)
 
 
 def exact_links(nodes: DataFrame, near: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that span what shingle sets of at least the similarity connect.
 
     near: (node, root), the components of the candidate links, outside which no link is looked for. A component of up to
-    `bucket` nodes is one bucket; the nodes of a larger one meet in their bands again. texts: (node, body).
+    `bucket` nodes and BUCKET_BYTES is one bucket; the nodes of a larger one meet in their bands again. texts: (node, body).
     """
-    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
-    placed = near.join(sizes, "root")
-    whole = placed.where(F.col("size") <= bucket).select("node", F.col("root").alias("bucket"), F.col("size").alias("n"))
-    large = placed.where(F.col("size") > bucket).select("node", "root").join(nodes.select("node", "bands"), "node")
-    banded = _buckets(large.select("node", F.explode("bands").alias("band"), "root").select("node", F.xxhash64("root", "band").alias("key")))
-    held = nodes.select("node", "fp", "short").join(texts, "node")
-    return _compared(whole.union(banded), held, similarity, bucket, F.length("body") + 400)
+    weighed = texts.withColumn("weight", F.length("body").cast("long") + SKETCH)
+    light = weighed.select("node", "weight")
+    sizes = materialise(near.join(light, "node").groupBy("root").agg(F.count("*").alias("size"), F.sum("weight").alias("held")), "sizes")
+    placed, one = near.join(sizes, "root"), (F.col("size") <= bucket) & (F.col("held") <= BUCKET_BYTES)
+    whole = placed.where(one).select("node", F.col("root").alias("bucket"), F.col("size").alias("n"), "held")
+    large = placed.where(~one).select("node", "root").join(nodes.select("node", "bands"), "node").join(light, "node")
+    banded = _buckets(large.select("node", F.explode("bands").alias("band"), "root", "weight").select("node", F.xxhash64("root", "band").alias("key"), "weight"))
+    return _compared(whole.union(banded), nodes.select("node", "fp", "short").join(weighed, "node"), similarity, bucket)
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:

@@ -152,7 +152,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, rank_group: int = RANK_GROUP)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     place = spark.sparkContext.broadcast(slots(shortest_pack_first(histogram, size)))  # bounded by size, not by documents
     groups = max(1, sum(histogram.values()) // rank_group)
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
     before = (
         dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))

@@ -447,8 +447,9 @@ def test_large_buckets_are_dealt_in_parts(spark, words):
     assert len({r["root"] for r in roots}) == 1
 
 
-@pytest.mark.parametrize("bucket", [4096, 6])
-def test_near_copies_link_from_the_stated_similarity_on(spark, bucket):
+@pytest.mark.parametrize("bucket, held", [(4096, near_copies.BUCKET_BYTES), (6, near_copies.BUCKET_BYTES), (4096, 4000)])
+def test_near_copies_link_from_the_stated_similarity_on(spark, monkeypatch, bucket, held):
+    monkeypatch.setattr(near_copies, "BUCKET_BYTES", held)
     """Planted pairs on both sides of 0.8: none above it is lost, none below it is linked."""
     rng = random.Random(8)
     texts, above, pairs = [], 0, 0
