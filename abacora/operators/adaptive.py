@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import hashlib
-import hmac
 import json
 import math
 import random
@@ -13,7 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,18 +98,24 @@ def evidence_passages(text, least: int = 8, most: int = 40, step: int = 28):
 
 
 def pseudonym(key: bytes, namespace: str):
-    """a keyed reference of 16 hex digits; the key is the caller's."""
+    """a keyed reference (HMAC-SHA-256) of 16 hex digits as a column expression; the key is the caller's, null stays null."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
 
-    @F.pandas_udf(T.StringType())
-    def ref(value: pd.Series) -> pd.Series:
-        return pd.Series([hmac.new(key, f"{namespace}:{v}".encode(), hashlib.sha256).hexdigest()[:16] for v in value])
+    def ref(value: Column) -> Column:
+        message = F.encode(F.concat(F.lit(f"{namespace}:"), value.cast("string")), "UTF-8")
+        return F.substring(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256), 1, 16)
 
     return ref
 
 
+#: A backslash, with what it escapes in JSON if it does.
+_BACKSLASH = re.compile(r'\\(["\\/bfnrt]|u[0-9a-fA-F]{4})?')
+
+
 def _readings(text: str) -> Iterator[str]:
     """A text as it is, with stray backslashes doubled, and without trailing commas too."""
-    doubled = re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", text)
+    doubled = _BACKSLASH.sub(lambda m: m[0] if m[1] else r"\\", text)
     yield from dict.fromkeys((text, doubled, re.sub(r",(\s*[\]}])", r"\1", doubled)))
 
 

@@ -46,34 +46,96 @@ def adaptive_select(v: Views):
     return D.adaptive_select(students, catalogue, SEED, 10)
 
 
-@query()
+def _one_of(n, *forms):
+    """The form that a number picks."""
+    return F.element_at(F.array(*forms), (1 + n % len(forms)).cast("int"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 2 AS odd, (p_partkey // 2) % 6 AS form FROM part)
+SELECT p_partkey,
+       CAST(CASE WHEN form < 2 THEN 3 - odd WHEN form IN (2, 4) THEN 1 WHEN form = 5 THEN odd ELSE 0 END AS INTEGER) AS n_matching,
+       CASE WHEN form IN (2, 4) THEN 'D' WHEN form = 5 AND odd = 1 THEN 'C' END AS letter
+FROM part JOIN p USING (p_partkey)
+""")
 def answer_match(v: Views):
-    size = F.col("p_size").cast("string")
-    options = F.array(F.concat(size, F.lit("/4")), F.concat(F.lit("A) "), (F.col("p_size") / 4).cast("string")), F.concat(size, F.lit("%")), F.lit("{1,2}"))
-    return v.table("part").select("p_partkey", options.alias("o")).select("p_partkey", A.answer_match(F.col("o")[0], F.col("o")).alias("n_matching"), A.answer_letter(F.col("o")[2], F.col("o")).alias("letter"))
-
-
-@query()
+    """fractions, decimals, per cents, units, labels and sets that say the same."""
+    n, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    many = (25 * F.col("p_size")).cast("string")
+    third = F.concat(many, F.when(n % 2 == 0, "%").otherwise(" m"))
+    options = F.array(F.concat(size, F.lit("/4")), F.concat(F.lit("A) "), (F.col("p_size") / 4).cast("string")), third, F.lit("{2, 1}"))
+    said = _one_of(F.floor(n / 2), F.concat(size, F.lit("/4")), F.concat(F.lit("$\\frac{"), size, F.lit("}{4}$")), F.lit("{1,2}"), size, F.lit("(D) {2,1}."), F.concat(many, F.lit("m")))
+    return v.table("part").select(n, said.alias("said"), options.alias("o")).select("p_partkey", A.answer_match("said", "o").alias("n_matching"), A.answer_letter("said", "o").alias("letter"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 6 AS form, CAST(p_size AS HUGEINT) AS s, CAST(p_partkey % 7 AS HUGEINT) AS k FROM part),
+q AS (SELECT p_partkey,
+             CASE form WHEN 0 THEN (2 * s + 5) * (2 * s + 5) WHEN 1 THEN 4 * s - 3 * k WHEN 2 THEN -((s - k) * (s - k) * (s - k)) WHEN 3 THEN s WHEN 5 THEN s END AS num,
+             CASE form WHEN 0 THEN 4 * k WHEN 1 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN CAST(1 AS BIGINT) << CAST(k AS BIGINT) WHEN 5 THEN 2 * k END AS den
+      FROM p)
+SELECT p_partkey,
+       CASE WHEN den > 0 THEN CAST(num // gcd(abs(num), den) AS VARCHAR) || CASE WHEN den // gcd(abs(num), den) = 1 THEN '' ELSE '/' || CAST(den // gcd(abs(num), den) AS VARCHAR) END END AS value
+FROM q
+""")
 def arith_eval(v: Views):
-    stem = F.concat(F.lit("Calculate ("), F.col("p_size").cast("string"), F.lit(" + 2.5)^2 / "), (F.col("p_partkey") % 7).cast("string"), F.lit("?"))
+    """powers, signs, order of operations; null for a division by nought and for a stem that asks something else."""
+    s, k = F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string")
+    stem = _one_of(
+        F.col("p_partkey"),
+        F.concat(F.lit("Calculate ("), s, F.lit(" + 2.5)^2 / "), k, F.lit("?")), F.concat(F.lit("What is "), s, F.lit(" − 3 × "), k, F.lit(" ÷ 4")), F.concat(F.lit("evaluate -("), s, F.lit("-"), k, F.lit(")**3!")),
+        F.concat(F.lit("Compute 2^-"), k, F.lit(" * "), s, F.lit(".")), F.concat(F.lit("Name the value of "), s), F.concat(F.lit("Find the value of "), s, F.lit(" / "), k, F.lit(" / 2 ?")),
+    )
     return v.table("part").select("p_partkey", A.arith_eval(stem).alias("value"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 5 AS form, list_distinct(['1', '2', CAST(p_size AS VARCHAR)]) AS a, list_distinct(['2', CAST(p_size AS VARCHAR), '60']) AS b FROM part),
+q AS (SELECT p_partkey, form,
+             CASE form WHEN 0 THEN list_filter(list_distinct(list_concat(a, b)), lambda x: NOT (list_contains(a, x) AND list_contains(b, x)))
+                       WHEN 1 THEN list_filter(a, lambda x: NOT list_contains(b, x))
+                       WHEN 2 THEN list_concat(list_filter(a, lambda x: list_contains(b, x)), ['15/2', 'x'])
+                       WHEN 4 THEN list_filter(b, lambda x: NOT list_contains(a, x)) END AS found
+      FROM p)
+SELECT p_partkey, CASE WHEN form <> 3 THEN coalesce(array_to_string(list_sort(found), ','), '') END AS members FROM q
+""")
 def set_eval(v: Views):
+    """unions, intersections, differences in three spellings, decimals and letters as members; null for an unknown set."""
     size = F.col("p_size").cast("string")
-    stem = F.concat(F.lit("A = {1, 2, "), size, F.lit("}, B = {2, "), size, F.lit(", 60}. Find (A ∪ B) \\ (A ∩ B)?"))
+    asked = map(F.lit, ("Find (A ∪ B) \\ (A ∩ B)?", "Determine A \\setminus B.", "What is A ∩ B ∪ C?", "Calculate A ∪ D", "find B − A ?"))
+    stem = F.concat(F.lit("A = {1, 2, "), size, F.lit("}, B = {2, "), size, F.lit(", 60}, C = {7.50, x}. "), _one_of(F.col("p_partkey"), *asked))
     return v.table("part").select("p_partkey", F.array_join(A.set_eval(stem), ",").alias("members"))
 
 
-@query()
+def _pseudonym_sql() -> str:
+    inner, outer = (bytes(x ^ pad for x in SEED.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"SELECT c_custkey, substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode('user:' || c_name)))), 1, 16) AS ref FROM customer"
+
+
+@query(_pseudonym_sql())
 def pseudonymise(v: Views):
     return v.table("customer").select("c_custkey", D.pseudonym(SEED.encode(), "user")(F.col("c_name")).alias("ref"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 6 AS form, p_name AS n, CAST(p_size AS VARCHAR) AS s FROM part)
+SELECT p_partkey,
+       CASE form WHEN 0 THEN '[{"name": "' || n || '", "size": ' || s || '}]'
+                 WHEN 1 THEN '{"name": "' || n || '", "ok": true, "size": ' || s || '}'
+                 WHEN 5 THEN '{"name": "\\\\alpha ' || n || '", "ok": true, "size": ' || s || '}'
+                 WHEN 4 THEN NULL
+                 ELSE '{"name": "' || n || '", "size": ' || s || '}' END AS value
+FROM p
+""")
 def json_salvage(v: Views):
-    text = F.concat(F.lit("Here it is:\n```json\n[{\"name\": \""), F.col("p_name"), F.lit("\", \"size\": "), F.col("p_size").cast("string"), F.lit(",},]\n```"))
+    """fences and trailing commas, Python literals, talk around, answers cut short, no answer, stray backslashes."""
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    text = _one_of(
+        F.col("p_partkey"),
+        F.concat(F.lit("Here it is:\n```json\n[{\"name\": \""), name, F.lit("\", \"size\": "), size, F.lit(",},]\n```")), F.concat(F.lit("{'size': "), size, F.lit(", 'name': '"), name, F.lit("', 'ok': True}")),
+        F.concat(F.lit("Sure. {\"size\": "), size, F.lit(", \"name\": \""), name, F.lit("\"} rather than {\"size\": 0}")), F.concat(F.lit("[{\"name\": \""), name, F.lit("\", \"size\": "), size, F.lit("}, {\"name\": \"cut")),
+        F.concat(F.lit("No answer for "), name), F.concat(F.lit("{\"name\": \"\\alpha "), name, F.lit("\", \"ok\": true, \"size\": "), size, F.lit("}")),
+    )
     return v.table("part").select("p_partkey", D.json_salvage(text).alias("value"))
 
 

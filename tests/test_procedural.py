@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from abacora.operators import adaptive as D
 from abacora.operators.chunking import chunk_pack, pack_tokens, packed
@@ -74,6 +75,7 @@ def test_salvage():
     assert D.salvage('```json\n[{"a": 1,},]\n```') == [{"a": 1}]
     assert D.salvage('Sure! {"x": "\\frac{1}{2}"} done') is not None
     assert D.salvage("nothing") is None
+    assert D.salvage(r'{"q": "\\alpha \sqrt2 \underline x \u00e9", "ok": true}') == {"q": r"\alpha \sqrt2 \underline x é", "ok": True}
 
 
 def test_first_of_similar_stems(spark):
@@ -161,3 +163,14 @@ def test_long_sources_go_another_way_with_the_same_chunks(spark):
     frame = spark.createDataFrame(rows, "source string, ord long, text string")
     near, far = (sorted(map(tuple, chunk_pack(frame, "c", long=n).collect()), key=str) for n in (1 << 30, 20_000))
     assert near == far and len(near) > 100
+
+
+def test_pseudonyms_are_keyed_digests(spark):
+    import hashlib
+    import hmac
+
+    for key in (b"short", b"k" * 64, b"longer than a block" * 9):
+        ref = D.pseudonym(key, "user")
+        got = {r["v"]: r["r"] for r in spark.createDataFrame([("",), ("Zoë",), ("x" * 300,), (None,)], "v string").select("v", ref(F.col("v")).alias("r")).collect()}
+        assert got.pop(None) is None
+        assert got == {v: hmac.new(key, f"user:{v}".encode(), hashlib.sha256).hexdigest()[:16] for v in got}
