@@ -55,7 +55,7 @@ def topk_levels_per_topic(v: Views):
 
 @query("SELECT user_id, string_agg(CAST(CAST(score * 10 AS BIGINT) AS VARCHAR), ',' ORDER BY created_at, attempt_id) AS trend FROM v_score GROUP BY user_id")
 def agg_score_trend(v: Views):
-    tenths = F.transform("trend", lambda x: F.round(x * 10).cast("long").cast("string"))
+    tenths = F.transform("trend", lambda x: F.rint(x * 10).cast("long").cast("string"))  # halves to even, as SQL casts
     return M.score_trend(v.score).select("user_id", F.array_join(tenths, ",").alias("trend"))
 
 
