@@ -1,7 +1,7 @@
 """Operator 4: quality classifier by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of three code points, per language, from a bounded sample of documents that are labelled good (TRUSTED,
-those of the lowest hash). Its tables stay distributed: counts, discounts, context totals and lower orders are joined by
+The model is of three code points, per language, from all documents that are labelled good and not toxic; which these are
+is found by a join, so their number has no bound. Its tables stay distributed: counts, discounts, context totals and lower orders are joined by
 shuffles. For scoring, each input split lists the strings it holds; the list is priced by joins with the tables and comes
 back to the split's documents, so what is gathered grows with the input and no table needs to fit in one place.
 Documents go whose log perplexity lies above their language's quantile: its distance from the median of the trusted
@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import squeezed, unsqueezed
+from .anchors import release, squeezed, unsqueezed
 from .common import fresh, map_rows, materialise, mix64, scratch, table, text_or_empty
 
-TRUSTED = 20_000
 QUANTILE = 0.999
+#: Quantiles are exact up to half as many trusted documents of a language; of more, ranks are off by one in so many.
+ACCURACY = 200_000
 POINT = 21  # bits of a code point; 0x110000 stands before a text
 PAD = 0x110000
 #: Rows in a block of documents that are scored together, about.
@@ -84,10 +85,9 @@ def _counted(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return map_rows(rows.select(*keys, "text"), work, f"{types}, g long, n long")
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """At most `limit` doc_ids labelled good and not toxic."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The doc_ids labelled good and not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
 
 
 def _order(c: DataFrame, lower: DataFrame | None, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -195,28 +195,34 @@ def listed(rows: DataFrame) -> DataFrame:
     return materialise(_counted(rows.select("block", "lang", "text"), ("block", "lang")).groupBy("block", "lang", "g").agg(F.sum("n").alias("n")), "lists")
 
 
+def bodies_of(rows: DataFrame) -> DataFrame:
+    """in_blocks() with the texts compressed, for shuffles."""
+    return map_rows(rows.select("block", "doc_id", "rid", "lang", "text"), lambda c: {"block": c[0], "doc_id": c[1], "rid": c[2], "lang": c[3], "body": squeezed(c[4])}, "block long, doc_id long, rid long, lang string, body binary")
+
+
 def cogrouped(rows: DataFrame, lists: DataFrame, m: dict[str, DataFrame], work, schema: str) -> DataFrame:
     """work over each block's documents (text compressed in body) and the prices of its strings."""
     prices = lists.select("block", "lang", "g").join(materialise(priced(lists.select("lang", "g").distinct(), m), "prices"), ["lang", "g"])
-    bodies = map_rows(rows.select("block", "doc_id", "rid", "lang", "text"), lambda c: {"block": c[0], "doc_id": c[1], "rid": c[2], "lang": c[3], "body": squeezed(c[4])}, "block long, doc_id long, rid long, lang string, body binary")
-    return bodies.groupBy("block").cogroup(prices.select("block", "lang", "g", "logp").groupBy("block")).applyInArrow(work, schema)
+    return bodies_of(rows).groupBy("block").cogroup(prices.select("block", "lang", "g", "logp").groupBy("block")).applyInArrow(work, schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, lang) -> doc_id, rid (a hash of the row), lang, n_chars, log_ppl, trusted."""
     rows = in_blocks(docs)
-    ids = materialise(trusted_ids(labels), "trusted")
-    m = model(rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text"))  # at most TRUSTED ids
+    ids = materialise(trusted_ids(labels), "trusted").hint("shuffle_hash")  # as many as there are, so never sent to all tasks
+    own = bodies_of(rows).join(ids, "doc_id", "left_semi").select("lang", "body")
+    m = model(map_rows(own, lambda c: {"lang": c[0], "text": [unsqueezed(b).decode() for b in c[1]]}, "lang string, text string"))
+    release(docs.sparkSession)
     found = cogrouped(rows, listed(rows), m, _score_block, "doc_id long, rid long, lang string, n_chars long, log_ppl double")
-    return found.join(F.broadcast(ids.withColumn("trusted", F.lit(True))), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return found.join(ids.withColumn("trusted", F.lit(True)).hint("shuffle_hash"), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
 def limits(found: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """Scores -> lang, middle, reach: the median of its trusted documents, and the quantile of how far they lie above it."""
     trusted = found.where("trusted and log_ppl is not null").select("lang", "n_chars", "log_ppl")
-    middle = materialise(trusted.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 20000).alias("middle")), "middle")
-    away = trusted.join(F.broadcast(middle), "lang").withColumn("away", (F.col("log_ppl") - F.col("middle")) * F.sqrt("n_chars"))  # languages of TRUSTED documents
-    return away.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("away", quantile, 20000).alias("reach"))
+    middle = materialise(trusted.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, ACCURACY).alias("middle")), "middle")
+    away = trusted.join(F.broadcast(middle) if _few(middle) else middle, "lang").withColumn("away", (F.col("log_ppl") - F.col("middle")) * F.sqrt("n_chars"))
+    return away.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("away", quantile, ACCURACY).alias("reach"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,7 +230,7 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     with scratch():
         found = materialise(scores(docs, labels), "scores", stays=True)
         bounds = materialise(limits(found), "limits", stays=True)
-    joined = found.join(F.broadcast(bounds), "lang", "left")
+    joined = found.join(F.broadcast(bounds) if _few(bounds) else bounds, "lang", "left")
     top = F.when(F.col("n_chars") > 0, F.col("middle") + F.col("reach") / F.sqrt("n_chars"))
     kept = F.coalesce((F.col("log_ppl") - F.col("middle")) * F.sqrt("n_chars") <= F.col("reach"), F.lit(True))
     return joined.select("doc_id", "rid", "lang", "n_chars", F.exp("log_ppl").alias("perplexity"), F.exp(top).alias("threshold"), kept.alias("kept"))
