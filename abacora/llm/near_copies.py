@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, release, row_key, squeezed, unsqueezed, with_row_key
-from .common import discard, fresh, map_rows, materialise, mix64, scratch
+from .common import discard, fresh, in_few, map_rows, materialise, mix64, scratch
 from .components import components
 from .simhash import _lanes, bit_planes, far
 from .window_index import one_spaced, word_hashes
@@ -236,7 +236,7 @@ def exact_links(nodes: DataFrame, near: DataFrame, texts: DataFrame, similarity:
     """
     weighed = texts.withColumn("weight", F.length("body").cast("long") + SKETCH)
     light = weighed.select("node", "weight")
-    sizes = materialise(near.join(light, "node").groupBy("root").agg(F.count("*").alias("size"), F.sum("weight").alias("held")), "sizes")
+    sizes = materialise(in_few(near.join(light, "node").groupBy("root").agg(F.count("*").alias("size"), F.sum("weight").alias("held")), near.count()), "sizes")
     placed, one = near.join(sizes, "root"), (F.col("size") <= bucket) & (F.col("held") <= BUCKET_BYTES)
     whole = placed.where(one).select("node", F.col("root").alias("bucket"), F.col("size").alias("n"), "held")
     large = placed.where(~one).select("node", "root").join(nodes.select("node", "bands"), "node").join(light, "node")
@@ -248,7 +248,8 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET
     """(doc_id, text) -> rid (a hash of doc_id and text), doc_id, root (of its group), one row per row of docs."""
     rows = with_row_key(docs)
     made = materialise(sketches(rows), "sketches")
-    nodes = materialise(made.groupBy("node").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("short").alias("short")), "nodes")
+    one = made.groupBy("node").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+    nodes = materialise(in_few(one, made.count()), "nodes")
     near = materialise(components(links(nodes, similarity, bucket)), "near")
     release(docs.sparkSession)
     # the text of one row for each node that has a candidate

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import release, squeezed, unsqueezed
-from .common import fresh, map_rows, materialise, mix64, scratch, table, text_or_empty
+from .common import fresh, in_few, map_rows, materialise, mix64, scratch, table, text_or_empty
 
 QUANTILE = 0.999
 #: Quantiles are exact up to half as many trusted documents of a language; of more, ranks are off by one in so many.
@@ -124,14 +124,16 @@ def model_of_counts(counted: DataFrame) -> dict[str, DataFrame]:
     """(lang, g, n) in parts -> the tables of model()."""
     c3 = materialise(counted.groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
     low = lambda c, bits: c.groupBy("lang", F.col("g").bitwiseAND(F.lit((1 << bits) - 1)).alias("g")).agg(F.count("*").alias("n"))
-    c2 = materialise(low(c3, 2 * POINT), "grams")
-    c1 = materialise(low(c2, POINT), "grams")
+    n3 = c3.count()
+    c2 = materialise(in_few(low(c3, 2 * POINT), n3), "grams")
+    n2 = c2.count()
+    c1 = materialise(in_few(low(c2, POINT), n2), "grams")
     p1, _ = _order(c1, None, 0)
-    p1 = materialise(p1, "order")
+    p1 = materialise(in_few(p1, c1.count()), "order")
     p2, share2 = _order(c2, p1, POINT)
-    p2, share2 = materialise(p2, "order"), materialise(share2, "share")
+    p2, share2 = materialise(in_few(p2, n2), "order"), materialise(in_few(share2, n2), "share")
     p3, share3 = _order(c3, p2, 2 * POINT)
-    return {"p1": p1, "p2": p2, "p3": materialise(p3, "order"), "share2": share2, "share3": materialise(share3, "share")}
+    return {"p1": p1, "p2": p2, "p3": materialise(in_few(p3, n3), "order"), "share2": share2, "share3": materialise(in_few(share3, n3), "share")}
 
 
 def priced(needed: DataFrame, m: dict[str, DataFrame]) -> DataFrame:
@@ -202,7 +204,7 @@ def bodies_of(rows: DataFrame) -> DataFrame:
 
 def cogrouped(rows: DataFrame, lists: DataFrame, m: dict[str, DataFrame], work, schema: str) -> DataFrame:
     """work over each block's documents (text compressed in body) and the prices of its strings."""
-    prices = lists.select("block", "lang", "g").join(materialise(priced(lists.select("lang", "g").distinct(), m), "prices"), ["lang", "g"])
+    prices = lists.select("block", "lang", "g").join(materialise(in_few(priced(lists.select("lang", "g").distinct(), m), lists.count()), "prices"), ["lang", "g"])
     return bodies_of(rows).groupBy("block").cogroup(prices.select("block", "lang", "g", "logp").groupBy("block")).applyInArrow(work, schema)
 
 
